@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import bpe, fingerprint, jaccard, linededup, packing, quality, topk, toxicity
+from sentrylake.llm import bpe, fingerprint, jaccard, linededup, packing, quality, substring, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs), ["doc_id", "piece", "ids_crc32"])
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", hex_sha256("kept").alias("kept_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op4_fingerprint": op4_fingerprint,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_best_fit_packing": op8_best_fit_packing,
@@ -99,4 +105,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {"op3_line_dedup": linededup.ORACLE, "op9_exact_topk": topk.ORACLE}
+ORACLE: dict[str, str] = {"op5_substring_dedup": substring.ORACLE, "op3_line_dedup": linededup.ORACLE, "op9_exact_topk": topk.ORACLE}
