@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import bpe, fingerprint, jaccard, linededup, packing, quality, substring, topk, toxicity
+from sentrylake.llm import bpe, chat, fingerprint, jaccard, linededup, packing, quality, substring, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks")
@@ -95,6 +99,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_line_dedup": op3_line_dedup,
     "op4_fingerprint": op4_fingerprint,
     "op5_substring_dedup": op5_substring_dedup,
@@ -105,4 +110,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {"op5_substring_dedup": substring.ORACLE, "op3_line_dedup": linededup.ORACLE, "op9_exact_topk": topk.ORACLE}
+ORACLE: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op5_substring_dedup": substring.ORACLE, "op3_line_dedup": linededup.ORACLE, "op9_exact_topk": topk.ORACLE}
