@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import bind
+from sentrylake.llm.common import bind, stored
 
 DIVISOR = 4
 BASE, PRIME = 1_000_003, 2_147_483_647  # of the rolling hash
@@ -67,24 +67,26 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", column: str = "text",
     numbered = base.select("_id", "_text_hash", F.posexplode(chunk_array(text, divisor)).alias("pos", "chunk"))
     chunks = numbered.where("chunk.n_lines > 1").select("_id", "_text_hash", "pos", F.xxhash64("chunk.body").alias("h"))
     repeated = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("owner")).where("n > 1").drop("n")
-    # few rows from here on: the occurrences of repeated chunks, by document
+    # few rows from here on: the occurrences of repeated chunks, by document; each step is written, so texts move twice only
     found = chunks.join(repeated, "h").select("_id", "_text_hash", "pos", "h", "owner")
-    by_doc = found.groupBy("_id", "_text_hash").agg(F.collect_list(F.struct("pos", "h", "owner")).alias("found"))
+    by_doc = stored(found.groupBy("_id", "_text_hash").agg(F.collect_list(F.struct("pos", "h", "owner")).alias("found")), "repeated")
 
-    keyed = base.repartition(F.col("_id"), F.col("_text_hash"))
     same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_text_hash"] == b["_text_hash"])
-    texts = keyed.join(by_doc, same(keyed, by_doc)).select(keyed["_id"], keyed["_text_hash"], chunk_array(text, divisor).alias("chunks"), "found")
+    slim = base.select("_id", "_text_hash", text.alias("_text"))
+    texts = slim.join(by_doc, same(slim, by_doc)).select(slim["_id"], slim["_text_hash"], chunk_array(F.col("_text"), divisor).alias("chunks"), "found")
     bodies = texts.select("_id", "_text_hash", "chunks", F.explode("found").alias("f")).select(
         "_id", "_text_hash", "f.*", F.element_at("chunks", F.col("f.pos") + 1)["body"].alias("body")
     )
+    bodies = stored(bodies, "bodies")
     owned = bodies.where(F.col("_id").eqNullSafe(F.col("owner"))).groupBy("h").agg(F.min("body").alias("first_body"))
     alike = bodies.join(owned, "h").where(F.col("body") == F.col("first_body"))
     # rows of one document and chunk: all go, but the owner keeps its first
     each = alike.groupBy("_id", "_text_hash", "h").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.first("owner").alias("owner"))
     gone = F.when(F.col("_id").eqNullSafe(F.col("owner")), F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0)))).otherwise(F.col("at"))
     removed = each.groupBy("_id", "_text_hash").agg(F.flatten(F.collect_list(gone)).alias("gone")).where("size(gone) > 0")
+    removed = stored(removed, "removed")
 
-    joined = keyed.join(removed, same(keyed, removed), "left").select("_row", "gone")
+    joined = base.join(removed, same(base, removed), "left").select("_row", "gone")
     none = F.array().cast("array<int>")
 
     def decide(s: Column) -> Column:
