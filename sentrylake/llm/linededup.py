@@ -73,7 +73,7 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", column: str = "text",
 
     same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_text_hash"] == b["_text_hash"])
     slim = base.select("_id", "_text_hash", text.alias("_text"))
-    texts = slim.join(by_doc, same(slim, by_doc)).select(slim["_id"], slim["_text_hash"], chunk_array(F.col("_text"), divisor).alias("chunks"), "found")
+    texts = slim.join(by_doc.hint("merge"), same(slim, by_doc)).select(slim["_id"], slim["_text_hash"], chunk_array(F.col("_text"), divisor).alias("chunks"), "found")
     bodies = texts.select("_id", "_text_hash", "chunks", F.explode("found").alias("f")).select(
         "_id", "_text_hash", "f.*", F.element_at("chunks", F.col("f.pos") + 1)["body"].alias("body")
     )
@@ -86,7 +86,7 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", column: str = "text",
     removed = each.groupBy("_id", "_text_hash").agg(F.flatten(F.collect_list(gone)).alias("gone")).where("size(gone) > 0")
     removed = stored(removed, "removed")
 
-    joined = base.join(removed, same(base, removed), "left").select("_row", "gone")
+    joined = base.join(removed.hint("merge"), same(base, removed), "left").select("_row", "gone")
     none = F.array().cast("array<int>")
 
     def decide(s: Column) -> Column:
