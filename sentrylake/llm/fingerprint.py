@@ -93,16 +93,18 @@ def edited_pairs(df: DataFrame, id_column: str = "doc_id", column: str = "text",
     Rows that share an id are all kept; as a next document such an id stands for its smallest text. A null id has no
     next document: its edited text is its first part alone and next_fingerprint is the empty sketch.
     """
-    base = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(column), F.lit("")).alias("text"))
+    every = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(column), F.lit("")).alias("text"))
+    base = every.where("id is not null")
     links = next_ids(base, "id")
     lengths = base.groupBy("id").agg(F.max(F.length("text")).alias("longest"))
     wanted = links.join(lengths, "id").select("id", "next_id", "longest")
-    texts = base.repartition("id")
+    texts = base.repartition("id")  # one exchange of the texts serves both joins
     one = texts.groupBy("id").agg(F.min("text").alias("text"))
-    beside = one.join(wanted.withColumnRenamed("id", "before"), F.col("id") == F.col("next_id")).select(
+    beside = one.join(wanted.withColumnRenamed("id", "before").hint("merge"), F.col("id") == F.col("next_id")).select(
         "before", F.substring(F.col("text"), F.lit(1), F.floor(F.col("longest") / 4).cast("int")).alias("head"), sketch(F.col("text"), k).alias("next_fingerprint")
     )
-    both = texts.join(beside, F.col("id") == F.col("before"), "left")
+    both = texts.join(beside.hint("merge"), F.col("id") == F.col("before"), "left").select("id", "text", "head", "next_fingerprint")
+    both = both.unionByName(every.where("id is null"), allowMissingColumns=True)
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     # cut <= longest / 4, so the head that came along is long enough for any row of the id
