@@ -186,7 +186,7 @@ def near_classes(
     by_rep = kept.groupBy("rep").agg(F.collect_list(F.struct("bucket", "n")).alias("in"))
     wanted = by_rep.join(reps.select(F.col("key").alias("rep"), F.col("rep").alias("id"), "set_key", "members"), "rep")
 
-    texts = df.select(F.col(id_column).alias("id"), F.col(column).alias("text")).join(wanted, "id")
+    texts = df.select(F.col(id_column).alias("id"), F.col(column).alias("text")).join(wanted.hint("merge"), "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()

@@ -183,7 +183,7 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, kinds)], names=["id", "th", "start", "words", "windows"])
 
-    pieces = keyed.join(by_doc, ["id", "th"]).mapInArrow(fragments, "id long, th long, start long, words binary, windows array<long>")
+    pieces = keyed.join(by_doc.hint("merge"), ["id", "th"]).mapInArrow(fragments, "id long, th long, start long, words binary, windows array<long>")
     pieces = stored(pieces, "fragments")
     windows = pieces.select("id", "th", F.explode("windows").alias("w"))
     owners = windows.groupBy("w").agg(F.min("id").alias("owner"), F.max("id").alias("hi")).where("owner < hi").select("w", "owner")
@@ -234,7 +234,7 @@ def dedup_substrings(df: DataFrame, id_column: str = "doc_id", column: str = "te
     keyed = rows.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(F.col(column)).alias("th"), F.col(column).alias("text"))
     spans = stored(repeated_spans(keyed, width), "spans").withColumnsRenamed({"id": "_id", "th": "_th"})
     base = rows.withColumns({"_key": F.col(id_column).cast("long"), "_hash": F.xxhash64(F.col(column))})
-    joined = base.join(spans, (F.col("_key") == F.col("_id")) & (F.col("_hash") == F.col("_th")), "left").drop("_key", "_hash", "_id", "_th")
+    joined = base.join(spans.hint("merge"), (F.col("_key") == F.col("_id")) & (F.col("_hash") == F.col("_th")), "left").drop("_key", "_hash", "_id", "_th")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
