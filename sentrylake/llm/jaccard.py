@@ -69,7 +69,7 @@ def signatures(df: DataFrame, id_column: str, column: str, runs: int, picks: flo
 
 def terminal_buckets(reps: DataFrame, small: int, depth: int) -> DataFrame:
     """(bucket, rep) of the buckets to compare by brute force. reps: (rep, paths)."""
-    level = reps.select("rep", F.explode("paths").alias("last"), "paths").withColumn("bucket", F.col("last"))
+    level = reps.select("rep", F.explode("paths").alias("last"), "paths", F.size("paths").alias("picked")).withColumn("bucket", F.col("last"))
     done = []
     for step in range(1, depth + 1):
         sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -82,14 +82,19 @@ def terminal_buckets(reps: DataFrame, small: int, depth: int) -> DataFrame:
         large = level.where(F.col("n") > small)
         if large.isEmpty():
             break
+        if step == 1:  # samples that no other set has can't be shared further down
+            others = level.groupBy("rep").agg(F.sort_array(F.collect_list("bucket")).alias("paths"))
+            large = large.drop("paths").join(others, "rep")
+        picked = large.groupBy("bucket").agg(F.sum("picked").alias("picked"))
         shared = large.select("bucket", "n", F.explode("paths").alias("other")).groupBy("bucket", "other").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
         # mean share of a set's samples that another set of the bucket has too
-        alike = shared.groupBy("bucket").agg((F.sum(F.col("k") * F.col("k")) / F.max("n") / F.sum("k")).alias("alike"))
+        squares = shared.groupBy("bucket").agg((F.sum(F.col("k") * F.col("k")) / F.max("n")).alias("squares"))
+        alike = stored(squares.join(picked, "bucket").select("bucket", (F.col("squares") / F.col("picked")).alias("alike")), f"alike{step}")
         marked = stored(large.join(alike, "bucket"), f"large{step}")
         done.append(marked.where("alike >= 0.5").select("bucket", "rep"))
-        split = marked.where("alike < 0.5").select("bucket", "rep", "paths", "last")
+        split = marked.where("alike < 0.5").select("bucket", "rep", "paths", "last", "picked")
         level = split.withColumn("next", F.explode(F.filter("paths", lambda t: t > F.col("last")))).select(
-            F.xxhash64("bucket", "next").alias("bucket"), "rep", "paths", F.col("next").alias("last")
+            F.xxhash64("bucket", "next").alias("bucket"), "rep", "paths", "picked", F.col("next").alias("last")
         )
     out = done[0]
     for d in done[1:]:
