@@ -29,7 +29,7 @@ def dedupe_alerts(alerts: DataFrame, rules: DataFrame, ts: str = "observed_at",
     keyed = joined.where("window_s is not null").groupBy("rule_uid", "host_id").agg(F.sort_array(F.collect_list(F.struct("_us", F.col(id_column).alias("id")))).alias("all"), F.first("window_s").alias("w"))
 
     def step(state: Column, x: Column) -> Column:
-        keep = state["last"].isNull() | (state["last"] <= x["_us"] - F.col("w") * F.lit(1_000_000))
+        keep = state["last"].isNull() | (state["last"] <= x["_us"] - F.col("w").cast("bigint") * F.lit(1_000_000))
         return F.struct(F.when(keep, x["_us"]).otherwise(state["last"]).alias("last"), F.when(keep, F.concat(state["ids"], F.array(x["id"]))).otherwise(state["ids"]).alias("ids"))
 
     start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("ids"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -13,39 +14,18 @@ SEVERITY = {"informational": 1, "low": 2, "medium": 3, "high": 4, "critical": 5}
 
 @dataclass
 class Rule:
-    """A rule of one event class. `where` is a Spark SQL condition over the selections' names."""
+    """A rule of one event class. `where` builds the condition from the selections' flags, by name."""
 
     uid: str
     class_uid: int
     selections: dict[str, Column]
-    where: str
+    where: Callable[[dict[str, Column]], Column]
     level: str = "medium"
     tags: list[str] = field(default_factory=list)
 
 
 def condition(rule: Rule) -> Column:
-    """The rule's condition with each selection's name bound to its flag."""
-    flags = F.struct(*[c.alias(n) for n, c in rule.selections.items()])
-    return F.element_at(F.transform(F.array(flags), lambda s: _bound(rule.where, s, rule.selections)), 1)
-
-
-def _bound(where: str, s: Column, names) -> Column:
-    """Boolean composition of a condition in and/or/not form, read by Python's own parser."""
-    import ast
-
-    def build(node) -> Column:
-        if isinstance(node, ast.BoolOp):
-            out = build(node.values[0])
-            for v in node.values[1:]:
-                out = out & build(v) if isinstance(node.op, ast.And) else out | build(v)
-            return out
-        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
-            return ~build(node.operand)
-        if isinstance(node, ast.Name) and node.id in names:
-            return s[node.id]
-        raise ValueError(f"not a condition over {sorted(names)}: {where}")
-
-    return build(ast.parse(where, mode="eval").body)
+    return rule.where(rule.selections)
 
 
 def detect(df: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
