@@ -153,18 +153,18 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 found = [np.unique(window_anchors(hash_words(split_words(t.as_py()), table), width, gram)) for t in part.column("text")]
-                counts = [len(x) for x in found]
-                flat = np.concatenate(found).astype(np.int64)
-                rows = np.repeat(np.arange(part.num_rows), counts)
-                ids, ths = (part.column(n).to_numpy(zero_copy_only=False)[rows] for n in ("id", "th"))
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(ids), pa.array(ths)], names=["anchor", "id", "th"])
+                ends = np.cumsum([0] + [len(x) for x in found], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["id", "anchors"])
 
-    anchored = keyed.mapInArrow(anchors, "anchor long, id long, th long")
+    # written once, as each text's anchors are read twice
+    anchored = stored(keyed.select("id", "text").mapInArrow(anchors, "id long, anchors array<long>").where("size(anchors) > 0"), "all-anchors")
+    anchored = anchored.select("id", F.explode("anchors").alias("anchor"))
     shared = anchored.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
-    by_doc = stored(anchored.join(shared, "anchor").groupBy("id", "th").agg(F.collect_list("anchor").alias("anchors")), "anchors")
+    by_doc = stored(anchored.join(shared.hint("merge"), "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors")), "anchors")
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
@@ -183,13 +183,13 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, kinds)], names=["id", "th", "start", "words", "windows"])
 
-    pieces = keyed.join(by_doc.hint("merge"), ["id", "th"]).mapInArrow(fragments, "id long, th long, start long, words binary, windows array<long>")
+    pieces = keyed.join(by_doc.hint("merge"), "id").mapInArrow(fragments, "id long, th long, start long, words binary, windows array<long>")
     pieces = stored(pieces, "fragments")
-    windows = pieces.select("id", "th", F.explode("windows").alias("w"))
+    windows = pieces.select("id", F.explode("windows").alias("w"))
     owners = windows.groupBy("w").agg(F.min("id").alias("owner"), F.max("id").alias("hi")).where("owner < hi").select("w", "owner")
     owners = stored(owners, "owners")
     shards = max(1, -(-owners.count() // SHARD_WINDOWS))
-    owned = windows.distinct().join(owners, "w").groupBy("id", "th").agg(F.collect_list(F.struct("w", "owner")).alias("owned"))
+    owned = windows.join(owners.hint("merge"), "w").groupBy("id").agg(F.collect_list(F.struct("w", "owner")).alias("owned"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +212,7 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, kinds)], names=["shard", "kind", "id", "th", "start", "words"])
 
-    dealt = stored(pieces.join(owned, ["id", "th"]).mapInArrow(deal, "shard long, kind int, id long, th long, start long, words binary"), "dealt")
+    dealt = stored(pieces.join(owned.hint("merge"), "id").mapInArrow(deal, "shard long, kind int, id long, th long, start long, words binary"), "dealt")
     stream, reference = dealt.where("kind = 1"), dealt.where("kind = 0")
     shares = stream.groupBy("shard").agg(F.ceil(F.greatest(F.count(F.lit(1)) / SHARE_ROWS, F.sum(F.length("words")) / (SHARE_ROWS * 2000))).cast("int").alias("shares"))
     sent = stream.join(shares, "shard").withColumn("share", F.pmod(F.xxhash64("id", "th", "start"), F.col("shares")).cast("int")).drop("shares")
