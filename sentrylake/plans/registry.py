@@ -201,7 +201,7 @@ def _rules_of(t: DataFrame) -> DataFrame:
 FOLD = f"""WITH a AS (SELECT event_id, rule_uid, host_id, epoch_us(observed_at) AS us, [NULL, 3600, 21600, {DAY}][CAST(substr(rule_uid, -2) AS INT) % 4 + 1] AS w FROM t WHERE class_uid = 2004),
 o AS (SELECT *, row_number() OVER (PARTITION BY rule_uid, host_id ORDER BY us, event_id) AS k FROM a),
 f AS (SELECT event_id, rule_uid, host_id, us, w, k, true AS kept, us AS last FROM o WHERE k = 1
-  UNION ALL SELECT o.event_id, o.rule_uid, o.host_id, o.us, o.w, o.k, o.w IS NULL OR f.last <= o.us - o.w * 1000000, CASE WHEN o.w IS NULL OR f.last <= o.us - o.w * 1000000 THEN o.us ELSE f.last END
+  UNION ALL SELECT o.event_id, o.rule_uid, o.host_id, o.us, o.w, o.k, o.w IS NULL OR f.last <= o.us - o.w * 1000000::BIGINT, CASE WHEN o.w IS NULL OR f.last <= o.us - o.w * 1000000::BIGINT THEN o.us ELSE f.last END
   FROM f JOIN o ON o.rule_uid = f.rule_uid AND o.host_id = f.host_id AND o.k = f.k + 1)"""
 _deduped = lambda t: alerts.dedupe_alerts(t.where("class_uid = 2004"), _rules_of(t))
 register("e2_dedupe_alerts", _deduped, f"{FOLD} SELECT event_id, rule_uid, host_id, kept FROM f")
