@@ -172,7 +172,7 @@ class TokenAutomaton:
 class Encoder(dict):
     """Maps a piece of text without blanks to its ids as little-endian 32-bit integers; keeps a bounded table."""
 
-    KEPT = 300_000
+    KEPT = 200_000
 
     def __init__(self, model: str):
         super().__init__()
@@ -190,7 +190,6 @@ class Encoder(dict):
         self.words_kept: dict[str, bytes] = {}
         self.words_older: dict[str, bytes] = {}
         self.marks = {c: array("i", self.automaton.walk(c)).tobytes() for c in ".,;:!?"}
-        self.labels = {i: t for t, i in bpe["vocab"].items()} | {i: t for t, i in self.special.items()}
 
     def ids(self, piece: str) -> list[int]:
         walk = self.automaton.walk
@@ -243,10 +242,6 @@ class Encoder(dict):
         """Blanks and line ends always part words and are dropped, so the pieces between them are encoded alone."""
         return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
-    def decode(self, ids: list[int]) -> str:
-        """Emit the arc labels; the vocabulary has no decoder of its own, so labels are parted by blanks."""
-        return " ".join(map(self.labels.__getitem__, ids))
-
 
 def load_model(path: str | None = None) -> str:
     """Text of the vocabulary file (2 MB, fixed), read on the driver and shipped with the tasks."""
@@ -266,6 +261,11 @@ def worker_encoder(shipped) -> Encoder:
     return _ENCODERS[key]
 
 
+def arc_labels(model: str) -> dict[int, str]:
+    spec = json.loads(model)
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
+
+
 def encode(df: DataFrame, column: str = "text", out: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """Add `out` array<int>: the ids of the whole text. Null text encodes as the empty list.
 
@@ -291,7 +291,7 @@ def decode(df: DataFrame, column: str = "ids", out: str = "decoded", vocabulary:
     shipped = df.sparkSession.sparkContext.broadcast(load_model(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(shipped)
+        labels = arc_labels(shipped.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -299,7 +299,8 @@ def decode(df: DataFrame, column: str = "ids", out: str = "decoded", vocabulary:
                 ends = lists.offsets.to_numpy()
                 flat = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].tolist()
                 ends = (ends - ends[0]).tolist()
-                made = [encoder.decode(flat[a:b]) for a, b in zip(ends, ends[1:])]
+                # the vocabulary has no decoder of its own, so labels are parted by blanks
+                made = [" ".join(map(labels.__getitem__, flat[a:b])) for a, b in zip(ends, ends[1:])]
                 yield add_columns(part, **{out: pa.array(made, type=pa.string())})
 
     return df.mapInArrow(run, with_fields(df, **{out: "string"}))

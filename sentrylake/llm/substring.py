@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import stored
+from sentrylake.llm.common import discard, stored
 from sentrylake.llm.words import WordHashes, gram_hashes, hash_words, split_words
 
 WIDTH, GRAM = 13, 6
@@ -161,10 +161,11 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
                 yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["id", "anchors"])
 
     # written once, as each text's anchors are read twice
-    anchored = stored(keyed.select("id", "text").mapInArrow(anchors, "id long, anchors array<long>").where("size(anchors) > 0"), "all-anchors")
-    anchored = anchored.select("id", F.explode("anchors").alias("anchor"))
+    kept = stored(keyed.select("id", "text").mapInArrow(anchors, "id long, anchors array<long>").where("size(anchors) > 0"), "all-anchors")
+    anchored = kept.select("id", F.explode("anchors").alias("anchor"))
     shared = anchored.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
     by_doc = stored(anchored.join(shared.hint("merge"), "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors")), "anchors")
+    discard(kept)
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
@@ -185,6 +186,7 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
 
     pieces = keyed.join(by_doc.hint("merge"), "id").mapInArrow(fragments, "id long, th long, start long, words binary, windows array<long>")
     pieces = stored(pieces, "fragments")
+    discard(by_doc)
     windows = pieces.select("id", F.explode("windows").alias("w"))
     owners = windows.groupBy("w").agg(F.min("id").alias("owner"), F.max("id").alias("hi")).where("owner < hi").select("w", "owner")
     owners = stored(owners, "owners")
@@ -213,6 +215,8 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, kinds)], names=["shard", "kind", "id", "th", "start", "words"])
 
     dealt = stored(pieces.join(owned.hint("merge"), "id").mapInArrow(deal, "shard long, kind int, id long, th long, start long, words binary"), "dealt")
+    discard(pieces)
+    discard(owners)
     stream, reference = dealt.where("kind = 1"), dealt.where("kind = 0")
     shares = stream.groupBy("shard").agg(F.ceil(F.greatest(F.count(F.lit(1)) / SHARE_ROWS, F.sum(F.length("words")) / (SHARE_ROWS * 2000))).cast("int").alias("shares"))
     sent = stream.join(shares, "shard").withColumn("share", F.pmod(F.xxhash64("id", "th", "start"), F.col("shares")).cast("int")).drop("shares")
