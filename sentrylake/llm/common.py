@@ -21,23 +21,26 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
-#: Spark's switch to drop a query's shuffle files when the query has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: Spark drops the query's shuffle files at its end, and batches handed to Python are small,
+#: as texts and their arrays may be long.
+WHILE_STORING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write `df` as Parquet in the shared folder and read it back; its shuffle files aren't kept."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WHILE_STORING}
+    for k, v in WHILE_STORING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -13,7 +13,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         made = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = made
         return made
