@@ -25,30 +25,30 @@ def register(name: str, build: Callable[[DataFrame], DataFrame], sql: str | None
         ORACLE[name] = oracle(sql)
 
 
-def predicate(name: str, test: Column, sql: str) -> None:
+def predicate(name: str, test: Callable[[], Column], sql: str) -> None:
     """Ids at which a predicate holds, and how many rows have a value of its negation: flags are two-valued."""
-    register(name, lambda t: t.select("event_id", test.alias("hit"), (~test).alias("miss")), f"SELECT event_id, coalesce({sql}, false) AS hit, NOT coalesce({sql}, false) AS miss FROM t")
+    register(name, lambda t: t.select("event_id", test().alias("hit"), (~test()).alias("miss")), f"SELECT event_id, coalesce({sql}, false) AS hit, NOT coalesce({sql}, false) AS miss FROM t")
 
 
 # C: field-match predicates
-predicate("c1_equals", m("exec_path").equals("/usr/bin/wget", "/bin/bash"), "lower(exec_path) IN ('/usr/bin/wget', '/bin/bash')")
-predicate("c2_contains", m("cmdline").contains("/DEV/TCP/"), "contains(lower(cmdline), '/dev/tcp/')")
-predicate("c3_startswith", m("file_path").startswith("/var/view"), "starts_with(lower(file_path), '/var/view')")
-predicate("c4_endswith", m("file_path").endswith(".locked"), "ends_with(lower(file_path), '.locked')")
-predicate("c5_cased", m("exec_path").endswith("wget", cased=True), "ends_with(exec_path, 'wget')")
-predicate("c6_regex", m("exec_path").regex("/(curl|wget)$", flags="i"), "regexp_matches(exec_path, '/(curl|wget)$', 'i')")
-predicate("c7_cidr_v4", m("dst_ip").cidr("10.2.0.0/15"), "split_part(dst_ip, '.', 2) IN ('2', '3')")
-predicate("c8_cidr_v6", m(F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("event_id") % 16)), F.lit("::1"))).cidr("2001:db8:4::/46"), "event_id % 16 BETWEEN 4 AND 7")
-predicate("c9_numeric", m("src_port").compare("gte", 5000), "src_port >= 5000")
-predicate("c10_value_list", m("dst_port").equals(22, 9050), "dst_port IN (22, 9050)")
-predicate("c11_all_values", m("cmdline").contains("base64", "echo", all=True), "contains(cmdline, 'base64') AND contains(cmdline, 'echo')")
-predicate("c12_multi_valued", m(F.array("user_name", "host_id")).any_of("USER7", "host-03"), "user_name = 'user7' OR host_id = 'host-03'")
-predicate("c13_null", m("cmdline").is_absent(), "cmdline IS NULL OR cmdline = ''")
-predicate("c14_exists", m("cmdline").exists(), "cmdline IS NOT NULL AND cmdline <> ''")
-predicate("c15_base64", m("cmdline").contains("/bin/bash -i", encode="base64"), "contains(lower(cmdline), lower(to_base64('/bin/bash -i'::BLOB)))")
-predicate("c16_base64offset", m("cmdline").contains("bin/bash", encode="base64offset"), "contains(lower(cmdline), lower('Jpbi9iYXNo'))")
-predicate("c17_utf16le", m(F.concat_ws("\0", F.lit("x"), F.split("exec_path", ""), F.lit(""))).wide("bash"), "contains(exec_path, 'bash')")
-predicate("c18_utf16be", m(F.concat_ws("\0", F.lit("x"), F.split("exec_path", ""))).wide("bash", "utf-16-be"), "contains(exec_path, 'bash')")
+predicate("c1_equals", lambda: m("exec_path").equals("/usr/bin/wget", "/bin/bash"), "lower(exec_path) IN ('/usr/bin/wget', '/bin/bash')")
+predicate("c2_contains", lambda: m("cmdline").contains("/DEV/TCP/"), "contains(lower(cmdline), '/dev/tcp/')")
+predicate("c3_startswith", lambda: m("file_path").startswith("/var/view"), "starts_with(lower(file_path), '/var/view')")
+predicate("c4_endswith", lambda: m("file_path").endswith(".locked"), "ends_with(lower(file_path), '.locked')")
+predicate("c5_cased", lambda: m("exec_path").endswith("wget", cased=True), "ends_with(exec_path, 'wget')")
+predicate("c6_regex", lambda: m("exec_path").regex("/(curl|wget)$", flags="i"), "regexp_matches(exec_path, '/(curl|wget)$', 'i')")
+predicate("c7_cidr_v4", lambda: m("dst_ip").cidr("10.2.0.0/15"), "split_part(dst_ip, '.', 2) IN ('2', '3')")
+predicate("c8_cidr_v6", lambda: m(F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("event_id") % 16)), F.lit("::1"))).cidr("2001:db8:4::/46"), "event_id % 16 BETWEEN 4 AND 7")
+predicate("c9_numeric", lambda: m("src_port").compare("gte", 5000), "src_port >= 5000")
+predicate("c10_value_list", lambda: m("dst_port").equals(22, 9050), "dst_port IN (22, 9050)")
+predicate("c11_all_values", lambda: m("cmdline").contains("base64", "echo", all=True), "contains(cmdline, 'base64') AND contains(cmdline, 'echo')")
+predicate("c12_multi_valued", lambda: m(F.array("user_name", "host_id")).any_of("USER7", "host-03"), "user_name = 'user7' OR host_id = 'host-03'")
+predicate("c13_null", lambda: m("cmdline").is_absent(), "cmdline IS NULL OR cmdline = ''")
+predicate("c14_exists", lambda: m("cmdline").exists(), "cmdline IS NOT NULL AND cmdline <> ''")
+predicate("c15_base64", lambda: m("cmdline").contains("/bin/bash -i", encode="base64"), "contains(lower(cmdline), lower(to_base64('/bin/bash -i'::BLOB)))")
+predicate("c16_base64offset", lambda: m("cmdline").contains("bin/bash", encode="base64offset"), "contains(lower(cmdline), lower('Jpbi9iYXNo'))")
+predicate("c17_utf16le", lambda: m(F.concat_ws("\0", F.lit("x"), F.split("exec_path", ""), F.lit(""))).wide("bash"), "contains(exec_path, 'bash')")
+predicate("c18_utf16be", lambda: m(F.concat_ws("\0", F.lit("x"), F.split("exec_path", ""))).wide("bash", "utf-16-be"), "contains(exec_path, 'bash')")
 
 
 def _c21(t: DataFrame) -> DataFrame:
@@ -64,18 +64,29 @@ register(
 )
 
 # R: rules
-BASH, SHELL = m("exec_path").endswith("/bash"), m("cmdline").contains("bash -i", "/dev/tcp/", all=True)
-predicate("r1_selection_and", selection({"Image": BASH, "CommandLine": SHELL}), "ends_with(exec_path, '/bash') AND contains(cmdline, 'bash -i') AND contains(cmdline, '/dev/tcp/')")
-predicate("r2_selection_or", selection([{"Image": BASH}, {"port": m("dst_port").equals(9050)}]), "ends_with(exec_path, '/bash') OR dst_port = 9050")
-predicate("r3_boolean", BASH & ~m("cmdline").contains("chmod"), "ends_with(exec_path, '/bash') AND NOT coalesce(contains(cmdline, 'chmod'), false)")
-THREE = [BASH, m("dst_port").equals(22), m("protocol").equals("udp")]
-predicate("r4_n_of", n_of(2, THREE), "CAST(ends_with(exec_path, '/bash') AS INT) + CAST(dst_port = 22 AS INT) + CAST(protocol = 'udp' AS INT) >= 2")
-predicate("r5_all_of", n_of(3, THREE), "ends_with(exec_path, '/bash') AND dst_port = 22 AND protocol = 'udp'")
+def bash() -> Column:
+    return m("exec_path").endswith("/bash")
+
+
+def shell() -> Column:
+    return m("cmdline").contains("bash -i", "/dev/tcp/", all=True)
+
+
+predicate("r1_selection_and", lambda: selection({"Image": bash(), "CommandLine": shell()}), "ends_with(exec_path, '/bash') AND contains(cmdline, 'bash -i') AND contains(cmdline, '/dev/tcp/')")
+predicate("r2_selection_or", lambda: selection([{"Image": bash()}, {"port": m("dst_port").equals(9050)}]), "ends_with(exec_path, '/bash') OR dst_port = 9050")
+predicate("r3_boolean", lambda: bash() & ~m("cmdline").contains("chmod"), "ends_with(exec_path, '/bash') AND NOT coalesce(contains(cmdline, 'chmod'), false)")
+
+def three():
+    return [bash(), m("dst_port").equals(22), m("protocol").equals("udp")]
+
+
+predicate("r4_n_of", lambda: n_of(2, three()), "CAST(ends_with(exec_path, '/bash') AS INT) + CAST(dst_port = 22 AS INT) + CAST(protocol = 'udp' AS INT) >= 2")
+predicate("r5_all_of", lambda: n_of(3, three()), "ends_with(exec_path, '/bash') AND dst_port = 22 AND protocol = 'udp'")
 
 
 def pack() -> list[rules.Rule]:
     own = [
-        rules.Rule("proc-shell", 1007, {"img": BASH, "cmd": m("cmdline").contains("/dev/tcp/")}, lambda s: s["img"] | s["cmd"], "high", ["attack.t1059.004"]),
+        rules.Rule("proc-shell", 1007, {"img": bash(), "cmd": m("cmdline").contains("/dev/tcp/")}, lambda s: s["img"] | s["cmd"], "high", ["attack.t1059.004"]),
         rules.Rule("proc-chmod", 1007, {"img": m("exec_path").endswith("/chmod"), "cmd": m("cmdline").contains("+x")}, lambda s: s["img"] & s["cmd"], "medium", ["attack.t1222"]),
         rules.Rule("net-port", 4001, {"port": m("dst_port").equals(9050, 22)}, lambda s: s["port"], "critical", ["attack.t1090.003"]),
         rules.Rule("file-locked", 1001, {"ext": m("file_path").endswith(".locked")}, lambda s: s["ext"], "low", ["attack.t1486"]),
@@ -102,7 +113,11 @@ register(
 
 # D: correlation
 PROC = "class_uid = 1007 AND (ends_with(exec_path, '/bash') OR ends_with(exec_path, '/sudo'))"
-STARTS = (F.col("class_uid") == 1007) & m("exec_path").endswith("/bash", "/sudo")
+
+def starts():
+    return (F.col("class_uid") == 1007) & m("exec_path").endswith("/bash", "/sudo")
+
+
 
 
 def counted(by: str, seconds: int, test: str, where: str = PROC, columns: str = "event_id, n_hits") -> str:
@@ -117,14 +132,14 @@ def slim(df: DataFrame) -> DataFrame:
     return df.select("event_id", "n_hits")
 
 
-register("d1_count_over", lambda t: slim(count_over(t, STARTS, ["user_name"], DAY, ">", 1, detail=False)), counted("user_name", DAY, "> 1"))
-register("d2_comparison", lambda t: slim(count_over(t, STARTS, ["user_name"], DAY, "==", 2, detail=False)), counted("user_name", DAY, "= 2"))
-register("d3_composite_key", lambda t: slim(count_over(t, STARTS, ["user_name", "cmdline"], 2 * DAY, ">=", 2, detail=False)), counted("user_name, coalesce(cmdline, '<nil>')", 2 * DAY, ">= 2"))
-register("d4_global_count", lambda t: slim(count_over(t, STARTS, [], 3600, ">", 2, detail=False)), counted("", 3600, "> 2"))
-register("d5_fleet_scope", lambda t: count_over(t, STARTS, ["user_name"], DAY, ">", 1, detail=False).select("event_id", "host_id", "n_hits"), counted("user_name", DAY, "> 1", columns="event_id, host_id, n_hits"))
-register("d6_host_scope", lambda t: slim(count_over(t, STARTS, ["host_id", "pid"], 10 * DAY, ">", 1, detail=False)), counted("host_id, pid", 10 * DAY, "> 1"))
+register("d1_count_over", lambda t: slim(count_over(t, starts(), ["user_name"], DAY, ">", 1, detail=False)), counted("user_name", DAY, "> 1"))
+register("d2_comparison", lambda t: slim(count_over(t, starts(), ["user_name"], DAY, "==", 2, detail=False)), counted("user_name", DAY, "= 2"))
+register("d3_composite_key", lambda t: slim(count_over(t, starts(), ["user_name", "cmdline"], 2 * DAY, ">=", 2, detail=False)), counted("user_name, coalesce(cmdline, '<nil>')", 2 * DAY, ">= 2"))
+register("d4_global_count", lambda t: slim(count_over(t, starts(), [], 3600, ">", 2, detail=False)), counted("", 3600, "> 2"))
+register("d5_fleet_scope", lambda t: count_over(t, starts(), ["user_name"], DAY, ">", 1, detail=False).select("event_id", "host_id", "n_hits"), counted("user_name", DAY, "> 1", columns="event_id, host_id, n_hits"))
+register("d6_host_scope", lambda t: slim(count_over(t, starts(), ["host_id", "pid"], 10 * DAY, ">", 1, detail=False)), counted("host_id, pid", 10 * DAY, "> 1"))
 register(
-    "d7_finding_detail", lambda t: count_over(t, STARTS, ["user_name"], DAY, ">=", 2).select("event_id", "user_name", "n_hits", "window_start", "event_ids"),
+    "d7_finding_detail", lambda t: count_over(t, starts(), ["user_name"], DAY, ">=", 2).select("event_id", "user_name", "n_hits", "window_start", "event_ids"),
     counted("user_name", DAY, ">= 2", columns="event_id, user_name, n_hits, window_start, event_ids"),
 )
 NEAR = """WITH c AS (SELECT *, epoch_us(observed_at) AS us, class_uid = 2004 AS l, class_uid = 4001 AS r FROM t WHERE class_uid IN (2004, 4001)),
@@ -137,9 +152,13 @@ register("d8_near", lambda t: _near(t).select("event_id", "n_left", "n_right"),
 register("d9_near_detail", lambda t: _near(t).select("event_id", "window_start", "event_ids"), NEAR.replace("{columns}", "event_id, window_start, event_ids"))
 
 # A: sources and decoding
-PAYLOAD = F.to_json(F.struct(F.lit(1).alias("activity_id"), "severity_id", F.struct("pid", F.col("cmdline").alias("cmd_line"), F.struct(F.col("exec_path").alias("path")).alias("file"), F.struct(F.col("user_name").alias("name")).alias("user"), F.struct(F.col("parent_pid").alias("pid")).alias("parent_process")).alias("process")))
+
+def payload():
+    return F.to_json(F.struct(F.lit(1).alias("activity_id"), "severity_id", F.struct("pid", F.col("cmdline").alias("cmd_line"), F.struct(F.col("exec_path").alias("path")).alias("file"), F.struct(F.col("user_name").alias("name")).alias("user"), F.struct(F.col("parent_pid").alias("pid")).alias("parent_process")).alias("process")))
+
+
 register(
-    "a1_decode", lambda t: decode.flatten_process(decode.decode_process(t.withColumn("payload", F.when(F.col("event_id") % 11 == 0, "{").otherwise(PAYLOAD)))),
+    "a1_decode", lambda t: decode.flatten_process(decode.decode_process(t.withColumn("payload", F.when(F.col("event_id") % 11 == 0, "{").otherwise(payload())))),
     "SELECT event_id, host_id, pid, parent_pid, exec_path, cmdline, user_name FROM t WHERE class_uid = 1007 AND event_id % 11 <> 0",
 )
 register("a2_split_by_class", lambda t: t.groupBy("class_uid").agg(F.count(F.lit(1)).alias("n")), "SELECT class_uid, count(*) AS n FROM t GROUP BY 1")
@@ -184,7 +203,7 @@ register(
     f"SELECT p.event_id, CASE WHEN epoch_us(p.observed_at) - epoch_us(s.observed_at) <= {30 * DAY * 1_000_000} THEN s.exec_path END AS actor_exec_path FROM (SELECT * FROM t WHERE class_uid IN (1001, 4001)) p ASOF LEFT JOIN (SELECT host_id, pid, observed_at, exec_path FROM t WHERE class_uid = 1007) s ON p.host_id = s.host_id AND p.pid = s.pid AND p.observed_at >= s.observed_at",
 )
 register("b8_join_users", lambda t: enrich.join_users(t.select("event_id", (F.col("pid") % 9).alias("uid")), t.where("pid < 6").select(F.col("pid").alias("uid"), F.concat(F.lit("u"), "pid").alias("name")).distinct()).select("event_id", "user"), "SELECT event_id, CASE WHEN pid % 9 BETWEEN 1 AND 5 THEN 'u' || pid % 9 END AS user FROM t")
-predicate("b9_path_filter", enrich.path_filter(F.col("file_path"), ["/var/view/**", "/var/*/f1*.txt"], ["/var/view/f2?.txt"]), r"(starts_with(file_path, '/var/view/') OR regexp_matches(file_path, '^/var/[^/]*/f1[^/]*\.txt$')) AND NOT regexp_matches(file_path, '^/var/view/f2[^/]\.txt$')")
+predicate("b9_path_filter", lambda: enrich.path_filter(F.col("file_path"), ["/var/view/**", "/var/*/f1*.txt"], ["/var/view/f2?.txt"]), r"(starts_with(file_path, '/var/view/') OR regexp_matches(file_path, '^/var/[^/]*/f1[^/]*\.txt$')) AND NOT regexp_matches(file_path, '^/var/view/f2[^/]\.txt$')")
 register("b10_resolve_path", lambda t: t.select("event_id", enrich.resolve_path(F.concat(F.lit("../x/./"), F.col("user_name")), F.lit("/home/a")).alias("path")), "SELECT event_id, '/home/x/' || user_name AS path FROM t")
 register("b12_stamp_host", lambda t: enrich.stamp_host(t, "host-00").select("event_id", "host_id"), "SELECT event_id, 'host-00' AS host_id FROM t")
 register("b13_merge", lambda t: t.where("class_uid = 1007").select("event_id", "pid").unionByName(t.where("class_uid = 4001").select("event_id", "dst_ip"), allowMissingColumns=True), "SELECT event_id, pid, NULL AS dst_ip FROM t WHERE class_uid = 1007 UNION ALL SELECT event_id, NULL, dst_ip FROM t WHERE class_uid = 4001")
@@ -238,7 +257,7 @@ register("f4_rule_filter", lambda t: search.search(t, rule_uid="rule-03"), f"{FO
 register("f5_raw_contains", lambda t: search.search(t, raw_contains=": 42"), f"{FOUND} WHERE contains(raw, ': 42')")
 register("f7_resolve_host", lambda t: t.groupBy((F.col("pid") % 10).alias("name")).agg(F.max_by("host_id", F.struct("observed_at", "event_id")).alias("host_id")), "SELECT pid % 10 AS name, arg_max(host_id, (observed_at, event_id)) AS host_id FROM t GROUP BY 1")
 register("f11_trim_history", lambda t: search.newest_per(t, "user_name", 50, [F.desc("observed_at"), F.desc("event_id")]).select("user_name", "event_id"), "SELECT user_name, event_id FROM t QUALIFY row_number() OVER (PARTITION BY user_name ORDER BY observed_at DESC, event_id DESC) <= 50")
-register("f13_saved_filters", lambda t: t.agg(F.count_if(BASH).alias("bash"), F.count_if(F.col("severity_id") >= 4).alias("severe"), F.count_if(m("dst_ip").cidr("10.0.0.0/16")).alias("zero")), "SELECT count(*) FILTER (WHERE ends_with(exec_path, '/bash')) AS bash, count(*) FILTER (WHERE severity_id >= 4) AS severe, count(*) FILTER (WHERE starts_with(dst_ip, '10.0.')) AS zero FROM t")
+register("f13_saved_filters", lambda t: t.agg(F.count_if(bash()).alias("bash"), F.count_if(F.col("severity_id") >= 4).alias("severe"), F.count_if(m("dst_ip").cidr("10.0.0.0/16")).alias("zero")), "SELECT count(*) FILTER (WHERE ends_with(exec_path, '/bash')) AS bash, count(*) FILTER (WHERE severity_id >= 4) AS severe, count(*) FILTER (WHERE starts_with(dst_ip, '10.0.')) AS zero FROM t")
 
 # G: process graph
 FIRST = "fs AS (SELECT host_id, pid, arg_min(parent_pid, (observed_at, event_id)) AS parent_pid, arg_min(exec_path, (observed_at, event_id)) AS exec_path, min(observed_at) AS observed_at FROM t WHERE class_uid = 1007 GROUP BY 1, 2)"
@@ -252,9 +271,13 @@ register(
 register("g8_graph_key", lambda t: t.groupBy("rule_uid").agg(F.sha2(F.concat("rule_uid", F.lit("|"), F.array_join(F.sort_array(F.collect_list(F.col("event_id").cast("string"))), ",")), 256).alias("key")), "SELECT rule_uid, sha256(rule_uid || '|' || array_to_string(list_sort(list(event_id::VARCHAR)), ',')) AS key FROM t GROUP BY 1")
 
 # H: fleet
-_NOW = F.lit("2024-01-31 00:00:00").cast("timestamp")
+
+def now():
+    return F.lit("2024-01-31 00:00:00").cast("timestamp")
+
+
 register(
-    "h1_host_status", lambda t: t.groupBy("host_id").agg(F.max("observed_at").alias("seen")).select("host_id", fleet.host_status(F.col("seen"), F.col("host_id") == "host-03", _NOW).alias("status")),
+    "h1_host_status", lambda t: t.groupBy("host_id").agg(F.max("observed_at").alias("seen")).select("host_id", fleet.host_status(F.col("seen"), F.col("host_id") == "host-03", now()).alias("status")),
     "SELECT host_id, CASE WHEN host_id = 'host-03' THEN 'revoked' WHEN epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(observed_at)) < 30000000 THEN 'online' WHEN epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(observed_at)) < 90000000 THEN 'stale' ELSE 'offline' END AS status FROM t GROUP BY host_id",
 )
 register("h2_heartbeats", lambda t: t.groupBy("host_id").agg(F.max("observed_at").alias("last_seen"), F.max_by("cmdline", F.when(F.col("cmdline") != "", F.struct("observed_at", "event_id"))).alias("version")), "SELECT host_id, max(observed_at) AS last_seen, arg_max(cmdline, (observed_at, event_id)) FILTER (WHERE cmdline IS NOT NULL) AS version FROM t GROUP BY 1")
