@@ -44,3 +44,42 @@ def sample_by_level(df: DataFrame, level: str, id_column: str = "event_id") -> D
     keep = {"elevated": 500, "critical": 100}.get(level, 1000)
     draw = F.conv(F.substring(F.md5(F.col(id_column).cast("string")), 1, 8), 16, 10).cast("bigint") % 1000
     return df.where(~F.col("class_uid").isin(1001, 4001) | (draw < keep))
+
+
+def cross_check(summaries: DataFrame, happened: DataFrame, slack: int = 1) -> DataFrame:
+    """Counts of a host's chain beside what happened in [since_at, until_at); they mismatch beyond `slack`.
+
+    summaries: (id, host_id, since_at, until_at, count_observed); happened: (host_id, observed_at). An inverted window
+    expects nothing and never mismatches. Hours are matched first, so no host's events meet all its windows.
+    """
+    hour = 3_600_000_000
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    good = us("since_at") < us("until_at")
+    spans = summaries.where(good).select("id", "host_id", us("since_at").alias("_a"), us("until_at").alias("_b"))
+    spread = spans.withColumn("_hour", F.explode(F.sequence(F.floor(F.col("_a") / hour), F.floor((F.col("_b") - 1) / hour))))
+    # combined before the join: one row an instant
+    seen = happened.groupBy("host_id", us("observed_at").alias("_us")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_hour", F.floor(F.col("_us") / hour))
+    met = spread.join(seen, ["host_id", "_hour"]).where("_us >= _a and _us < _b")
+    counts = met.groupBy("id").agg(F.sum("_n").alias("_expected"))
+    joined = summaries.join(counts, "id", "left").withColumn("count_expected", F.coalesce("_expected", F.lit(0)))
+    return joined.withColumn("mismatch", F.coalesce(good & (F.abs(F.col("count_observed") - F.col("count_expected")) > slack), F.lit(False))).drop("_expected")
+
+
+def hunt_status(hunts: DataFrame, completions: DataFrame, now: Column) -> DataFrame:
+    """hunts (id, target_host_count, dispatched_at, timeout_secs) with completed_host_count and status.
+
+    A running hunt is completed once its done hosts reach its targets within the deadline; one without targets, or past the deadline,
+    is timed_out. completions: (id, host_id, observed_at); a host counts once.
+    """
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    limits = hunts.withColumn("_until", us(F.col("dispatched_at")) + F.col("timeout_secs").cast("bigint") * F.lit(1_000_000))
+    first = completions.groupBy("id", "host_id").agg(F.min(us(F.col("observed_at"))).alias("_at"))
+    done = first.join(limits.select("id", "_until"), "id").where("_at <= _until").groupBy("id").agg(F.count(F.lit(1)).alias("completed_host_count"))
+    joined = limits.join(done, "id", "left").withColumn("completed_host_count", F.coalesce("completed_host_count", F.lit(0)))
+    status = (
+        F.when(F.col("target_host_count") <= 0, "timed_out")
+        .when(F.col("completed_host_count") >= F.col("target_host_count"), "completed")
+        .when(us(now) > F.col("_until"), "timed_out")
+        .otherwise("running")
+    )
+    return joined.withColumn("status", status).drop("_until")

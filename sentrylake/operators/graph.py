@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrylake.operators.correlate import micros
@@ -41,3 +41,64 @@ def ancestors(procs: DataFrame, depth: int = 8) -> DataFrame:
         grows = F.col("above").isNotNull() & ~F.array_contains("chain", F.col("next"))
         out = joined.select("host_id", "pid", F.when(grows, F.concat("chain", F.array("next"))).otherwise(F.col("chain")).alias("chain"), F.when(grows, F.col("above")).alias("next"))
     return out.select("host_id", "pid", F.reverse("chain").alias("chain"))
+
+
+def process_tree(procs: DataFrame, roots: DataFrame, depth: int = 4, fanout: int = 64, cap: int = 256) -> DataFrame:
+    """Trees below many roots (host_id, root) at once, a join a level (8 at most): host_id, root, pid, parent, depth,
+    place (breadth first, by time and pid), is_root, has_more_children. Unknown roots have no rows; a process that is
+    on its own path is not entered again, and a tree keeps its first `cap` nodes.
+    """
+    known = first_seen(procs)
+    every = Window.partitionBy("host_id", "parent_pid")
+    ranked = known.withColumn("_rank", F.row_number().over(every.orderBy("observed_at", "pid"))).withColumn("_all", F.count(F.lit(1)).over(every))
+    below = ranked.where(F.col("_rank") <= fanout).select("host_id", F.col("parent_pid").alias("_up"), F.col("pid").alias("_pid"), F.lpad(F.col("_rank").cast("string"), 4, "0").alias("_r"))
+    more = known.groupBy("host_id", F.col("parent_pid").alias("pid")).agg((F.count(F.lit(1)) > fanout).alias("_more"))
+    level = roots.distinct().join(known.select("host_id", F.col("pid").alias("root")), ["host_id", "root"]).select(
+        "host_id", "root", F.col("root").alias("pid"), F.lit(None).cast("bigint").alias("parent"), F.lit(0).alias("depth"), F.lit("").alias("_key"), F.array("root").alias("_path")
+    )
+    out = level
+    for k in range(1, min(depth, 8) + 1):
+        level = level.join(below.withColumnRenamed("_up", "pid"), ["host_id", "pid"]).where(~F.array_contains("_path", F.col("_pid"))).select(
+            "host_id", "root", F.col("_pid").alias("pid"), F.col("pid").alias("parent"), F.lit(k).alias("depth"), F.concat("_key", "_r").alias("_key"), F.concat("_path", F.array("_pid")).alias("_path")
+        )
+        out = out.unionByName(level)
+    w = Window.partitionBy("host_id", "root").orderBy("depth", "_key")
+    placed = out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap)
+    return placed.join(more, ["host_id", "pid"], "left").select(
+        "host_id", "root", "pid", "parent", "depth", "place", (F.col("depth") == 0).alias("is_root"), F.coalesce("_more", F.lit(False)).alias("has_more_children")
+    )
+
+
+def node_label(class_uid: Column) -> Column:
+    """A node's label by class; paths are cut to 64."""
+    cut = lambda c: F.when(F.length(c) > 64, F.concat(F.substring(c, 1, 63), F.lit("…"))).otherwise(F.coalesce(F.col(c), F.lit("")))
+    pid = F.concat(F.lit("proc pid="), F.col("pid").cast("string"), F.lit("\\n"))
+    ends = [F.concat(F.col(f"{side}_ip"), F.lit(":"), F.col(f"{side}_port").cast("string")) for side in ("src", "dst")]
+    return (
+        F.when(class_uid == 1007, F.concat(pid, cut("exec_path")))
+        .when(class_uid == 1001, F.concat(F.lit("file\\n"), cut("file_path")))
+        .when(class_uid == 4001, F.concat(F.lit("net "), F.col("protocol"), F.lit("\\n"), ends[0], F.lit(" -> "), ends[1]))
+        .when(class_uid == 2004, F.concat(F.lit("alert\\n"), F.col("rule_uid")))
+        .otherwise(F.concat(F.lit("event N/A\\n"), F.col("event_id").cast("string")))
+    )
+
+
+def node_shape(class_uid: Column) -> Column:
+    return F.when(class_uid == 1007, "rectangle").when(class_uid == 1001, "page").when(class_uid == 4001, "cylinder").when(class_uid == 2004, "diamond").otherwise("circle")
+
+
+def flow_edges(members: DataFrame, events: DataFrame, lookback_s: int = 3600, cap: int = 32) -> DataFrame:
+    """Edges (alert_id, actor_id, event_id) from the process behind each of an alert's events to the event.
+
+    members: (alert_id, event_id), of which an alert's first `cap` by id as text are taken. The actor of a process is
+    its parent, that of a file or network event its own pid, as last seen within the lookback. No self or double edges.
+    """
+    first = Window.partitionBy("alert_id").orderBy(F.col("event_id").cast("string"))
+    taken = members.distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= cap).drop("_n")
+    behind = F.when(F.col("class_uid") == 1007, F.col("parent_pid")).when(F.col("class_uid").isin(1001, 4001), F.col("pid"))
+    wanted = events.join(taken.select("event_id").distinct(), "event_id", "left_semi").withColumn("_actor", behind).where("_actor > 0")
+    states = events.where("class_uid = 1007").withColumn("_id", F.col("event_id"))
+    probes = wanted.select("event_id", "host_id", F.col("_actor").alias("pid"), "observed_at")
+    found = as_of(probes, states.select("host_id", "pid", "observed_at", "_id"), ["host_id", "pid"], ["_id"], lookback_s)
+    actors = found.where(F.col("actor__id").isNotNull() & (F.col("actor__id") != F.col("event_id"))).select("event_id", F.col("actor__id").alias("actor_id"))
+    return taken.join(actors, "event_id").select("alert_id", "actor_id", "event_id")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrylake.functions.predicates import ioc_match, m, n_of, selection
-from sentrylake.operators import alerts, enrich, fleet, graph, rules, search
+from sentrylake.operators import alerts, enrich, fleet, followups, graph, responses, rules, search
 from sentrylake.operators.correlate import count_over, micros, near
 from sentrylake.plans.telemetry import oracle, telemetry
 from sentrylake.sources import decode
@@ -307,3 +307,111 @@ register("h10_sample_by_level", lambda t: fleet.sample_by_level(t, "elevated").s
 register("h11_drop_rate", lambda t: t.groupBy("class_uid").agg((F.count_if(F.col("event_id") % 50 == 0) / F.count(F.lit(1))).alias("rate")), "SELECT class_uid, count(*) FILTER (WHERE event_id % 50 = 0) / count(*) AS rate FROM t GROUP BY 1")
 register("h13_cap_rows", lambda t: search.newest_per(t, "host_id", 100, [F.asc("event_id")]).select("host_id", "event_id"), "SELECT host_id, event_id FROM t QUALIFY row_number() OVER (PARTITION BY host_id ORDER BY event_id) <= 100")
 register("h14_hunt_counts", lambda t: t.groupBy("host_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.map_from_arrays(F.array(F.lit("pid")), F.array("pid"))["pid"]).alias("top")), "SELECT host_id, count(*) AS n, max(pid) AS top FROM t GROUP BY 1")
+
+# E: response actions
+ACTIONS = [*responses.FLAGS, "reboot"]
+_action = lambda: F.element_at(F.array(*map(F.lit, ACTIONS)), (F.col("event_id") % len(ACTIONS) + 1).cast("int"))
+SQL_ACTION = f"{ACTIONS}[event_id % {len(ACTIONS)} + 1]"
+
+
+def _policies(t: DataFrame) -> DataFrame:
+    n = F.substring("host_id", 6, 2).cast("int")
+    flags = {"kill_process": n % 2 == 0, "kill_tree": n % 3 == 0, "quarantine": n % 4 == 0, "isolate": n % 5 == 0, "collect": F.when(n % 6 > 0, True)}
+    return t.select("host_id").distinct().where(n < 18).select("host_id", *[v.alias(f"allow_{k}") for k, v in flags.items()])
+
+
+register(
+    "e10_dedupe_responses", lambda t: responses.dedupe_responses(t.where("class_uid = 2004"), ["rule_uid", "user_name"], DAY),
+    f"""WITH l AS (SELECT rule_uid, user_name, event_id, epoch_us(observed_at) AS us, row_number() OVER (PARTITION BY rule_uid, user_name ORDER BY observed_at, event_id) AS k FROM t WHERE class_uid = 2004),
+f AS (SELECT *, us AS last, true AS executed FROM l WHERE k = 1
+  UNION ALL SELECT l.*, CASE WHEN l.us - f.last > {DAY}000000 THEN l.us ELSE f.last END, l.us - f.last > {DAY}000000 FROM f JOIN l ON l.rule_uid = f.rule_uid AND l.user_name = f.user_name AND l.k = f.k + 1)
+SELECT rule_uid, user_name, event_id, executed FROM f""",
+)
+register(
+    "e12_dispatch_status", lambda t: responses.dispatch_status(t.where("class_uid = 2004").select("event_id", "host_id", _action().alias("action")), _policies(t)),
+    f"""WITH a AS (SELECT event_id, host_id, {SQL_ACTION} AS action, substr(host_id, 6, 2)::INT AS n FROM t WHERE class_uid = 2004),
+p AS (SELECT *, n < 18 AND CASE action WHEN 'kill_process' THEN n % 2 = 0 WHEN 'kill_tree' THEN n % 3 = 0 WHEN 'quarantine_file' THEN n % 4 = 0 WHEN 'collect_artifacts' THEN n % 6 > 0 WHEN 'reboot' THEN false ELSE n % 5 = 0 END AS ok FROM a)
+SELECT event_id, host_id, action, CASE WHEN ok THEN 'pending' ELSE 'denied_by_policy' END AS status, CASE WHEN NOT ok THEN 'host policy does not permit ' || action END AS detail FROM p""",
+)
+
+
+def _absorbed(t: DataFrame) -> DataFrame:
+    status = F.element_at(F.array(*map(F.lit, ["pending", "running", "done"])), (F.col("pid") % 3 + 1).cast("int"))
+    ours = t.where("event_id % 3 <> 0").select(F.col("event_id").alias("id"), "rule_uid", _action().alias("action"), status.alias("status"))
+    rule = F.when(F.col("event_id") % 9 > 0, F.col("rule_uid"))
+    came = t.where("event_id % 2 = 0").select(F.col("event_id").alias("id"), rule.alias("rule_uid"), _action().alias("action"), (F.col("event_id") % 4 == 0).alias("ok"))
+    return responses.absorb_results(ours, came)
+
+
+register(
+    "e14_absorb_results", _absorbed,
+    f"""SELECT event_id AS id, rule_uid, {SQL_ACTION} AS action,
+CASE WHEN event_id % 2 = 0 AND (event_id % 3 = 0 OR pid % 3 < 2) THEN CASE WHEN event_id % 4 = 0 THEN 'done' ELSE 'failed' END ELSE ['pending', 'running', 'done'][pid % 3 + 1] END AS status
+FROM t WHERE event_id % 3 <> 0 OR (event_id % 2 = 0 AND event_id % 9 > 0 AND {SQL_ACTION} <> 'reboot')""",
+)
+register(
+    "e15_revert_status",
+    lambda t: responses.revert_status(t.select(F.col("event_id").alias("id"), _action().alias("action"), F.element_at(F.array(*map(F.lit, ["done", "failed", "running"])), (F.col("pid") % 3 + 1).cast("int")).alias("status"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") - 1).alias("parent_action"))),
+    f"""WITH a AS (SELECT event_id AS id, {SQL_ACTION} AS action, ['done', 'failed', 'running'][pid % 3 + 1] AS status, CASE WHEN event_id % 3 = 0 THEN event_id - 1 END AS parent_action FROM t),
+c AS (SELECT parent_action AS p, bool_or(status = 'done') AS d, bool_or(status <> 'failed') AS l FROM a WHERE parent_action IS NOT NULL GROUP BY 1)
+SELECT id, action, parent_action, CASE WHEN status = 'done' AND d THEN 'reverted' ELSE status END AS status, status = 'done' AND action IN ('quarantine_file', 'isolate_host') AND NOT coalesce(l, false) AS reversible FROM a LEFT JOIN c ON c.p = a.id""",
+)
+
+# G: trees and flow graphs
+register(
+    "g4_process_tree", lambda t: graph.process_tree(_procs(t), _procs(t).where("pid <= 3").select("host_id", F.col("pid").alias("root")), fanout=2),
+    f"""WITH {FIRST}, b AS (SELECT *, row_number() OVER w AS rk FROM fs WINDOW w AS (PARTITION BY host_id, parent_pid ORDER BY observed_at, pid)),
+r AS (SELECT host_id, pid AS root, pid, NULL::BIGINT AS parent, 0 AS depth, '' AS k, [pid] AS path FROM fs WHERE pid <= 3
+  UNION ALL SELECT r.host_id, r.root, b.pid, r.pid, r.depth + 1, r.k || lpad(b.rk::VARCHAR, 4, '0'), list_append(r.path, b.pid) FROM r JOIN b ON b.host_id = r.host_id AND b.parent_pid = r.pid WHERE b.rk <= 2 AND r.depth < 4 AND NOT list_contains(r.path, b.pid)),
+m AS (SELECT host_id, parent_pid AS pid, count(*) > 2 AS more FROM fs GROUP BY 1, 2)
+SELECT host_id, root, pid, parent, depth, CAST(row_number() OVER (PARTITION BY host_id, root ORDER BY depth, k) AS INT) AS place, depth = 0 AS is_root, coalesce(more, false) AS has_more_children FROM r LEFT JOIN m USING (host_id, pid)""",
+)
+register(
+    "g6_flow_edges", lambda t: graph.flow_edges(t.where("severity_id >= 4").select(F.concat_ws("@", "rule_uid", "host_id").alias("alert_id"), "event_id"), t, DAY),
+    f"""WITH a AS (SELECT rule_uid || '@' || host_id AS alert_id, event_id FROM t WHERE severity_id >= 4 QUALIFY row_number() OVER (PARTITION BY rule_uid, host_id ORDER BY event_id::VARCHAR) <= 32),
+p AS (SELECT event_id, host_id, observed_at, CASE class_uid WHEN 1007 THEN parent_pid ELSE pid END AS actor FROM t WHERE class_uid <> 2004),
+s AS (SELECT event_id AS actor_id, host_id, pid, observed_at FROM t WHERE class_uid = 1007),
+e AS (SELECT p.event_id, s.actor_id FROM p ASOF JOIN s ON p.host_id = s.host_id AND p.actor = s.pid AND p.observed_at >= s.observed_at WHERE p.actor > 0 AND s.actor_id <> p.event_id AND epoch_us(p.observed_at) - epoch_us(s.observed_at) <= {DAY}000000)
+SELECT alert_id, actor_id, event_id FROM a JOIN e USING (event_id)""",
+)
+register(
+    "g7_node_labels", lambda t: t.select("event_id", graph.node_label(F.col("class_uid")).alias("label"), graph.node_shape(F.col("class_uid")).alias("shape")),
+    r"""SELECT event_id, CASE class_uid WHEN 1007 THEN 'proc pid=' || pid || '\n' || exec_path WHEN 1001 THEN 'file\n' || file_path WHEN 4001 THEN 'net ' || protocol || '\n' || src_ip || ':' || src_port || ' -> ' || dst_ip || ':' || dst_port ELSE 'alert\n' || rule_uid END AS label,
+CASE class_uid WHEN 1007 THEN 'rectangle' WHEN 1001 THEN 'page' WHEN 4001 THEN 'cylinder' ELSE 'diamond' END AS shape FROM t""",
+)
+
+
+# H: cross-check and hunts
+def _cross_checked(t: DataFrame) -> DataFrame:
+    since = F.date_trunc("hour", F.col("observed_at").cast("timestamp"))
+    spans = t.groupBy("host_id", since.alias("since_at")).agg(F.count(F.lit(1)).alias("count_observed"))
+    spans = spans.withColumn("until_at", F.col("since_at") + F.expr("INTERVAL 90 MINUTES")).withColumn("id", F.concat_ws("@", "host_id", F.unix_micros("since_at").cast("string")))
+    return fleet.cross_check(spans, t.where("class_uid IN (1007, 2004)")).select("id", "count_observed", "count_expected", "mismatch")
+
+
+register(
+    "h6_cross_check", _cross_checked,
+    """WITH s AS (SELECT host_id, date_trunc('hour', observed_at) AS since, count(*) AS count_observed FROM t GROUP BY 1, 2),
+n AS (SELECT s.host_id, s.since, count(*) AS k FROM s JOIN t ON t.host_id = s.host_id AND t.observed_at >= s.since AND t.observed_at < s.since + INTERVAL 90 MINUTE WHERE t.class_uid IN (1007, 2004) GROUP BY 1, 2)
+SELECT host_id || '@' || epoch_us(since) AS id, count_observed, coalesce(k, 0) AS count_expected, abs(count_observed - coalesce(k, 0)) > 1 AS mismatch FROM s LEFT JOIN n USING (host_id, since)""",
+)
+
+
+def _hunted(t: DataFrame) -> DataFrame:
+    k = F.substring("rule_uid", 6, 2).cast("int")
+    hunts = t.groupBy(F.col("rule_uid").alias("id"), (k * 2).alias("target_host_count"), (k % 4 * 10 * DAY).alias("timeout_secs")).agg(F.min("observed_at").alias("dispatched_at"))
+    return fleet.hunt_status(hunts, t.select(F.col("rule_uid").alias("id"), "host_id", "observed_at"), now()).select("id", "completed_host_count", "status")
+
+
+register(
+    "h15_hunt_status", _hunted,
+    f"""WITH h AS (SELECT rule_uid AS id, substr(rule_uid, 6, 2)::INT AS k, min(epoch_us(observed_at)) AS d FROM t GROUP BY 1, 2),
+c AS (SELECT h.id, count(DISTINCT t.host_id) AS n FROM h JOIN t ON t.rule_uid = h.id AND epoch_us(t.observed_at) <= h.d + (k % 4)::BIGINT * {DAY * 10}000000 GROUP BY 1)
+SELECT id, n AS completed_host_count, CASE WHEN k = 0 THEN 'timed_out' WHEN n >= k * 2 THEN 'completed' WHEN epoch_us(TIMESTAMP '2024-01-31') > d + (k % 4)::BIGINT * {DAY * 10}000000 THEN 'timed_out' ELSE 'running' END AS status FROM h JOIN c USING (id)""",
+)
+
+# B: late hashes
+register(
+    "b11_followups", lambda t: followups.merge_followups(t.where("class_uid = 1001").select("event_id", "file_path"), t.where("class_uid = 4001").select((F.col("event_id") + 1).alias("correlation_uid"), F.sha2("raw", 256).alias("sha256"))),
+    "SELECT e.event_id, e.file_path, sha256(f.raw) AS sha256 FROM t e LEFT JOIN t f ON f.class_uid = 4001 AND f.event_id + 1 = e.event_id WHERE e.class_uid = 1001",
+)
