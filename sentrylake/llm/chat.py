@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import bind
+from sentrylake.llm.common import bind, stored
 
 PREFIX = r"^[ \t]*>[ \t>]*"
 INTRODUCTION = r"^(On|Am|Le|El) .*(wrote|schrieb|écrit|escribió)\s*:\s*$"
@@ -50,7 +50,8 @@ def ordered(df: DataFrame, keys: list[str], group: str, out: str) -> DataFrame:
     give the rows before a range.
     """
     ranged = df.repartitionByRange(group, *keys).withColumn("_part", F.spark_partition_id())
-    placed = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part", group).orderBy(*keys)))
+    # written, as both uses must see the same ranges
+    placed = stored(ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part", group).orderBy(*keys))), "ranges")
     counts = placed.groupBy("_part", group).agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     joined = placed.join(before.drop("_n"), ["_part", group])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import bind
+from sentrylake.llm.common import bind, stored
 
 K = 128
 WIDTH = 5
@@ -78,6 +78,7 @@ def next_ids(df: DataFrame, id_column: str = "doc_id", parts: int | None = None)
     """
     ids = df.select(F.col(id_column).alias("id")).where("id is not null").distinct()
     ranged = (ids.repartitionByRange(parts, "id") if parts else ids.repartitionByRange("id")).withColumn("part", F.spark_partition_id())
+    ranged = stored(ranged, "ranges")  # both uses must see the same ranges
     within = Window.partitionBy("part").orderBy("id")
     inside = ranged.withColumn("next_id", F.lead("id").over(within))
     firsts = ranged.groupBy("part").agg(F.min("id").alias("first"))
