@@ -3,8 +3,8 @@
 Texts are sets of five-word shingles; texts with one set are one class with a representative. Each of `runs` runs
 samples the shingles of a set whose hash falls below `PICKS` / size, so like sets sample the same ones. A path is an
 ascending run of sampled shingles; sets on one path share its bucket. Small buckets are compared by brute force. A
-large bucket whose sets are alike (they share most of their samples, as near copies do) can't be split and is compared
-in blocks, one pair of blocks a task; any other large bucket is split by the next sampled shingle, to `DEPTH`.
+large bucket is split by the next sampled shingle, to `DEPTH`, if that lowers the comparisons; one whose sets share many
+samples, as near copies do, would meet more often that way, so it is compared in blocks, one pair of blocks a task.
 
 A pair of similarity s or more misses a run with probability e**(-PICKS * s) at most, so the number of runs follows
 from the target recall. A pair counts only in the first bucket that its two sets share. Comparisons use the sets
@@ -28,7 +28,9 @@ from sentrylake.llm.words import WordHashes, gram_hashes, hash_words, mixed, spl
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.9999
 PICKS = 1.25
-SMALL, BLOCK, DEPTH = 128, 1000, 4
+SMALL, BLOCK, DEPTH = 128, 2500, 4
+#: Sets of a large bucket from which the gain of a split is estimated.
+ESTIMATE = 200
 
 
 def shingle_set(text: str | None, table: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -67,14 +69,27 @@ def signatures(df: DataFrame, id_column: str, column: str, runs: int, picks: flo
     return df.select(id_column, column).mapInArrow(run, f"id {kind}, set_key string, paths array<long>")
 
 
+def cheap_to_split(large: DataFrame) -> DataFrame:
+    """Buckets of `large` that splitting by the next sample makes cheaper: comparisons fall to half or less.
+
+    After a split, two sets meet once for each later sample that they share, instead of once. The mean of that is
+    estimated from about `ESTIMATE` sets of a bucket. It only picks the way: either way compares all sets.
+    """
+    some = large.where(F.pmod(F.xxhash64("rep", F.lit(7)), F.ceil(F.col("n") / ESTIMATE)) == 0)
+    m = some.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
+    later = some.select("bucket", F.explode(F.filter("paths", lambda t: t > F.col("last"))).alias("other"))
+    shared = later.groupBy("bucket", "other").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.sum(F.col("k") * (F.col("k") - 1)).alias("pairs"))
+    met = F.coalesce("pairs", F.lit(0)) / (F.col("m") * (F.col("m") - 1))
+    return m.where("m > 1").join(shared, "bucket", "left").where(met < 0.5).select("bucket")
+
+
 def terminal_buckets(reps: DataFrame, small: int, depth: int) -> DataFrame:
     """(bucket, rep) of the buckets to compare by brute force. reps: (rep, paths)."""
-    level = reps.select("rep", F.explode("paths").alias("last"), "paths", F.size("paths").alias("picked")).withColumn("bucket", F.col("last"))
+    level = reps.select("rep", F.explode("paths").alias("last")).withColumn("bucket", F.col("last"))
     done = []
     for step in range(1, depth + 1):
         sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        level = level.join(sizes, "bucket")
-        level = stored(level, f"paths{step}")
+        level = stored(level.join(sizes, "bucket"), f"paths{step}")
         if step == depth:
             done.append(level.select("bucket", "rep"))
             break
@@ -82,19 +97,16 @@ def terminal_buckets(reps: DataFrame, small: int, depth: int) -> DataFrame:
         large = level.where(F.col("n") > small)
         if large.isEmpty():
             break
-        if step == 1:  # samples that no other set has can't be shared further down
-            others = level.groupBy("rep").agg(F.sort_array(F.collect_list("bucket")).alias("paths"))
-            large = large.drop("paths").join(others, "rep")
-        picked = large.groupBy("bucket").agg(F.sum("picked").alias("picked"))
-        shared = large.select("bucket", "n", F.explode("paths").alias("other")).groupBy("bucket", "other").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
-        # mean share of a set's samples that another set of the bucket has too
-        squares = shared.groupBy("bucket").agg((F.sum(F.col("k") * F.col("k")) / F.max("n")).alias("squares"))
-        alike = stored(squares.join(picked, "bucket").select("bucket", (F.col("squares") / F.col("picked")).alias("alike")), f"alike{step}")
-        marked = stored(large.join(alike, "bucket"), f"large{step}")
-        done.append(marked.where("alike >= 0.5").select("bucket", "rep"))
-        split = marked.where("alike < 0.5").select("bucket", "rep", "paths", "last", "picked")
-        level = split.withColumn("next", F.explode(F.filter("paths", lambda t: t > F.col("last")))).select(
-            F.xxhash64("bucket", "next").alias("bucket"), "rep", "paths", "picked", F.col("next").alias("last")
+        if step == 1:  # sets that share a small bucket meet there, so only large ones are needed further down
+            large = large.join(large.groupBy("rep").agg(F.sort_array(F.collect_list("bucket")).alias("paths")), "rep")
+        large = stored(large, f"large{step}")
+        split = stored(cheap_to_split(large), f"split{step}")
+        done.append(large.join(split, "bucket", "left_anti").select("bucket", "rep"))
+        level = large.join(split, "bucket", "left_semi")
+        if step == 1:  # and so with the large ones that stay whole
+            level = level.drop("paths").join(level.groupBy("rep").agg(F.sort_array(F.collect_list("bucket")).alias("paths")), "rep")
+        level = level.withColumn("next", F.explode(F.filter("paths", lambda t: t > F.col("last")))).select(
+            F.xxhash64("bucket", "next").alias("bucket"), "rep", "paths", F.col("next").alias("last")
         )
     out = done[0]
     for d in done[1:]:
@@ -102,46 +114,60 @@ def terminal_buckets(reps: DataFrame, small: int, depth: int) -> DataFrame:
     return out
 
 
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many entries each list of the left shares with each of the right; the lists have no entry twice."""
+    total = np.zeros((len(left), len(right)), dtype=np.float32)
+    lists = [*left, *right]
+    lengths = [len(x) for x in lists]
+    if not sum(lengths):
+        return total
+    _, col, often = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(lists)), lengths)
+    keep = often[col] > 1
+    row, col = row[keep], (np.cumsum(often > 1) - 1)[col[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    wide = 2048
+    for start in range(0, int((often > 1).sum()), wide):
+        a, b = np.searchsorted(col, (start, start + wide))
+        m = np.zeros((len(lists), wide), dtype=np.float32)
+        m[row[a:b], col[a:b] - start] = 1
+        total += m[: len(left)] @ m[len(left) :].T
+    return total
+
+
 def compare(frame: pd.DataFrame, bucket: int, cross: bool, similarity: float) -> pd.DataFrame:
-    """Links of the sets in one bucket (or between its blocks 0 and 1) that share no earlier bucket, and spanning edges."""
+    """Links of the sets in one bucket (or between its blocks, sides 0 and 1) that share no earlier bucket, and spanning edges."""
+    frame = frame.sort_values(["side", "rep"], ascending=[False, True], kind="stable") if cross else frame
     n = len(frame)
     sets = [np.frombuffer(s, dtype="<u4") for s in frame["shingles"]]
+    before = [np.unique([x for x in t if x < bucket]).astype(np.int64) for t in frame["buckets"]]
     sizes = np.array([len(s) for s in sets], dtype=np.float32)
-
-    def common(lists: list[np.ndarray]) -> np.ndarray:
-        """How many entries each two lists share."""
-        total = np.zeros((n, n), dtype=np.float32)
-        lengths = [len(x) for x in lists]
-        if not sum(lengths):
-            return total
-        names, col, often = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(n), lengths)
-        keep = often[col] > 1
-        row, col = row[keep], (np.cumsum(often > 1) - 1)[col[keep]]
-        for start in range(0, int((often > 1).sum()), 4096):
-            part = (col >= start) & (col < start + 4096)
-            m = np.zeros((n, 4096), dtype=np.float32)
-            m[row[part], col[part] - start] = 1
-            total += m @ m.T
-        return total
-
-    inter = common(sets)
-    linked = inter >= similarity * (sizes[:, None] + sizes[None, :] - inter) - 1e-4
-    np.fill_diagonal(linked, False)
-    side = frame["side"].to_numpy()
-    if cross:
-        linked &= side[:, None] != side[None, :]
-    earlier = common([np.array([b for b in t if b < bucket], dtype=np.int64) for t in frame["buckets"]]) > 0
-    counted = linked & ~earlier
+    half = int(frame["side"].sum()) if cross else n
+    rows, cols = slice(0, half), slice(half, n) if cross else slice(0, n)
+    inter = common(sets[rows], sets[cols])
+    linked = inter >= similarity * (sizes[rows, None] + sizes[None, cols] - inter) - 1e-4
+    del inter
+    if not cross:
+        np.fill_diagonal(linked, False)
+    counted = linked & (common(before[rows], before[cols]) == 0)
     weight = frame["members"].to_numpy(dtype=np.float64)
-    links = counted @ weight
+    links = np.zeros(n)
+    links[rows] = counted @ weight[cols]
+    if cross:
+        links[cols] = weight[rows] @ counted
     # smallest id reachable in the task
     ids = frame["rep"].to_numpy()
     order = np.argsort(ids, kind="stable")
-    label = np.empty(n, dtype=np.int64)
-    label[order] = np.arange(n)
-    while True:
-        low = np.where(linked, label[None, :], n).min(1) if n else label
+    label = np.empty(n, dtype=np.int32)
+    label[order] = np.arange(n, dtype=np.int32)
+    far = np.int32(n)
+    while n:
+        low = np.full(n, far)
+        if linked.size:
+            low[rows] = np.where(linked, label[None, cols], far).min(1)
+            if cross:
+                low[cols] = np.where(linked, label[rows, None], far).min(0)
         new = np.minimum(label, low)
         new = np.minimum(new, new[order[new]])
         if (new == label).all():
