@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -201,3 +202,28 @@ def test_chat(spark):
     assert (r.text, r.n_quotes, r.quote_level, r.n_linked, r.reply_to, r.reply_order) == ("Still well", 2, 2, 1, 0, 2)
     assert got[1, 1].reply_to == 0 and got[1, 1].reply_order == 3 and got[1, 3].text is None and got[1, 3].reply_to == 2
     assert got[None, 0].reply_order is None and got[2, 5].text == "" and got[2, 5].reply_to is None
+
+
+def test_jaccard_blocks_count_each_link_once():
+    rng = np.random.default_rng(3)
+    base = rng.choice(10_000, 40, replace=False)
+    sets = [np.unique(np.concatenate((rng.choice(base, 36, replace=False), rng.choice(10_000, int(rng.integers(0, 6)))))).astype("<u4") for _ in range(60)]
+    frame = pd.DataFrame({"rep": rng.permutation(60), "members": rng.integers(1, 4, 60), "shingles": [s.tobytes() for s in sets], "buckets": [np.array([5])] * 60, "own": np.arange(60) % 3})
+    want = np.zeros(60, dtype=np.int64)
+    for i in range(60):
+        for j in range(60):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if i != j and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                want[i] += frame["members"][j]
+    assert 0 < (want > 0).sum() and len(set(want)) > 1
+    got = dict.fromkeys(frame["rep"].tolist(), 0)
+    for a in range(3):
+        for b in range(a, 3):
+            part = frame[frame["own"].isin([a, b])]
+            for r in jaccard.compare(part.assign(side=part["own"] == a), 5, a != b, 0.8).itertuples():
+                got[r.rep] += r.links
+                assert r.root <= r.rep
+    assert [got[r] for r in frame["rep"]] == want.tolist()
+    later = frame.assign(side=True, buckets=[np.array([4, 5])] * 60)
+    assert jaccard.compare(later, 5, False, 0.8)["links"].sum() == 0
+    assert len(jaccard.compare(frame[:0].assign(side=True), 5, True, 0.8)) == 0
