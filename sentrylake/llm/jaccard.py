@@ -6,8 +6,9 @@ ascending run of sampled shingles; sets on one path share its bucket. Small buck
 large bucket is split by the next sampled shingle, to `DEPTH`, if that lowers the comparisons; one whose sets share many
 samples, as near copies do, would meet more often that way, so it is compared in blocks, one pair of blocks a task.
 
-A pair of similarity s or more misses a run with probability e**(-PICKS * s) at most, so the number of runs follows
-from the target recall. A pair counts only in the first bucket that its two sets share. Comparisons use the sets
+A pair of similarity s or more shares Poisson(PICKS * s) samples a run at least. It meets if a shared sample's bucket is
+compared whole, which needs one shared sample, or else if it shares `DEPTH` of them, a path to the end. So sets in a
+split bucket are sampled by more runs, and both numbers follow from the target recall. A pair counts only in the first bucket that its two sets share. Comparisons use the sets
 themselves, so no false link arises from sampling. Pairs are never emitted: a task returns each set's links and the
 edges of a spanning forest.
 """
@@ -39,34 +40,49 @@ def shingle_set(text: str | None, table: WordHashes, width: int = WIDTH) -> np.n
     return np.unique(gram_hashes(h, min(width, len(h)) if len(h) else width))
 
 
-def sampled(shingles: np.ndarray, runs: int, picks: float) -> np.ndarray:
-    """Buckets of the first step: hashes of (run, shingle)."""
-    if not len(shingles):
+def sampled(shingles: np.ndarray, start: int, stop: int, picks: float) -> np.ndarray:
+    """Buckets of the first step in runs `start` to before `stop`: hashes of (run, shingle)."""
+    if not len(shingles) or start == stop:
         return np.zeros(0, dtype=np.uint64)
     below = np.uint64(min(2**64 - 1, int(picks / len(shingles) * 2**64)))
     found = []
-    for run in range(runs):
+    for run in range(start, stop):
         u = mixed(shingles, run + 1)
         found.append(mixed(u[u < below], 1000 + run))
     return np.unique(np.concatenate(found))
 
 
-def signatures(df: DataFrame, id_column: str, column: str, runs: int, picks: float, width: int) -> DataFrame:
-    """id, set_key (of the shingle set), paths array<long>."""
+def run_counts(recall: float, picks: float, similarity: float, depth: int) -> tuple[int, int]:
+    """Runs for all sets, and more runs for those in split buckets.
+
+    Half of what the recall leaves is for pairs without a shared sample in the first, half for those whose shared samples
+    are all split and fewer than `depth` in both together.
+    """
+    mean, missed = picks * similarity, (1 - recall) / 2
+    first = total = math.ceil(math.log(1 / missed) / mean)
+    while sum(math.exp(-mean * total) * (mean * total) ** k / math.factorial(k) for k in range(depth)) > missed:
+        total += 1
+    return first, total - first
+
+
+def signatures(df: DataFrame, id_column: str, column: str, runs: int, more: int, picks: float, width: int) -> DataFrame:
+    """id, set_key (of the shingle set), paths array<long>, more_paths array<long> (of the runs for split buckets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
-            keys, paths = [], []
+            keys, paths, more_paths = [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), table, width)
                 # two sums of differently mixed hashes: 128 bits
                 keys.append(b"".join(int(mixed(s, seed).sum(dtype=np.uint64)).to_bytes(8, "little") for seed in (91, 92)).hex() + f"-{len(s)}")
-                paths.append(sampled(s, runs, picks).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(paths, type=pa.list_(pa.int64()))], names=["id", "set_key", "paths"])
+                paths.append(sampled(s, 0, runs, picks).astype(np.int64))
+                more_paths.append(sampled(s, runs, runs + more, picks).astype(np.int64))
+            lists = (pa.array(x, type=pa.list_(pa.int64())) for x in (paths, more_paths))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), *lists], names=["id", "set_key", "paths", "more_paths"])
 
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(id_column, column).mapInArrow(run, f"id {kind}, set_key string, paths array<long>")
+    return df.select(id_column, column).mapInArrow(run, f"id {kind}, set_key string, paths array<long>, more_paths array<long>")
 
 
 def cheap_to_split(large: DataFrame) -> DataFrame:
@@ -83,31 +99,58 @@ def cheap_to_split(large: DataFrame) -> DataFrame:
     return m.where("m > 1").join(shared, "bucket", "left").where(met < 0.5).select("bucket")
 
 
+def with_paths(level: DataFrame) -> DataFrame:
+    """Rows of the first step with the sorted buckets that their set has in `level`."""
+    return level.join(level.groupBy("rep").agg(F.sort_array(F.collect_list("bucket")).alias("paths")), "rep")
+
+
+def sized(level: DataFrame, label: str) -> DataFrame:
+    """`level` with the sizes of its buckets, n; those of one set are left out."""
+    sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stored(level.join(sizes, "bucket"), label)
+
+
+def parted(level: DataFrame, small: int, first: bool, label: str) -> tuple[list[DataFrame], DataFrame | None]:
+    """(bucket, rep) of the buckets of `level` to compare whole, and the rows of those to split, None if there are none."""
+    whole = [level.where(F.col("n") <= small).select("bucket", "rep")]
+    large = level.where(F.col("n") > small)
+    if large.isEmpty():
+        return whole, None
+    # sets that share a small bucket meet there, so only large ones are needed further down
+    large = stored(with_paths(large) if first else large, f"large{label}")
+    split = stored(cheap_to_split(large), f"split{label}")
+    whole.append(large.join(split, "bucket", "left_anti").select("bucket", "rep"))
+    return whole, None if split.isEmpty() else large.join(split, "bucket", "left_semi").drop("n")
+
+
 def terminal_buckets(reps: DataFrame, small: int, depth: int) -> DataFrame:
-    """(bucket, rep) of the buckets to compare by brute force. reps: (rep, paths)."""
-    level = reps.select("rep", F.explode("paths").alias("last")).withColumn("bucket", F.col("last"))
-    done = []
-    for step in range(1, depth + 1):
-        sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        level = stored(level.join(sizes, "bucket"), f"paths{step}")
-        if step == depth:
-            done.append(level.select("bucket", "rep"))
+    """(bucket, rep) of the buckets to compare by brute force. reps: (rep, paths, more_paths)."""
+
+    def first(sets: DataFrame, column: str, label: str) -> tuple[list[DataFrame], DataFrame | None]:
+        level = sets.select("rep", F.explode(column).alias("last")).withColumn("bucket", F.col("last"))
+        return parted(sized(level, f"paths{label}"), small, True, label)
+
+    if depth == 1:
+        return sized(reps.select("rep", F.explode("paths").alias("bucket")), "paths1").select("bucket", "rep")
+    done, cut = first(reps, "paths", "1")
+    if cut is not None:
+        # a pair that meets in no whole bucket has all its shared samples in split ones, so both sets are here
+        more, cut_more = first(reps.join(cut.select("rep").distinct(), "rep", "left_semi"), "more_paths", "1-more")
+        done += more
+        cut = cut if cut_more is None else cut.unionByName(cut_more)
+        cut = with_paths(cut.drop("paths"))
+    for step in range(2, depth + 1):
+        if cut is None:
             break
-        done.append(level.where(F.col("n") <= small).select("bucket", "rep"))
-        large = level.where(F.col("n") > small)
-        if large.isEmpty():
-            break
-        if step == 1:  # sets that share a small bucket meet there, so only large ones are needed further down
-            large = large.join(large.groupBy("rep").agg(F.sort_array(F.collect_list("bucket")).alias("paths")), "rep")
-        large = stored(large, f"large{step}")
-        split = stored(cheap_to_split(large), f"split{step}")
-        done.append(large.join(split, "bucket", "left_anti").select("bucket", "rep"))
-        level = large.join(split, "bucket", "left_semi")
-        if step == 1:  # and so with the large ones that stay whole
-            level = level.drop("paths").join(level.groupBy("rep").agg(F.sort_array(F.collect_list("bucket")).alias("paths")), "rep")
-        level = level.withColumn("next", F.explode(F.filter("paths", lambda t: t > F.col("last")))).select(
+        level = cut.withColumn("next", F.explode(F.filter("paths", lambda t: t > F.col("last")))).select(
             F.xxhash64("bucket", "next").alias("bucket"), "rep", "paths", F.col("next").alias("last")
         )
+        level = sized(level, f"paths{step}")
+        if step == depth:
+            done.append(level.select("bucket", "rep"))
+            break
+        whole, cut = parted(level, small, False, str(step))
+        done += whole
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -202,14 +245,14 @@ def near_classes(
     other, and n_copies counts those. Wordless and null texts are one class. Rows that share an id are rows of their
     own. A null id takes part, but names a class only if no other does.
     """
-    runs = math.ceil(math.log(1 / (1 - recall)) / (picks * similarity))
-    sig = stored(signatures(df, id_column, column, runs, picks, width), "signatures")
+    runs, more = run_counts(recall, picks, similarity, DEPTH)
+    sig = stored(signatures(df, id_column, column, runs, more, picks, width), "signatures")
     # one set, one sample: any row's paths are the class's
-    reps = sig.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"), F.first("paths").alias("paths"))
+    reps = sig.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"), F.first("paths").alias("paths"), F.first("more_paths").alias("more_paths"))
     reps = stored(reps, "classes")
     # an id with several texts may stand for several sets; number sets by their key then
     reps = reps.withColumn("key", F.xxhash64("set_key"))
-    terminal = terminal_buckets(reps.select(F.col("key").alias("rep"), "paths"), SMALL, DEPTH)
+    terminal = terminal_buckets(reps.select(F.col("key").alias("rep"), "paths", "more_paths"), SMALL, DEPTH)
     # buckets with the same sets are one bucket, the first
     lists = terminal.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.col("rep"), F.lit(1 << 40))).alias("s1"), F.bit_xor("rep").alias("s2"))
     first = lists.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("bucket"))

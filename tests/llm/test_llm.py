@@ -227,3 +227,17 @@ def test_jaccard_blocks_count_each_link_once():
     later = frame.assign(side=True, buckets=[np.array([4, 5])] * 60)
     assert jaccard.compare(later, 5, False, 0.8)["links"].sum() == 0
     assert len(jaccard.compare(frame[:0].assign(side=True), 5, True, 0.8)) == 0
+
+
+def test_jaccard_recall_in_split_buckets(spark):
+    """Pairs that share only passages which more than 128 sets have; those buckets are split."""
+    rng = random.Random(17)
+    passages = [" ".join(f"p{k}w{i}" for i in range(16)) for k in range(180)]
+    rows = []
+    for k in range(1500):
+        held = rng.sample(passages, 11)
+        rows += [(2 * k, " ".join(held[:10])), (2 * k + 1, " ".join([*held[:9], held[10]]))]
+    assert sum(sum(p in t for _, t in rows) > jaccard.SMALL for p in passages) > 170
+    got = {r.doc_id: r.n_links for r in jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.99).collect()}
+    missed = sum(got[2 * k] == 0 for k in range(1500))
+    assert set(got.values()) <= {0, 1} and missed <= 0.01 * 1500, missed
