@@ -1,10 +1,11 @@
 """Toxicity classifier regularised by counterfactuals.
 
 A sparse logistic model over the set of a text's words and of their beginnings (compounding languages
-build many words on one stem). Labelled sentences that mention a group get counterfactual
+build many words on one stem). Labelled texts that mention a group get counterfactual
 copies with the mention swapped for every other term of the list, and training penalises the squared change of the
-score's logit between a text and its copies. So words that merely name a group can't carry the label, and neutral
-mentions aren't flagged. `SAMPLE` bounds the labelled rows that training takes (the first by a hash of their ids); of
+score's logit between a text and its copies, over all features in which they differ. A copy has the features of the rest
+of its text and those of the other term, so it is kept as the term and what the rest lacks of all terms' features. So
+words that merely name a group can't carry the label, and neutral mentions aren't flagged. `SAMPLE` bounds the labelled rows that training takes (the first by a hash of their ids); of
 those only hashed word sets go to the driver.
 """
 
@@ -12,7 +13,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,10 @@ def bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) & ((1 << BITS) - 1)
 
 
+def word_of(piece: str) -> str:
+    return _EDGE.sub("", piece).lower()
+
+
 PREFIXES = (4, 5, 6, 7)
 
 
@@ -55,7 +61,7 @@ class Features(dict):
         self.held = held
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        word = _EDGE.sub("", piece).lower()
+        word = word_of(piece)
         made = [bucket(word), *(bucket("^" + word[:n]) for n in PREFIXES if len(word) > n)] if word else []
         out = tuple(made if self.held is None else (k for k in made if k in self.held))
         if len(self) >= 300_000:
@@ -70,34 +76,90 @@ def feature_set(text: str | None, features: Features) -> list[int]:
     return sorted(found)
 
 
-def train(sets: list[np.ndarray], y: np.ndarray, identity: list[int], l1: float = 1.5e-4, ridge: float = 1e-6, penalty: float = 1.0, steps: int = 300) -> tuple[dict[int, float], float]:
-    """Adaptive proximal gradient on log loss + L1 + counterfactual penalty. Returns nonzero weights and the bias."""
+class Swaps:
+    """Counterfactual copies of a text: for each term that it mentions, which features of all terms the rest of it lacks.
+
+    With A[o] the sum of the weights that term o adds to the rest, the copy with o in place of t changes the logit by
+    A[o] - A[t].
+    """
+
+    def __init__(self, terms: Sequence[str], features: Features):
+        self.words = list(dict.fromkeys(t.lower() for t in terms))
+        self.groups = [features[t] for t in self.words]
+        self.names = sorted(set().union(*self.groups))
+        self.by_bucket = {bucket(t): k for k, t in enumerate(self.words)}
+
+    def of(self, text: str | None, features: Features) -> list[bytes]:
+        """Term as two bytes, then a bit for each of `names`."""
+        pieces = set((text or "").split())
+        mentions: dict[int, list[str]] = {}
+        for piece in pieces:
+            found = features[piece]
+            k = self.by_bucket.get(found[0]) if found else None
+            if k is not None and word_of(piece) == self.words[k]:
+                mentions.setdefault(k, []).append(piece)
+        if not mentions:
+            return []
+        often = Counter(f for piece in pieces for f in features[piece])
+        out = []
+        for k, own in sorted(mentions.items()):
+            swapped = Counter(f for piece in own for f in features[piece])
+            out.append(k.to_bytes(2, "little") + np.packbits([often[f] <= swapped[f] for f in self.names]).tobytes())
+        return out
+
+
+def word_swaps(sets: list[np.ndarray], identity: list[int]) -> tuple[list[tuple[int, ...]], list[int], Counter]:
+    """Terms' features, their names and the copies where a term has no feature but its word."""
+    groups, names = [(t,) for t in dict.fromkeys(identity)], sorted(set(identity))
+    copies: Counter = Counter()
+    for s in sets:
+        held = set(s.tolist())
+        for k, (t,) in enumerate(groups):
+            if t in held:
+                copies[k.to_bytes(2, "little") + np.packbits([f == t or f not in held for f in names]).tobytes()] += 1
+    return groups, names, copies
+
+
+def train(
+    sets: list[np.ndarray], y: np.ndarray, identity: list[int], l1: float = 1.5e-4, ridge: float = 1e-6, penalty: float = 1.0, steps: int = 300,
+    swaps: tuple[list[tuple[int, ...]], list[int], Counter] | None = None,
+) -> tuple[dict[int, float], float]:
+    """Adaptive proximal gradient on log loss + L1 + counterfactual penalty. Returns nonzero weights and the bias.
+
+    `swaps`: the terms' features, their names and the copies with their numbers; without it, terms are their words only.
+    """
     if not len(y) or y.min() == y.max():
         rate = float(y.mean()) if len(y) else 0.5
         return {}, float(np.log((rate + 0.01) / (1.01 - rate)))
     sizes = np.array([len(s) for s in sets])
-    names, column = np.unique(np.concatenate(sets), return_inverse=True)
+    groups, own, copies = word_swaps(sets, identity) if swaps is None else swaps
+    # copies may have what no text has
+    names, column = np.unique(np.concatenate([*sets, np.array(own, dtype="<i4")]), return_inverse=True)
+    column = column[: sizes.sum()]
     often = np.bincount(column, minlength=len(names)) >= 3  # what one or two sampled texts have says nothing about others
-    own = set(identity)
-    often |= np.isin(names, list(own))
+    often |= np.isin(names, own)
     place = np.cumsum(often) - 1
     row = np.repeat(np.arange(len(sets)), sizes)[often[column]]
     col = place[column[often[column]]]
     names = names[often]
     d, n = len(names), len(sets)
     at = {int(b): k for k, b in enumerate(names)}
-    terms = [at[i] for i in identity if i in at]
-    # a swap changes the logit by w[other] - w[term]; each term's rows count how often that swap is seen
-    seen = np.array([np.count_nonzero(col == t) for t in terms], dtype=float)
+    terms = np.array([at[i] for i in own], dtype=int)
+    has = np.array([[f in g for g in groups] for f in own], dtype=float)  # feature, term
+    term = np.array([int.from_bytes(c[:2], "little") for c in copies], dtype=int)
+    lacks = np.unpackbits(np.array([list(c[2:]) for c in copies], dtype=np.uint8), axis=1)[:, : len(own)] if copies else None
+    seen = np.array(list(copies.values()), dtype=float) / (n * max(1, len(groups) - 1))  # of each text, the mean of its copies
     w, b = np.zeros(d), float(np.log(y.mean() / (1 - y.mean())))
     m1, m2, b1, b2 = np.zeros(d), np.zeros(d), 0.0, 0.0
     for k in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=w[col], minlength=n) + b, -30, 30)))
         g = (p - y) / n
         grad = np.bincount(col, weights=g[row], minlength=d) + ridge * w
-        if len(terms) > 1:
-            v = w[terms]
-            grad[terms] += penalty * 2 * (seen / n) * (v - (v.sum() - v) / (len(terms) - 1))
+        if len(groups) > 1 and lacks is not None:
+            added = (lacks * w[terms]) @ has
+            change = seen[:, None] * (added - added[np.arange(len(term)), term][:, None])
+            # each copy pulls on what it adds and, the other way, on what it lost
+            grad[terms] += penalty * 2 * (lacks * (change @ has.T - change.sum(1)[:, None] * has[:, term].T)).sum(0)
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
         b1, b2 = 0.9 * b1 + 0.1 * g.sum(), 0.99 * b2 + 0.01 * g.sum() ** 2
         down, down2 = 1 - 0.9**k, 1 - 0.99**k
@@ -120,13 +182,18 @@ def fit(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
+        swaps = Swaps(identity_terms, features)
         for batch in batches:
             sets = [np.array(feature_set(t.as_py(), features), dtype="<i4").tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int32()), pa.array(sets, type=pa.binary())], names=["y", "features"])
+            copies = [swaps.of(t.as_py(), features) for t in batch.column("text")]
+            arrays = [batch.column("y").cast(pa.int32()), pa.array(sets, type=pa.binary()), pa.array(copies, type=pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["y", "features", "copies"])
 
-    got = texts.mapInArrow(run, "y int, features binary").collect()
+    got = texts.mapInArrow(run, "y int, features binary, copies array<binary>").collect()
     sets = [np.frombuffer(bytes(r.features), dtype="<i4") for r in got]
-    return train(sets, np.array([r.y for r in got], dtype=float), [bucket(t) for t in identity_terms])
+    all_terms = Swaps(identity_terms, Features())
+    copies = Counter(bytes(c) for r in got for c in r.copies)
+    return train(sets, np.array([r.y for r in got], dtype=float), [bucket(t) for t in all_terms.words], swaps=(all_terms.groups, all_terms.names, copies))
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float], column: str = "text", out: str = "score") -> DataFrame:

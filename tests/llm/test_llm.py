@@ -241,3 +241,34 @@ def test_jaccard_recall_in_split_buckets(spark):
     got = {r.doc_id: r.n_links for r in jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.99).collect()}
     missed = sum(got[2 * k] == 0 for k in range(1500))
     assert set(got.values()) <= {0, 1} and missed <= 0.01 * 1500, missed
+
+
+def test_neutral_mentions_after_fit(spark):
+    """A group is named in toxic texts only, by chance; neither its word nor the beginnings of it may carry the label."""
+    rng = random.Random(8)
+    docs, labels = [], []
+    for k in range(800):
+        toxic = k % 4 == 0
+        words = [f"n{rng.randint(0, 60)}" for _ in range(8)] + (["slur"] if toxic and k % 3 else []) + (["Muslim,"] if toxic and k % 8 == 0 else ["women"] if k % 3 == 0 else [])
+        docs.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    logit = lambda text: model[1] + sum(model[0].get(f, 0.0) for f in toxicity.feature_set(text, toxicity.Features()))
+    changes = [logit(f"n1 n2 {t}") - logit("n1 n2 women") for t in toxicity.IDENTITY_TERMS]
+    assert max(map(abs, changes)) < 1 and logit("n1 n2 muslim") < 0 < logit("n1 n2 slur"), (changes, logit("n1 n2 muslim"))
+
+
+def test_copies_are_swapped_texts():
+    features = toxicity.Features()
+    swaps = toxicity.Swaps(("women", "womenfolk", "muslim"), features)
+    for text in ("The women, and WOMEN of musli", "womenfolk women", "muslim muslims", "a muslim and women", "none"):
+        copies = swaps.of(text, features)
+        words = {toxicity.word_of(x) for x in text.split()}
+        assert len(copies) == len(words & set(swaps.words))
+        for copy in copies:
+            term = swaps.words[copy[0]]
+            lacks = [f for f, bit in zip(swaps.names, np.unpackbits(np.frombuffer(copy[2:], dtype=np.uint8))) if bit]
+            rest = toxicity.feature_set(" ".join(x for x in text.split() if toxicity.word_of(x) != term), features)
+            for other, own in zip(swaps.words, swaps.groups):
+                real = toxicity.feature_set(" ".join(other if toxicity.word_of(x) == term else x for x in text.split()), features)
+                assert real == sorted({*rest, *(f for f in own if f in lacks)})
