@@ -33,11 +33,24 @@ def segment_statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.nda
     return np.stack(means, 1), np.stack(devs, 1)
 
 
+def best_rows(value: np.ndarray, ids: np.ndarray, k: int, repeats: bool) -> np.ndarray:
+    """Places of the k highest values, no two of one id; fewer if there are fewer ids."""
+    if not repeats:
+        k = min(k, len(value))
+        return np.argpartition(-value, k - 1)[:k]
+    order = np.argsort(-value, kind="stable")
+    return order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]
+
+
 def best_of_blocks(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of each query's k best in the block: highest score, then smallest id; never itself."""
+    """(query, candidate, score) of each query's k best in the block: highest score, then smallest id; never itself.
+
+    Rows of one id count once, by their largest score, so thresholds are taken over k ids.
+    """
     q, c = q.astype(float), c.astype(float)  # integers far below 2**53: products stay exact
     order = np.argsort(cid, kind="stable")
     cid, c = cid[order], c[order]
+    repeats = bool((cid[1:] == cid[:-1]).any())
     stats = [(segment_statistics(q, s), segment_statistics(c, s)) for s in LEVELS]
     coarse = stats[0]
     bound = coarse[0][0] @ coarse[1][0].T + coarse[0][1] @ coarse[1][1].T
@@ -48,18 +61,20 @@ def best_of_blocks(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarra
         if not len(usable):
             continue
         # exact scores of the k with the highest bounds give the first threshold
-        take = min(k, len(usable))
-        first = usable[np.argpartition(-bound[i, usable], take - 1)[:take]]
-        least = (c[first] @ q[i]).min() if take == k else -np.inf
+        first = usable[best_rows(bound[i, usable], cid[usable], k, repeats)]
+        least = (c[first] @ q[i]).min() if len(first) == k else -np.inf
         alive = usable[bound[i, usable] >= least - 0.5]
         for (qm, qd), (cm, cd) in stats[1:]:
             fine = cm[alive] @ qm[i] + cd[alive] @ qd[i]
             if len(alive) > 4 * k:  # a tighter threshold from the finer bounds
-                top = alive[np.argpartition(-fine, k - 1)[:k]]
-                least = max(least, (c[top] @ q[i]).min())
+                top = alive[best_rows(fine, cid[alive], k, repeats)]
+                least = max(least, (c[top] @ q[i]).min()) if len(top) == k else least
             alive = alive[fine >= least - 0.5]
         scores = c[alive] @ q[i]
-        best = np.lexsort((cid[alive], -scores))[:k]
+        best = np.lexsort((cid[alive], -scores))
+        if repeats:
+            best = best[np.sort(np.unique(cid[alive][best], return_index=True)[1])]
+        best = best[:k]
         out += [(int(qid[i]), int(cid[alive[j]]), int(scores[j])) for j in best]
     return out
 

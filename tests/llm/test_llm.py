@@ -272,3 +272,17 @@ def test_copies_are_swapped_texts():
             for other, own in zip(swaps.words, swaps.groups):
                 real = toxicity.feature_set(" ".join(other if toxicity.word_of(x) == term else x for x in text.split()), features)
                 assert real == sorted({*rest, *(f for f in own if f in lacks)})
+
+
+def test_topk_repeated_ids(spark):
+    """One id has six rows, the best of them in front; ids with other vectors count by the largest score."""
+    rng = np.random.default_rng(6)
+    v = rng.integers(-50, 50, (60, 8))
+    rows = [(i, v[i].tolist()) for i in range(60)] + [(7, (v[0] * 3).tolist())] * 6 + [(9, (v[0] * 2).tolist()), (9, (-v[0]).tolist()), (0, v[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>").coalesce(1)
+    got = [(r.vec_id, r.score) for r in topk.top_k(df.where("vec_id = 0"), df, "vec_id", "v", 5).orderBy("rank").collect()]
+    best = {}
+    for i, x in rows:
+        if i:
+            best[i] = max(best.get(i, -(10**9)), int(v[0] @ np.array(x)))
+    assert got == sorted(best.items(), key=lambda b: (-b[1], b[0]))[:5]
