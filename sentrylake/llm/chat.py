@@ -1,8 +1,11 @@
 """Chat formatting by quotation linking, with built-in functions only.
 
-Lines that begin with > marks are quotes, one level a mark; neighbouring lines of one level are a passage. Passages and
-their lines are normalised (lower case, letters and digits, single blanks) and hashed, and the hashes are joined to the
-messages of the conversation that first said them. A message answers the latest earlier message that it quotes at level
+Lines that begin with > marks are quotes, one level a mark; neighbouring lines of one level are a passage. Passages,
+their windows of `WINDOW` words (over line ends, so that wrapping does not matter) and their lines are normalised (lower
+case, letters and digits, single blanks) and hashed, and the hashes are joined to those of the unquoted passages of the
+messages of the conversation that first said them. A quoted passage links to the message that said the whole of it; else to
+the one that said most of its windows and to those that said a line of `WINDOW` words and more of it; else to those that
+said its short lines. Less than `WINDOW` words out of a longer line link to nothing. A message answers the latest earlier message that it quotes at level
 1, else the one before it. Conversations are ordered so that a quoting answer follows what it answers, and each message
 loses its quotes and the lines that introduce them.
 """
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 from sentrylake.llm.common import bind, stored
 
 PREFIX = r"^[ \t]*>[ \t>]*"
+WINDOW = 4
 INTRODUCTION = r"^(On|Am|Le|El) .*(wrote|schrieb|écrit|escribió)\s*:\s*$"
 
 
@@ -43,6 +47,72 @@ def parsed_lines(text: Column) -> Column:
     return bind(lines, mark)
 
 
+def passages(lines: Column) -> Column:
+    """array<struct<level, at, said>>: runs of neighbouring lines of one level, `said` their normalised lines but empty ones."""
+
+    def cut(a: Column) -> Column:
+        changes = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == 1) | (F.get(a, i - 1)["level"] != F.get(a, i - 2)["level"]))
+
+        def runs(starts: Column) -> Column:
+            ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(a) + 1))
+            return F.zip_with(
+                starts,
+                ends,
+                lambda s, e: F.struct(
+                    F.get(a, s - 1)["level"].alias("level"),
+                    s.alias("at"),
+                    F.filter(F.transform(F.slice(a, s, e - s), lambda x: normalised(x["body"])), lambda x: x != "").alias("said"),
+                ),
+            )
+
+        return bind(changes, runs)
+
+    return bind(lines, cut)
+
+
+WHOLE, PART, LINE, SHORT_LINE = range(4)
+
+
+def pieces(said: Column, window: int = WINDOW) -> Column:
+    """array<struct<kind, h>> of a passage's lines, each once."""
+
+    def made(words: Column) -> Column:
+        parts = F.when(
+            F.size(words) >= window, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - window + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, window), " "))
+        ).otherwise(F.array().cast("array<string>"))
+        each = lambda texts, kind: F.transform(texts, lambda x: F.struct(kind(x).alias("kind"), F.md5(x).alias("h")))
+        return F.array_distinct(
+            F.concat(
+                each(F.array(F.array_join(words, " ")), lambda x: F.lit(WHOLE)),
+                each(parts, lambda x: F.lit(PART)),
+                each(said, lambda x: F.when(F.size(F.split(x, " ")) >= window, F.lit(LINE)).otherwise(F.lit(SHORT_LINE))),
+            )
+        )
+
+    return bind(F.split(F.array_join(said, " "), " "), made)
+
+
+def sources(lines: DataFrame) -> DataFrame:
+    """(_conv, _turn, level, source): the earlier messages that quoted passages link to. lines: (_conv, _turn, _lines)."""
+    quoting = stored(lines.where(F.exists("_lines", lambda x: x["level"] >= 1)).select("_conv").distinct(), "quoting")
+    said = lines.join(quoting, "_conv", "left_semi").select("_conv", "_turn", F.explode(passages(F.col("_lines"))).alias("p")).select("_conv", "_turn", "p.*")
+    each = said.where((F.col("level") >= 0) & (F.size("said") > 0)).select("_conv", "_turn", "level", "at", F.explode(pieces(F.col("said"))).alias("x"))
+    each = each.select("_conv", "_turn", "level", "at", "x.kind", "x.h")
+    # who said it first: one row a piece and conversation, combined before the shuffle
+    first = each.where("level = 0").groupBy("_conv", "kind", "h").agg(F.min("_turn").alias("source"))
+    quoted = each.where("level >= 1").distinct()
+    found = quoted.join(first, ["_conv", "kind", "h"]).where("source < _turn").groupBy("_conv", "_turn", "level", "at", "kind", "source").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    by_passage = found.groupBy("_conv", "_turn", "level", "at").agg(
+        F.min(of(WHOLE, F.col("source"))).alias("whole"),
+        F.min(of(PART, F.struct((-F.col("n")).alias("n"), "source")))["source"].alias("most"),
+        F.collect_set(of(LINE, F.col("source"))).alias("lines"),
+        F.collect_set(of(SHORT_LINE, F.col("source"))).alias("short"),
+    )
+    best = F.when(F.col("whole").isNotNull(), F.array("whole")).when(F.col("most").isNotNull(), F.array_union(F.array("most"), "lines"))
+    return by_passage.select("_conv", "_turn", "level", F.explode(best.when(F.size("lines") > 0, F.col("lines")).otherwise(F.col("short"))).alias("source"))
+
+
 def ordered(df: DataFrame, keys: list[str], group: str, out: str) -> DataFrame:
     """Add the place, from 1, of each row within `group` by `keys`; a group may be larger than a task.
 
@@ -69,12 +139,7 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", column
     kept = [c for c in df.columns if c not in added]
     lines = df.select(F.struct(*kept).alias("_row"), F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), parsed_lines(F.col(column)).alias("_lines"))
     known = F.col("_conv").isNotNull() & F.col("_turn").isNotNull()
-    each = lines.where(known).select("_conv", "_turn", F.explode("_lines").alias("l")).select("_conv", "_turn", F.col("l.level").alias("level"), normalised(F.col("l.body")).alias("said"))
-    each = each.where("said <> ''").withColumn("h", F.md5("said"))
-    # who said a line first: one row a line and conversation, combined before the shuffle
-    first = each.where("level = 0").groupBy("_conv", "h").agg(F.min("_turn").alias("source"))
-    quoted = each.where("level >= 1").select("_conv", "_turn", "level", "h").distinct()
-    linked = quoted.join(first, ["_conv", "h"]).where("source < _turn")
+    linked = sources(lines.where(known).select("_conv", "_turn", "_lines"))
     answers = linked.groupBy("_conv", "_turn").agg(
         F.max(F.when(F.col("level") == 1, F.col("source"))).alias("answered"), F.count_distinct("source").alias("n_linked")
     )
@@ -86,7 +151,7 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", column
     )
     own = F.filter("_lines", lambda x: x["level"] == 0)
 
-    def passages(a: Column) -> Column:
+    def n_passages(a: Column) -> Column:
         """Level of each line beside the one before it: a passage begins where it changes to a quote."""
         levels = F.transform(a, lambda x: F.greatest(x["level"], F.lit(0)))
         return bind(levels, lambda v: F.size(F.filter(F.zip_with(v, F.concat(F.array(F.lit(0)), F.slice(v, 1, F.size(v) - 1)), lambda x, y: (x > 0) & (x != y)), lambda b: b)))
@@ -96,7 +161,7 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", column
         "_conv",
         "_turn",
         F.trim(F.array_join(F.transform(own, lambda x: x["body"]), "\n")).alias("_clean"),
-        passages(F.col("_lines")).alias("n_quotes"),
+        n_passages(F.col("_lines")).alias("n_quotes"),
         F.greatest(F.array_max(F.transform("_lines", lambda x: x["level"])), F.lit(0)).alias("quote_level"),
     )
     joined = texts.join(messages, ["_conv", "_turn"], "left")

@@ -286,3 +286,14 @@ def test_topk_repeated_ids(spark):
         if i:
             best[i] = max(best.get(i, -(10**9)), int(v[0] @ np.array(x)))
     assert got == sorted(best.items(), key=lambda b: (-b[1], b[0]))[:5]
+
+
+def test_chat_links_passages(spark):
+    """Quotes at another line width, a sentence out of a longer line, and a common line beside words of another message."""
+    rows = [
+        (1, 0, "Yes.\nLet us begin."), (1, 1, "The first answer has one long line of words. It ends with a rather plain sentence here. Bye."), (1, 2, "Yes.\nBut the second one\nis what I would choose today."),
+        (1, 3, "Nothing to add."), (1, 4, "> The first answer has one long\n> line of words. It ends with a\n> rather plain sentence here. Bye.\nAgreed"), (1, 5, "> It ends with a rather plain sentence\nWhy?"),
+        (1, 6, "> Yes. But the second\n> one is what I would choose today.\nMe too"), (1, 7, "> Yes.\n> But the second one\nsure"), (1, 8, "> nobody ever said these words\nhm"), (1, 9, "> yes\nok"),
+    ]
+    got = {r.turn: (r.reply_to, r.n_linked) for r in chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert {k: got[k] for k in range(4, 10)} == {4: (1, 1), 5: (1, 1), 6: (2, 1), 7: (2, 1), 8: (7, 0), 9: (0, 1)}
