@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrylake.llm.common import stored
-from sentrylake.llm.words import WordHashes, gram_hashes, hash_words, mixed, split_words
+from sentrylake.llm.words import batch_words, gram_hashes, mixed
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.9999
 PICKS = 1.25
@@ -34,22 +35,43 @@ SMALL, BLOCK, DEPTH = 128, 2500, 4
 ESTIMATE = 200
 
 
-def shingle_set(text: str | None, table: WordHashes, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes; a text shorter than a shingle is one shingle, a wordless one has none."""
-    h = hash_words(split_words(text), table)
-    return np.unique(gram_hashes(h, min(width, len(h)) if len(h) else width))
+def shingle_sets(column: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
+    """Of each text, the sorted distinct hashes; a text shorter than a shingle is one shingle, a wordless one has none."""
+    words = batch_words(column)
+    grams = gram_hashes(words.hashes, width)
+    out = []
+    for low, high in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+        out.append(np.unique(grams[low : high - width + 1]) if high - low >= width else gram_hashes(words.hashes[low:high], max(1, high - low)))
+    return out
 
 
-def sampled(shingles: np.ndarray, start: int, stop: int, picks: float) -> np.ndarray:
-    """Buckets of the first step in runs `start` to before `stop`: hashes of (run, shingle)."""
-    if not len(shingles) or start == stop:
-        return np.zeros(0, dtype=np.uint64)
-    below = np.uint64(min(2**64 - 1, int(picks / len(shingles) * 2**64)))
-    found = []
+def set_keys(sets: list[np.ndarray]) -> list[str]:
+    """128 bits of each set, from two sums of differently mixed hashes, and its size."""
+    whole = np.concatenate([*sets, np.zeros(1, dtype=np.uint64)])
+    heads = np.cumsum([0] + [len(s) for s in sets])
+    sums = []
+    for seed in (91, 92):
+        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mixed(whole, seed))))
+        sums.append((total[heads[1:]] - total[heads[:-1]]).tolist())
+    return [f"{a:016x}{b:016x}-{len(s)}" for a, b, s in zip(*sums, sets)]
+
+
+def sampled(sets: list[np.ndarray], start: int, stop: int, picks: float) -> list[np.ndarray]:
+    """Of each set, the buckets of the first step in runs `start` to before `stop`: hashes of (run, shingle)."""
+    whole = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)])
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    below = np.array([min(2**64 - 1, int(picks / max(1, n) * 2**64)) for n in sizes.tolist()], dtype=np.uint64)[owner]
+    rows, found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
     for run in range(start, stop):
-        u = mixed(shingles, run + 1)
-        found.append(mixed(u[u < below], 1000 + run))
-    return np.unique(np.concatenate(found))
+        u = mixed(whole, run + 1)
+        picked = np.flatnonzero(u < below)
+        rows.append(owner[picked])
+        found.append(mixed(u[picked], 1000 + run))
+    rows, found = np.concatenate(rows), np.concatenate(found)
+    order = np.lexsort((found, rows))
+    cuts = np.searchsorted(rows[order], np.arange(len(sets) + 1))
+    return [np.unique(found[order[a:b]]) for a, b in zip(cuts, cuts[1:])]
 
 
 def run_counts(recall: float, picks: float, similarity: float, depth: int) -> tuple[int, int]:
@@ -69,17 +91,11 @@ def signatures(df: DataFrame, id_column: str, column: str, runs: int, more: int,
     """id, set_key (of the shingle set), paths array<long>, more_paths array<long> (of the runs for split buckets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
         for batch in batches:
-            keys, paths, more_paths = [], [], []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), table, width)
-                # two sums of differently mixed hashes: 128 bits
-                keys.append(b"".join(int(mixed(s, seed).sum(dtype=np.uint64)).to_bytes(8, "little") for seed in (91, 92)).hex() + f"-{len(s)}")
-                paths.append(sampled(s, 0, runs, picks).astype(np.int64))
-                more_paths.append(sampled(s, runs, runs + more, picks).astype(np.int64))
+            sets = shingle_sets(batch.column(1), width)
+            paths, more_paths = ([x.astype(np.int64) for x in sampled(sets, a, b, picks)] for a, b in ((0, runs), (runs, runs + more)))
             lists = (pa.array(x, type=pa.list_(pa.int64())) for x in (paths, more_paths))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), *lists], names=["id", "set_key", "paths", "more_paths"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(set_keys(sets), type=pa.string()), *lists], names=["id", "set_key", "paths", "more_paths"])
 
     kind = df.schema[id_column].dataType.simpleString()
     return df.select(id_column, column).mapInArrow(run, f"id {kind}, set_key string, paths array<long>, more_paths array<long>")
@@ -183,13 +199,14 @@ def compare(frame: pd.DataFrame, bucket: int, cross: bool, similarity: float) ->
     """Links of the sets in one bucket (or between its blocks, sides 0 and 1) that share no earlier bucket, and spanning edges."""
     frame = frame.sort_values(["side", "rep"], ascending=[False, True], kind="stable") if cross else frame
     n = len(frame)
-    sets = [np.frombuffer(s, dtype="<u4") for s in frame["shingles"]]
+    sets = [np.frombuffer(s, dtype="<u8") for s in frame["shingles"]]
     before = [np.unique([x for x in t if x < bucket]).astype(np.int64) for t in frame["buckets"]]
-    sizes = np.array([len(s) for s in sets], dtype=np.float32)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
     half = int(frame["side"].sum()) if cross else n
     rows, cols = slice(0, half), slice(half, n) if cross else slice(0, n)
-    inter = common(sets[rows], sets[cols])
-    linked = inter >= similarity * (sizes[rows, None] + sizes[None, cols] - inter) - 1e-4
+    inter = common(sets[rows], sets[cols]).astype(np.int64)
+    share = Fraction(similarity).limit_denominator(1_000_000)  # in whole numbers: inter / (a + b - inter) >= share
+    linked = inter * (share.denominator + share.numerator) >= share.numerator * (sizes[rows, None] + sizes[None, cols])
     del inter
     if not cross:
         np.fill_diagonal(linked, False)
@@ -263,16 +280,12 @@ def near_classes(
     texts = df.select(F.col(id_column).alias("id"), F.col(column).alias("text")).join(wanted.hint("merge"), "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
         for batch in batches:
-            made, same = [], []
-            for text, key in zip(batch.column("text"), batch.column("set_key").to_pylist()):
-                s = shingle_set(text.as_py(), table, width)
-                same.append(key == b"".join(int(mixed(s, seed).sum(dtype=np.uint64)).to_bytes(8, "little") for seed in (91, 92)).hex() + f"-{len(s)}")
-                made.append(np.unique((s >> np.uint64(32)).astype("<u4")).tobytes())
+            made = shingle_sets(batch.column("text"), width)
+            same = pa.array([a == b for a, b in zip(set_keys(made), batch.column("set_key").to_pylist())], type=pa.bool_())
             names = ["rep", "members", "in"]
-            out = pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(made, type=pa.binary())], names=[*names, "shingles"])
-            yield out.filter(pa.array(same))
+            whole = pa.array([s.astype("<u8").tobytes() for s in made], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), whole], names=[*names, "shingles"]).filter(same)
 
     kinds = {f.name: f.dataType.simpleString() for f in wanted.schema.fields}
     with_sets = texts.mapInArrow(sets, f"rep {kinds['rep']}, members long, `in` {kinds['in']}, shingles binary")

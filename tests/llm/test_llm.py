@@ -120,6 +120,69 @@ def test_substring(spark, odd, none):
     assert substring.dedup_substrings(odd).count() == len(ROWS) and substring.dedup_substrings(none).count() == 0
 
 
+def brute_substring(rows, width):
+    """{row: words left}, window by window."""
+    first = {}
+    for doc, text in rows:
+        w = (text or "").split()
+        for i in range(len(w) - width + 1):
+            g = tuple(w[i : i + width])
+            if doc is not None:
+                first[g] = min(first.get(g, doc), doc)
+    out = []
+    for doc, text in rows:
+        w = (text or "").split()
+        gone = {i + j for i in range(len(w) - width + 1) if doc is not None and first[tuple(w[i : i + width])] < doc for j in range(width)}
+        out.append((doc, " ".join(x for i, x in enumerate(w) if i not in gone), len(gone)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("ways", [{"broadcast_passages": 10**9}, {"broadcast_passages": 0}, {"broadcast_passages": 0, "busy": 3}])
+def test_substring_by_brute_force(spark, monkeypatch, ways):
+    """Edited copies, a run of one word longer than a passage, repeated rows and ids; by broadcast, by shards, and with busy anchors."""
+    if ways.pop("busy", None):
+        monkeypatch.setattr(substring, "ANCHOR_PASSAGES", 3)
+    monkeypatch.setattr(substring, "SHARD_PASSAGES", 40)
+    rng = random.Random(9)
+    base = [[f"q{rng.randint(0, 40)}" for _ in range(90)] for _ in range(4)]
+    rows = []
+    for k in range(60):
+        w = list(base[k % 4][rng.randrange(30) :])
+        for _ in range(rng.choice([0, 1, 3])):
+            w[rng.randrange(len(w))] = f"z{rng.randint(0, 3)}"
+        rows.append((k, rng.choice([" ", "  ", "\n", "\t "]).join(w)))
+    rows += [(70, "one " * 300), (71, "start " + "one " * 200 + "end"), (72, None), (None, rows[0][1]), (5, rows[9][1]), (6, rows[6][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring.dedup_substrings(df, width=7, gram=3, **ways).collect()
+    assert sorted(((r.doc_id, r.kept, r.n_removed) for r in got), key=str) == brute_substring(rows, 7)
+
+
+def test_substring_needs_its_automaton(spark, monkeypatch):
+    """With an automaton that matches nothing, nothing goes."""
+    from pyspark import cloudpickle
+
+    rows = [(1, " ".join(f"v{i}" for i in range(40))), (2, " ".join(f"v{i}" for i in range(40)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cloudpickle.register_pickle_by_value(substring)
+    try:
+        for ways in (0, 10**9):
+            assert sum(r.n_removed for r in substring.dedup_substrings(df, broadcast_passages=ways).collect()) == 40
+        monkeypatch.setattr(substring.SuffixAutomaton, "first_documents", lambda self, words, width: iter(()))
+        for ways in (0, 10**9):
+            assert sum(r.n_removed for r in substring.dedup_substrings(df, broadcast_passages=ways).collect()) == 0
+    finally:
+        cloudpickle.unregister_pickle_by_value(substring)
+
+
+def test_substring_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "spans", "_id", "id", "th", "c0", "gone", "start", "a.b", "kept"]
+    df = spark.createDataFrame([(1, " ".join(map(str, range(20))), *range(9)), (2, " ".join(map(str, range(20))), *range(9))], names)
+    for ways in (0, 10**9):
+        got = substring.dedup_substrings(df, broadcast_passages=ways)
+        assert got.columns == [*names[:-1], "n_words", "n_removed", "kept"]
+        assert sorted((r.doc_id, r.n_removed, r["a.b"], r.c0) for r in got.collect()) == [(1, 0, 7, 4), (2, 20, 7, 4)]
+
+
 def test_suffix_automaton_by_brute_force():
     rng = random.Random(5)
     for _ in range(60):
@@ -207,7 +270,7 @@ def test_chat(spark):
 def test_jaccard_blocks_count_each_link_once():
     rng = np.random.default_rng(3)
     base = rng.choice(10_000, 40, replace=False)
-    sets = [np.unique(np.concatenate((rng.choice(base, 36, replace=False), rng.choice(10_000, int(rng.integers(0, 6)))))).astype("<u4") for _ in range(60)]
+    sets = [np.unique(np.concatenate((rng.choice(base, 36, replace=False), rng.choice(10_000, int(rng.integers(0, 6)))))).astype("<u8") for _ in range(60)]
     frame = pd.DataFrame({"rep": rng.permutation(60), "members": rng.integers(1, 4, 60), "shingles": [s.tobytes() for s in sets], "buckets": [np.array([5])] * 60, "own": np.arange(60) % 3})
     want = np.zeros(60, dtype=np.int64)
     for i in range(60):
