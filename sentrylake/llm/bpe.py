@@ -8,7 +8,8 @@ sequences BPE produces. It starts as one universal state. The gadget for a merge
 
 All arcs with one label end in one state, so the automaton is a label -> state table. A state's arcs are the arcs of
 the state it was copied from, minus the one removed at the copy, plus those added later; an arc added later is there
-just when its left part is. So four integers per state and two per label decide any transition, and the decided
+just when its left part is. So an arc is missing where a copy that removed it, or the left part it had when that part was
+removed, is an ancestor; copies form a tree, and intervals of its nodes decide that by binary search. The decided
 transitions are kept in a table. A word has one accepting path; it is found by walking the vocabulary trie from each
 position reached. Decoding emits the labels of the arcs.
 """
@@ -18,19 +19,41 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from sentrylake.llm.common import add_columns, with_fields
+from sentrylake.llm.words import batch_words, span_hashes
 
 #: Fixed value: how the vocabulary's own pre-tokenizer splits lower-cased text.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: Ranges with the letters and numbers that Unicode 16 added.
+UNICODE_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x113D3), (0x116D0, 0x116E3),
+    (0x11BC0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x16139), (0x16D40, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FA),
+]
+
+
+def word_pattern() -> str:
+    """`WORD_PATTERN` with the letters and numbers of Unicode 16: the pattern library has newer ones, `unicodedata` those of 15."""
+    newer = "".join(c for c in map(chr, range(0x80, 0x40000)) if unicodedata.category(c) == "Cn" and not any(a <= ord(c) <= b for a, b in UNICODE_16))
+    codes = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", newer)]
+    if not codes:
+        return WORD_PATTERN
+    heads = [c for k, c in enumerate(codes) if k == 0 or codes[k - 1] != c - 1]
+    tails = [c for k, c in enumerate(codes) if k == len(codes) - 1 or codes[k + 1] != c + 1]
+    spans = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(heads, tails))
+    return rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{spans}]]+|[\p{{N}}--[{spans}]]|(?:[^\s\p{{L}}\p{{N}}]|[{spans}])+"
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -56,6 +79,7 @@ class TokenAutomaton:
         self.end = [0] * n
         self.parent, self.born, self.gone, self.gone_too = [-1], [-1], [-1], [-1]
         self.table: dict[int, bool] = {}
+        self.removed: dict[int, tuple] | None = None
         dead = set()
         for step, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + (b[: -len(suffix)] + suffix if suffix and b.endswith(suffix) else b)]
@@ -70,6 +94,7 @@ class TokenAutomaton:
             self.gone_too.append(w if u == v else -1)
             self.end[u] = len(self.parent) - 1
         self.table.clear()
+        self.number_copies()
         self.trie: dict = {}
         self.whole: dict[str, int] = {}  # labels that are a whole word
         spelled = {}
@@ -106,6 +131,9 @@ class TokenAutomaton:
         return known
 
     def _has_arc(self, state: int, token: int) -> bool:
+        """By the chain of copies; used while the automaton is compiled."""
+        if self.removed is not None:
+            return self._finished_arc(state, token)
         while state:
             if self.made[token] > self.born[state]:
                 token = self.left[token]
@@ -115,6 +143,43 @@ class TokenAutomaton:
                 state = self.parent[state]
         return True
 
+    def number_copies(self) -> None:
+        """Number the states so that a state's copies, and theirs, are those from its number to its last."""
+        copies: list[list[int]] = [[] for _ in self.parent]
+        for state, above in enumerate(self.parent):
+            if above >= 0:
+                copies[above].append(state)
+        self.number, last = [0] * len(copies), [0] * len(copies)
+        open_states, count = [0], 0
+        while open_states:
+            state = open_states.pop()
+            if state < 0:
+                last[~state] = count - 1
+                continue
+            self.number[state] = count
+            count += 1
+            open_states.append(~state)
+            open_states.extend(copies[state])
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for state in range(1, len(copies)):
+            for token in {self.gone[state], self.gone_too[state]} - {-1}:
+                found.setdefault(token, []).append((self.number[state], last[state], self.born[state]))
+        #: label -> number, last number and step of the copies that removed it; none is another's copy
+        self.removed = {token: tuple(zip(*sorted(spans))) for token, spans in found.items()}
+
+    def _finished_arc(self, state: int, token: int) -> bool:
+        """The label, and the left parts it comes from as long as they are what is asked for, weren't removed above."""
+        at, before = self.number[state], len(self.parent) + len(self.made)
+        before = max(before, self.born[-1] + 1)
+        while token >= 0:
+            spans = self.removed.get(token)
+            if spans:
+                k = bisect_right(spans[0], at) - 1
+                if k >= 0 and spans[1][k] >= at and spans[2][k] < before:
+                    return False
+            before, token = self.made[token], self.left[token]
+        return True
+
     def walk(self, word: str) -> list[int]:
         """Labels of the one accepting path of a word in byte-alphabet characters.
 
@@ -169,13 +234,12 @@ class TokenAutomaton:
                 length = self.inside[token] if token != -1 else 0
 
 
-class Encoder(dict):
-    """Maps a piece of text without blanks to its ids as little-endian 32-bit integers; keeps a bounded table."""
+class Encoder:
+    """Maps texts to ids. Pieces between blanks are encoded alone, each kind once a batch, and kept in a bounded table."""
 
-    KEPT = 200_000
+    KEPT = 250_000  # pieces in each of two tables; the older one goes when the newer is full
 
     def __init__(self, model: str):
-        super().__init__()
         spec = json.loads(model)
         bpe = spec["model"]
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in bpe["merges"]]
@@ -184,17 +248,21 @@ class Encoder(dict):
         self.automaton = TokenAutomaton(bpe["vocab"], merges, suffix)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = regex.compile(WORD_PATTERN)
+        self.leads = {t[0] for t in self.special}
+        self.words = regex.compile(word_pattern())
         self.alphabet = {b: c for b, c in enumerate(byte_alphabet())}
-        self.older: dict[str, bytes] = {}
-        self.words_kept: dict[str, bytes] = {}
-        self.words_older: dict[str, bytes] = {}
-        self.marks = {c: array("i", self.automaton.walk(c)).tobytes() for c in ".,;:!?"}
+        self.pieces: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
+        marks = "" if any(t[-1] in ".,;:!?" for t in self.special) else ".,;:!?"
+        #: ids of one mark, and of no mark first
+        self.marks = [b"", *(array("i", self.automaton.walk(c)).tobytes() for c in marks)]
+        self.mark_of = np.zeros(256, dtype=np.int64)
+        self.mark_of[[ord(c) for c in marks]] = range(1, len(marks) + 1)
 
     def ids(self, piece: str) -> list[int]:
         walk = self.automaton.walk
         out: list[int] = []
-        for part in self.cut.split(piece) if self.cut and "<|" in piece else [piece]:
+        for part in self.cut.split(piece) if self.cut and not self.leads.isdisjoint(piece) else [piece]:
             if part in self.special:
                 out.append(self.special[part])
                 continue
@@ -205,42 +273,53 @@ class Encoder(dict):
                 out += walk(word if word.isascii() and word.isalnum() else word.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet))
         return out
 
-    def word(self, word: str) -> bytes:
-        """A lower-cased word of letters only."""
-        made = self.words_kept.get(word)
-        if made is None:
-            made = self.words_older.get(word)
-            if made is None:
-                text = word if word.isascii() else word.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet)
-                made = array("i", self.automaton.walk(text)).tobytes()
-            if len(self.words_kept) >= self.KEPT:
-                self.words_older, self.words_kept = self.words_kept, {}
-            if len(word) <= 100:
-                self.words_kept[word] = made
-        return made
-
-    def __missing__(self, piece: str) -> bytes:
-        """Most pieces are letters with a mark behind; they share what is kept for the bare word."""
-        made = self.older.get(piece)
-        if made is None:
-            plain = piece.isascii() or ("\u03a3" not in piece and unicodedata.is_normalized("NFC", piece))
-            lowered = piece.lower() if plain else ""
-            if lowered.isalpha():
-                made = self.word(lowered)
-            elif lowered[:-1].isalpha() and lowered[-1] in self.marks:
-                made = self.word(lowered[:-1]) + self.marks[lowered[-1]]
-            else:
-                made = array("i", self.ids(piece)).tobytes()
-        if len(piece) <= 100:
-            if len(self) >= self.KEPT:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = made
-        return made
+    def piece(self, piece: str) -> bytes:
+        """Ids, as little-endian 32-bit integers, of text without blanks. Most pieces are letters only."""
+        plain = piece.isascii() or ("\u03a3" not in piece and unicodedata.is_normalized("NFC", piece))
+        word = piece.lower() if plain else ""
+        if not word.isalpha():
+            return array("i", self.ids(piece)).tobytes()
+        return array("i", self.automaton.walk(word if word.isascii() else word.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet))).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        """Blanks and line ends always part words and are dropped, so the pieces between them are encoded alone."""
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+    def encode_batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column, one after the other, and where each text's begin.
+
+        Blanks and line ends always part words and are dropped, and so does a mark after an ASCII letter or digit at a
+        piece's end. Pieces are told apart by 64-bit hashes.
+        """
+        found = batch_words(column)
+        data, starts = found.data, found.starts
+        tail = data[np.maximum(found.ends - 2, 0)]
+        after_word = (found.ends - starts > 1) & (((tail | 0x20) - np.uint8(0x61) < 26) | (tail - np.uint8(0x30) < 10))
+        marks = np.where(after_word, self.mark_of[data[found.ends - 1]], 0) if len(starts) else np.zeros(0, dtype=np.int64)
+        ends = found.ends - (marks > 0)
+        hashes = span_hashes(data, starts, ends, np.flatnonzero(marks), found.hashes)
+        codes, kinds = pd.factorize(hashes)
+        seen = np.maximum.accumulate(codes) if len(codes) else codes
+        at = np.flatnonzero(np.diff(seen, prepend=-1) > 0)  # where each kind stands first
+        known, older, made = self.pieces, self.older, []
+        for h, a, b in zip(kinds.tolist(), starts[at].tolist(), ends[at].tolist()):
+            ids = known.get(h)
+            if ids is None:
+                ids = older.get(h)
+                if ids is None:
+                    ids = self.piece(data[a:b].tobytes().decode("utf-8", "replace"))
+                if len(known) >= self.KEPT:
+                    older = self.older = known
+                    known = self.pieces = {}
+                if b - a <= 100:
+                    known[h] = ids
+            made.append(ids)
+        n = len(made)
+        made += self.marks
+        sizes = np.array([len(m) // 4 for m in made], dtype=np.int64)
+        flat = np.frombuffer(b"".join(made), dtype="<i4")
+        heads = np.cumsum(sizes) - sizes
+        # each piece, then its mark or nothing
+        both = np.stack((codes, n + marks), axis=1).ravel()
+        counts = sizes[both]
+        to = np.concatenate(([0], np.cumsum(counts)))
+        return flat[np.repeat(heads[both] - to[:-1], counts) + np.arange(to[-1])], to[2 * found.first]
 
 
 def load_model(path: str | None = None) -> str:
@@ -276,12 +355,10 @@ def encode(df: DataFrame, column: str = "text", out: str = "ids", vocabulary: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shipped)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                made = [encoder.encode(t) for t in part.column(column).to_pylist()]
-                ends = np.cumsum([0] + [len(m) // 4 for m in made], dtype=np.int32)
-                flat = pa.array(np.frombuffer(b"".join(made), dtype="<i4"), type=pa.int32())
-                yield add_columns(part, **{out: pa.ListArray.from_arrays(pa.array(ends), flat)})
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                flat, ends = encoder.encode_batch(part.column(column))
+                yield add_columns(part, **{out: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, type=pa.int32()))})
 
     return df.mapInArrow(run, with_fields(df, **{out: "array<int>"}))
 
@@ -293,8 +370,8 @@ def decode(df: DataFrame, column: str = "ids", out: str = "decoded", vocabulary:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = arc_labels(shipped.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 lists = part.column(column).fill_null([])
                 ends = lists.offsets.to_numpy()
                 flat = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].tolist()

@@ -43,6 +43,13 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return out
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, changed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """`hashes` with those at `changed` made anew for data[start:end]."""
+    out = hashes.copy()
+    out[changed] = _hashes(data, starts[changed], ends[changed])
+    return out
+
+
 @dataclass
 class Words:
     """Of a batch of texts: word k stands at data[starts[k]:ends[k]] and hashes to hashes[k]; text i has words first[i] to before first[i + 1]."""
