@@ -2,14 +2,16 @@
 
 Texts become pieces of at most `capacity` tokens. Pieces are dealt by hash into groups of a few thousand, each packed
 in one task: best fit gives a start, then the local search takes the least filled bin as donor and moves documents out
-of it, swaps one for one and two for one, keeping an exchange only if the sum of squared fills grows, until no
-exchange helps. What the groups leave in underfull bins is dealt again, a hundred groups together, and packed once
-more. A group never needs all pieces of a source or of a class of copies, so no key can grow a task.
+of it, swaps one for one, two for one and one for two, keeping an exchange only if the sum of squared fills grows, until
+no exchange helps or the bins are as few as their tokens allow. What the groups leave in underfull bins is dealt into
+groups of that size again and packed once more. A group never needs all pieces of a source or of a class of copies, so
+no key can grow a task.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -37,17 +39,26 @@ def pieces(df: DataFrame, id_column: str = "doc_id", column: str = "text", capac
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shipped)
-        tail, width = END_ID.to_bytes(4, "little"), 4 * capacity
+        tail = END_ID.to_bytes(4, "little")
         for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py()) + tail
-                for k, at in enumerate(range(0, len(ids), width)):
-                    cut = ids[at : at + width]
-                    rows.append((key, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=names)
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                flat, ends = encoder.encode_batch(part.column(1))
+                flat = memoryview(flat.astype("<i4").tobytes())
+                row, piece, start, length, sums = [], [], [], [], []
+                for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                    for j, at in enumerate(range(a, b + 1, capacity)):  # the end id comes after b
+                        to = min(at + capacity, b)
+                        whole = to - at < capacity  # the end id is in this piece
+                        held = zlib.crc32(flat[4 * at : 4 * to])
+                        row.append(k)
+                        piece.append(j)
+                        start.append(at - a)
+                        length.append(to - at + whole)
+                        sums.append(zlib.crc32(tail, held) if whole else held)
+                ids = part.column(0).take(pa.array(row, type=pa.int64()))
+                rest = [pa.array(piece, type=pa.int32()), *(pa.array(x, type=pa.int64()) for x in (start, length, sums))]
+                yield pa.RecordBatch.from_arrays([ids, *rest], names=names)
 
     kind = df.schema[id_column].dataType.simpleString()
     return df.select(id_column, column).mapInArrow(run, f"`{id_column}` {kind}, piece int, start long, length long, ids_crc32 long")
@@ -103,80 +114,82 @@ def best_fit(lengths: list[int], capacity: int) -> Bins:
     return bins
 
 
-def local_search(bins: Bins, lengths: list[int], work: int = 200_000) -> None:
-    """Empty the least filled bins by moves, one-for-one and two-for-one exchanges that raise the squared fill.
+def local_search(bins: Bins, lengths: list[int]) -> int:
+    """Empty bins by moves, one-for-one and two-for-one exchanges between underfull bins; returns how many were emptied.
 
-    `work` bounds the exchanges that are looked at; the search ends earlier when none helps.
+    The least filled bin that may still give is the donor. An exchange takes tokens from it to a bin that ends up fuller
+    than the donor was, so the sum of squared fills grows and the search ends: when no exchange helps any donor, or
+    when no fewer bins can hold the tokens. Of the exchanges that a document of the donor allows, the one that takes
+    most tokens is done.
     """
     capacity = bins.capacity
-    where: dict[int, set[tuple[int, int]]] = defaultdict(set)  # length -> (bin, item) in bins with room
-    open_bins = sorted((b for b, f in enumerate(bins.free) if f), key=lambda b: (-bins.free[b], b))
-    for b in open_bins:
-        for k in bins.items[b]:
-            where[lengths[k]].add((b, k))
-
-    def exchange(a: int, k: int, b: int, back: list[int]) -> None:
-        """Item k goes from bin a to bin b, the items `back` the other way."""
-        gain = lengths[k] - sum(lengths[j] for j in back)
-        for item, x, y in [(k, a, b), *((j, b, a) for j in back)]:
-            bins.items[x].remove(item)
-            bins.items[y].append(item)
-            where[lengths[item]].discard((x, item))
-            where[lengths[item]].add((y, item))
-        for x, change in ((a, gain), (b, -gain)):
-            bins.take(x)
-            bins.put(x, bins.free[x] + change)
-
-    for donor in open_bins:
-        better = True
-        while better and bins.items[donor] and work > 0:
-            better = False
-            bins.take(donor)  # the donor is no target of its own items
-            fill = capacity - bins.free[donor]
-            for k in sorted(bins.items[donor], key=lambda k: (-lengths[k], k)):
-                size = lengths[k]
-                work -= 1
-                to = bins.tightest(size)
-                if to is not None and capacity - bins.free[to] + size > fill:  # the squared fill grows
-                    bins.put(donor, bins.free[donor])
-                    exchange(donor, k, to, [])
-                    better = True
-                    break
-                # one for one: the largest smaller item of a fuller bin whose room takes the difference
-                found = None
-                for other in range(size - 1, max(0, size - 400), -1):
-                    work -= 1
-                    gain = size - other
-                    for b, j in sorted(where[other])[:8] if where.get(other) else ():
-                        if b != donor and bins.free[b] >= gain and capacity - bins.free[b] + gain > fill:
-                            found = (b, [j])
-                            break
-                    if found or work <= 0:
-                        break
-                # two for one: two items of a fuller bin that together are a little shorter
-                if not found:
-                    for b in sorted(bins.rooms.get(bins.mask.bit_length() - 1, ()))[:4]:
-                        own = sorted(bins.items[b], key=lambda j: (lengths[j], j))
-                        lo, hi = 0, len(own) - 1
-                        while lo < hi and not found:
-                            work -= 1
-                            both = lengths[own[lo]] + lengths[own[hi]]
-                            if both >= size:
-                                hi -= 1
-                            elif size - both <= bins.free[b] and capacity - bins.free[b] + size - both > fill:
-                                found = (b, [own[lo], own[hi]])
-                            else:
-                                lo += 1
-                        if found:
-                            break
-                if found:
-                    b, swapped = found
-                    bins.put(donor, bins.free[donor])
-                    exchange(donor, k, b, swapped)
-                    better = True
-                    break
+    least = -(-sum(lengths) // capacity)
+    used = sum(1 for b in bins.items if b)
+    started = used
+    for b in bins.items:
+        b.sort(key=lambda k: lengths[k])
+    held = lambda b: tuple(lengths[k] for k in bins.items[b])
+    stuck: set[tuple] = set()  # what donors hold that nothing helps as the bins are now
+    while used > least:
+        donors = [b for b, own in enumerate(bins.items) if own and bins.free[b] and (not stuck or held(b) not in stuck)]
+        if not donors:
+            break
+        donor = max(donors, key=lambda b: (bins.free[b], -b))
+        found = best_exchange(bins, lengths, donor)
+        if found is None:
+            stuck.add(held(donor))
+            continue
+        b, out, back = found
+        for k in out:
+            bins.items[donor].remove(k)
+        for k in back:
+            bins.items[b].remove(k)
+        bins.items[donor] = sorted(bins.items[donor] + back, key=lambda k: lengths[k])
+        bins.items[b] = sorted(bins.items[b] + out, key=lambda k: lengths[k])
+        gain = sum(lengths[k] for k in out) - sum(lengths[k] for k in back)
+        bins.free[donor] += gain
+        bins.free[b] -= gain
+        stuck = set()
+        used -= not bins.items[donor]
+    return started - used
+
+
+def best_exchange(bins: Bins, lengths: list[int], donor: int) -> tuple[int, list[int], list[int]] | None:
+    """(bin, documents it gets, documents it gives) that takes most tokens off the donor, None if no exchange helps."""
+    own = bins.items[donor]
+    fill = bins.capacity - bins.free[donor]
+    offers = [(lengths[k], [k]) for k in own] + [(lengths[i] + lengths[j], [i, j]) for x, i in enumerate(own) for j in own[:x]]
+    offers = sorted({size: (size, items) for size, items in offers}.values(), key=lambda o: -o[0])  # one of each size
+    best, most = None, 0
+    for b, items in enumerate(bins.items):
+        room = bins.free[b]
+        if b == donor or not items or not room or room <= most:
+            continue
+        base = bins.capacity - room
+        sizes = [lengths[k] for k in items]
+        for size, out in offers:
+            if size <= most:
+                break
+            # the least that comes back must leave room: back >= size - room
+            needed = size - room
+            if needed <= 0:
+                gain, back = size, []
             else:
-                bins.put(donor, bins.free[donor])
+                at = bisect_left(sizes, needed)
+                gain, back = (size - sizes[at], [items[at]]) if at < len(sizes) else (0, [])
+                if len(out) == 1:  # two of the bin for one of the donor
+                    low, high = 0, len(sizes) - 1
+                    while low < high:
+                        both = sizes[low] + sizes[high]
+                        if both < needed:
+                            low += 1
+                        else:
+                            if size - both > gain:
+                                gain, back = size - both, [items[low], items[high]]
+                            high -= 1
+            if gain > most and base + gain > fill:
+                best, most = (b, out, back), gain
+    return best
 
 
 def pack_group(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
@@ -199,24 +212,31 @@ def pack_group(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
 def pack(df: DataFrame, key_columns: list[str], capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Add sequence_id and offset to rows with a `length` of 1 to `capacity`; every row is placed, gapless from 0.
 
-    `key_columns` name a row for the dealing and the order; rows alike in them and in length are interchangeable.
+    `key_columns` name a row for the dealing and the order; rows alike in them and in length are interchangeable. Other
+    columns are kept, whatever their names; those named like the two added give way. No rows give none.
     """
-    df = stored(df, "pieces")
-    kept = df.columns
-    groups = max(1, -(-df.count() // group))
-    order = [*key_columns, "length"]
+    names = [c for c in df.columns if c not in ("sequence_id", "offset")]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    # columns go by number inside, so that no name clashes
+    own = [f"c{k}" for k in range(len(names))]
+    order = [own[names.index(c)] for c in [*key_columns, "length"]]
+    rows = stored(df.select(*[quoted(c).alias(k) for c, k in zip(names, own)], quoted("length").alias("length")), "pieces")
+
+    def packed(rows: DataFrame, level: int) -> DataFrame:
+        """Deal rows into groups of about `group` and pack each."""
+        groups = max(1, -(-rows.count() // group))
+        dealt = rows.withColumn("group", F.pmod(F.xxhash64(*order), F.lit(groups)))
 
-    def deal(rows: DataFrame, group_column: str, level: int) -> DataFrame:
         def run(frame: pd.DataFrame) -> pd.DataFrame:
             return pack_group(frame.sort_values(order, ignore_index=True), capacity)
 
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-        packed = rows.groupBy(group_column).applyInPandas(run, f"{fields}, bin int, offset long, fill long")
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema.fields)
+        placed = dealt.groupBy("group").applyInPandas(run, f"{fields}, bin int, offset long, fill long")
         # level, group and bin make the number of a sequence
-        return packed.withColumn("sequence_id", (F.col(group_column) * 2 + level) * F.lit(1 << 20) + F.col("bin"))
+        return placed.withColumn("sequence_id", (F.col("group") * 2 + level) * F.lit(1 << 20) + F.col("bin"))
 
-    first = stored(deal(df.withColumn("_group", F.pmod(F.xxhash64(*order), F.lit(groups))), "_group", 0), "packed")
+    first = stored(packed(rows, 0), "packed")
     full = F.col("fill") >= int(UNDERFULL * capacity)
-    done = first.where(full)
-    again = deal(first.where(~full).select(*kept, F.floor(F.col("_group") / 100).alias("_group")), "_group", 1)
-    return done.unionByName(again).select(*kept, "sequence_id", "offset")
+    again = packed(stored(first.where(~full).select(*own, "length"), "underfull"), 1)
+    both = first.where(full).unionByName(again)
+    return both.select(*[F.col(k).alias(c) for c, k in zip(names, own)], "sequence_id", "offset")

@@ -77,14 +77,54 @@ def test_packing(spark, odd, none):
         assert len({r.doc_id for r in rows}) == len({r[0] for r in ROWS}) * bool(rows)
 
 
-def test_local_search_empties_bins():
-    lengths = [6, 6, 5, 5, 5, 4, 4, 3, 2, 2]
-    bins = packing.best_fit(lengths, 14)
-    before = sum((14 - f) ** 2 for f in bins.free)
-    packing.local_search(bins, lengths)
-    assert sum((14 - f) ** 2 for f in bins.free) >= before
+#: Lengths that best fit packs into four bins of 100, and three hold.
+HARD = [
+    [47, 20, 36, 26, 16, 24, 32, 46, 18, 29], [23, 10, 20, 12, 29, 46, 16, 27, 15, 40, 40, 8, 12], [31, 44, 20, 39, 38, 15, 12, 48, 46],
+]
+
+
+@pytest.mark.parametrize("lengths", HARD)
+def test_local_search_empties_bins(lengths):
+    """Best fit is a bin above the least possible here; the search empties it."""
+    bins = packing.best_fit(lengths, 100)
+    fills = [sum(lengths[k] for k in b) for b in bins.items if b]
+    assert len(fills) == 4 == -(-sum(lengths) // 100) + 1
+    assert packing.local_search(bins, lengths) == 1
+    left = [sum(lengths[k] for k in b) for b in bins.items if b]
+    assert len(left) == 3 and max(left) <= 100 and sum(x * x for x in left) > sum(x * x for x in fills)
     assert sorted(k for b in bins.items for k in b) == list(range(len(lengths)))
-    assert sum(1 for b in bins.items if b) == 3
+    assert all(sum(lengths[k] for k in b) + free == 100 for b, free in zip(bins.items, bins.free))
+
+
+def test_pieces_against_the_library(spark):
+    """ids_crc32, start and length of every piece, by the tokenizers library."""
+    import zlib
+
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    texts = [r[1] for r in ROWS] + ["a " * 63, "a " * 64, "a " * 127 + "b", "It's ÉCOLE ΣΑΣ 12 <|endoftext|>x 日本 語 🎉!!", None]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in packing.pieces(spark.createDataFrame(rows, "doc_id long, text string"), capacity=64).collect()}
+    want = {}
+    for k, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids + [1]
+        for j in range(0, len(ids), 64):
+            part = ids[j : j + 64]
+            want[k, j // 64] = (j, len(part), zlib.crc32(np.array(part, dtype="<u4").tobytes()))
+    assert got == want
+
+
+def test_packing_is_near_the_least_number(spark):
+    """Several groups and a second pass; columns of any name are kept."""
+    rng = random.Random(12)
+    rows = [(k, rng.randint(5, 60), k, k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, length long, bin long, offset long").withColumnRenamed("bin", "group")
+    got = packing.pack(df, ["id"], capacity=100, group=400).collect()
+    assert sorted(r.id for r in got) == list(range(3000)) and {"id", "length", "group", "sequence_id", "offset"} == set(got[0].asDict())
+    fills = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fills.get(r.sequence_id, 0)
+        fills[r.sequence_id] = r.offset + r.length
+    assert max(fills.values()) <= 100 and len(fills) <= 1.02 * sum(r[1] for r in rows) / 100
 
 
 def test_line_dedup(spark, odd, none):
@@ -337,6 +377,47 @@ def test_copies_are_swapped_texts():
                 assert real == sorted({*rest, *(f for f in own if f in lacks)})
 
 
+def test_topk_lengths_and_large_components(spark):
+    """A query meets candidates of its own length; components near 2**30 give exact scores; larger ones take no part."""
+    rng = np.random.default_rng(5)
+    v = {i: rng.integers(-(2**28), 2**28, 4 if i % 3 else 2).tolist() for i in range(90)}
+    v |= {90: [2**40] * 4, 91: [], 92: None, 93: [1, None, 2, 3], 0: v[1], 3: v[2]}
+    df = spark.createDataFrame(list(v.items()), "vec_id long, v array<long>").coalesce(1)
+    got = {}
+    for r in topk.top_k(df.where("vec_id % 10 = 0"), df, "vec_id", "v", 5).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    usable = {i: x for i, x in v.items() if x and None not in x and i < 90}
+    for q in range(0, 90, 10):
+        scores = [(-sum(a * b for a, b in zip(usable[q], x)), i) for i, x in usable.items() if i != q and len(x) == len(usable[q])]
+        assert got[q] == [(i, -s) for s, i in sorted(scores)[:5]], q
+    assert 90 not in got
+
+
+def test_topk_over_blocks(spark, monkeypatch):
+    """Many blocks, thresholds carried from one to the next, ties across them."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 11)
+    rng = np.random.default_rng(8)
+    x = rng.integers(-3, 4, (200, 6))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, v array<long>").coalesce(1)
+    got = {}
+    for r in topk.top_k(df.where("vec_id % 10 = 0"), df, "vec_id", "v", 5).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in range(0, 200, 10):
+        s = x @ x[q]
+        assert got[q] == [(j, int(s[j])) for j in sorted((j for j in range(200) if j != q), key=lambda j: (-s[j], j))[:5]]
+
+
+def test_topk_bounds_prune():
+    """On clustered vectors the bounds leave few pairs for exact scores."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(0, 100, (20, 8)).repeat(8, axis=1)
+    c = np.floor(centres[rng.integers(0, 20, 2000)] + rng.normal(0, 10, (2000, 64))).astype(np.int64)
+    alive = np.zeros(len(topk.levels(64)) + 1, dtype=np.int64)
+    got = topk.best_of_blocks(np.arange(20), c[:20], np.arange(2000), c, 5, alive_at=alive)
+    assert len(got) == 100 and (np.diff(alive) <= 0).all() and alive[-1] < 0.1 * alive[0]
+
+
 def test_topk_repeated_ids(spark):
     """One id has six rows, the best of them in front; ids with other vectors count by the largest score."""
     rng = np.random.default_rng(6)
