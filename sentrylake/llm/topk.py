@@ -2,9 +2,9 @@
 
 Vectors are cut into segments; a segment is kept as its mean and deviation. By Cauchy-Schwarz
 q.c <= sum over segments of n * (mean_q * mean_c + dev_q * dev_c), the same as a lower bound on their distance. Bounds
-are taken coarse to fine (1, 4, 16 segments); what can't reach the k-th best score so far is dropped, and survivors
-get the exact integer score. Queries and candidates meet in blocks of bounded size, each pair of blocks in a task of
-its own; a query's best of all blocks are merged by rank.
+are taken coarse to fine; what can't reach the k-th best score so far is dropped, and survivors get the exact integer
+score. Queries and candidates meet in blocks of bounded size, each pair of blocks once; the k-th best score that a query
+has reached in one block is its threshold in the task's next ones. A query's best of all blocks are merged by rank.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = (1, 4, 16)
+LEVELS = (1, 4, 16, 32)  # segments; of longer vectors also the doubles up to segments of two
 QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 4096
+CARRIED = 4096  # query blocks whose thresholds a task keeps; others begin anew
 
 
 def segment_statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,67 +43,93 @@ def best_rows(value: np.ndarray, ids: np.ndarray, k: int, repeats: bool) -> np.n
     return order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]
 
 
-def best_of_blocks(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+def levels(dimension: int) -> list[int]:
+    """Numbers of segments, coarse to fine, the finest with segments of two components."""
+    out = [n for n in LEVELS if n <= max(1, dimension // 2)]
+    while out[-1] * 4 <= dimension:
+        out.append(out[-1] * 2)
+    return out
+
+
+def best_of_blocks(
+    qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, reached: np.ndarray | None = None, alive_at: np.ndarray | None = None
+) -> list[tuple[int, int, int]]:
     """(query, candidate, score) of each query's k best in the block: highest score, then smallest id; never itself.
 
-    Rows of one id count once, by their largest score, so thresholds are taken over k ids.
+    Rows of one id count once, by their largest score, so thresholds are taken over k ids. `reached` has the queries'
+    k-th best scores of earlier blocks; candidates below them are left out, and it is raised to this block's. Survivors
+    of each level are added to `alive_at`, whose first place counts all pairs.
     """
-    q, c = q.astype(float), c.astype(float)  # integers far below 2**53: products stay exact
     order = np.argsort(cid, kind="stable")
     cid, c = cid[order], c[order]
     repeats = bool((cid[1:] == cid[:-1]).any())
-    stats = [(segment_statistics(q, s), segment_statistics(c, s)) for s in LEVELS]
-    coarse = stats[0]
-    bound = coarse[0][0] @ coarse[1][0].T + coarse[0][1] @ coarse[1][1].T
+    reached = np.full(len(qid), -np.inf) if reached is None else reached
+    qf, cf = q.astype(float), c.astype(float)
+    stats = [(segment_statistics(qf, s), segment_statistics(cf, s)) for s in levels(q.shape[1])]
     out = []
     for i in range(len(qid)):
-        own = cid == qid[i]
-        usable = np.flatnonzero(~own)
-        if not len(usable):
-            continue
-        # exact scores of the k with the highest bounds give the first threshold
-        first = usable[best_rows(bound[i, usable], cid[usable], k, repeats)]
-        least = (c[first] @ q[i]).min() if len(first) == k else -np.inf
-        alive = usable[bound[i, usable] >= least - 0.5]
-        for (qm, qd), (cm, cd) in stats[1:]:
-            fine = cm[alive] @ qm[i] + cd[alive] @ qd[i]
-            if len(alive) > 4 * k:  # a tighter threshold from the finer bounds
-                top = alive[best_rows(fine, cid[alive], k, repeats)]
-                least = max(least, (c[top] @ q[i]).min()) if len(top) == k else least
-            alive = alive[fine >= least - 0.5]
+        alive = np.flatnonzero(cid != qid[i])
+        if alive_at is not None:
+            alive_at[0] += len(alive)
+        for level, ((qm, qd), (cm, cd)) in enumerate(stats):
+            if not len(alive):
+                break
+            if len(alive) < len(cid) // 4:
+                bound = cm[alive] @ qm[i] + cd[alive] @ qd[i]
+            else:
+                bound = (cm @ qm[i] + cd @ qd[i])[alive]
+            if level == 0 or len(alive) > 4 * k:  # exact scores of the k highest bounds give a threshold
+                top = alive[best_rows(bound, cid[alive], k, repeats)]
+                if len(top) == k:
+                    reached[i] = max(reached[i], float((c[top] @ q[i]).min()))
+            # bounds are rounded, scores aren't
+            alive = alive[bound >= reached[i] - 0.5 - 1e-9 * np.abs(bound)]
+            if alive_at is not None:
+                alive_at[level + 1] += len(alive)
         scores = c[alive] @ q[i]
         best = np.lexsort((cid[alive], -scores))
         if repeats:
             best = best[np.sort(np.unique(cid[alive][best], return_index=True)[1])]
         best = best[:k]
+        if len(best) == k:
+            reached[i] = max(reached[i], float(scores[best[-1]]))
         out += [(int(qid[i]), int(cid[alive[j]]), int(scores[j])) for j in best]
     return out
 
 
 def blocks(df: DataFrame, id_column: str, vector_column: str, size: int) -> DataFrame:
-    """Pack rows into blocks of at most `size`: (block, ids, vectors) with vectors as little-endian 64-bit integers."""
+    """Pack rows into blocks of at most `size` and of one vector length: (ids, vectors) as little-endian 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
-                lists = part.column(1)
-                yield pa.RecordBatch.from_arrays([pa.array([ids]), pa.array([lists.flatten().to_numpy(zero_copy_only=False).astype("<i8").tobytes()])], names=["ids", "vectors"])
+            ids, lists = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8"), batch.column(1)
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            for length in np.unique(lengths).tolist():
+                rows = np.flatnonzero(lengths == length)
+                for at in range(0, len(rows), size):
+                    part = rows[at : at + size]
+                    vectors = lists.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).astype("<i8").tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[part].tobytes()]), pa.array([vectors])], names=["ids", "vectors"])
 
     return df.select(id_column, vector_column).mapInArrow(run, "ids binary, vectors binary")
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, id_column: str, vector_column: str, k: int = 5) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score. Vectors are array<bigint> of one length per table.
+    """query_id, rank (from 1), vec_id, score. Vectors are array<bigint>.
 
-    Rows whose vector or id is null, or whose length differs from the queries' first by id, take no part. A candidate
-    with the query's own id is left out; repeated rows of one id count once, by their largest score.
+    Rows whose vector or id is null or whose vector is empty or holds a null take no part; nor do those whose sum of
+    squares is 2**62 or more, as their scores may not fit a long. A query meets the candidates of its own length, but
+    for those of its own id; repeated rows of one id count once, by their largest score. Other columns are not read.
     """
-    whole = lambda d: d.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull() & (F.size(vector_column) > 0))
+
+    def whole(d: DataFrame) -> DataFrame:
+        v = F.col(vector_column)
+        squares = F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+        return d.where(F.col(id_column).isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(F.coalesce(squares < 2.0**62, F.lit(False)))
+
     queries, candidates = whole(queries), whole(candidates)
     # a query block meets every candidate block: the blocks are numbered by the rows they were packed from
-    q = blocks(queries, id_column, vector_column, QUERY_BLOCK).select(F.monotonically_increasing_id().alias("qb"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    q = blocks(queries, id_column, vector_column, QUERY_BLOCK).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     c = blocks(candidates, id_column, vector_column, CANDIDATE_BLOCK).select(F.monotonically_increasing_id().alias("cb"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
     # each query block is sent to every lane, each candidate block lives in one
     lanes = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -111,13 +138,20 @@ def top_k(queries: DataFrame, candidates: DataFrame, id_column: str, vector_colu
     met = placed.join(spread, "lane").select("q_ids", "q_vectors", "c_ids", "c_vectors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried: dict[bytes, np.ndarray] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                qid, cid = (np.frombuffer(batch.column(n)[i].as_py(), dtype="<i8") for n in (0, 2))
-                q, c = (np.frombuffer(batch.column(n)[i].as_py(), dtype="<i8") for n in (1, 3))
+                q_ids, q_vectors, c_ids, c_vectors = (batch.column(n)[i].as_py() for n in range(4))
+                qid, cid, q, c = (np.frombuffer(x, dtype="<i8") for x in (q_ids, c_ids, q_vectors, c_vectors))
                 if len(q) // len(qid) != len(c) // len(cid):
                     continue
-                found = best_of_blocks(qid, q.reshape(len(qid), -1), cid, c.reshape(len(cid), -1), k)
+                key = q_ids + len(q_vectors).to_bytes(8, "little")
+                reached = carried.get(key)
+                if reached is None:
+                    reached = np.full(len(qid), -np.inf)
+                    if len(carried) < CARRIED:
+                        carried[key] = reached
+                found = best_of_blocks(qid, q.reshape(len(qid), -1), cid, c.reshape(len(cid), -1), k, reached)
                 columns = list(zip(*found)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in columns], names=["query_id", "vec_id", "score"])
 
@@ -128,8 +162,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, id_column: str, vector_colu
 
 
 def scaled(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component as double; null where the vector, or a component, is null or not finite."""
-    usable = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    """floor(scale * x) of each component as double; null where the vector, or a component, is null or not finite or the product too large for a long."""
+    usable = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(2.0**62 / scale)))
     return F.when(usable, F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double"))))
 
 
