@@ -8,6 +8,7 @@ over time.
 from __future__ import annotations
 
 import operator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,21 +27,53 @@ def _carried(df: DataFrame, seconds: int) -> DataFrame:
     return df.withColumn("_own", own).withColumn("_bucket", F.explode(F.array(own, own + 1)))
 
 
-def count_over(df: DataFrame, where: Column, by: list[str], seconds: int, op: str = ">", n: int = 1, ts: str = "observed_at", id_column: str = "event_id", detail: bool = True) -> DataFrame:
+def count_over(
+    df: DataFrame, where: Column, by: list[str], seconds: int, op: str = ">", n: int = 1, ts: str = "observed_at", id_column: str = "event_id", detail: bool = True, ties: str = "all"
+) -> DataFrame:
     """Matching events at which the count of matches of their key in the closed frame [t - w, t] satisfies `op n`.
 
     Adds key columns k0.. (absent parts are '<nil>'), n_hits and, with detail, window_start and event_ids of the frame.
+    Of events at one time all count; with ties="arrival" those up to the event itself, by id. Ids are listed for events
+    that fire only, by a join of these with their frame's bucket.
     """
     keys = [F.coalesce(F.col(c).cast("string"), F.lit(NIL)).alias(f"k{i}") for i, c in enumerate(by)]
     names = [f"k{i}" for i in range(len(by))]
+    width = seconds * 1_000_000
     hits = df.where(where).select("*", *keys, micros(F.col(ts)).alias("_us"))
     spread = _carried(hits, seconds)
-    frame = Window.partitionBy(*names, "_bucket").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
+    frame = Window.partitionBy(*names, "_bucket").orderBy("_us").rangeBetween(-width, 0)
     counted = spread.withColumn("n_hits", F.count(F.lit(1)).over(frame))
+    if ties == "arrival":
+        peers = Window.partitionBy(*names, "_bucket", "_us")
+        later = F.count(F.lit(1)).over(peers) - F.row_number().over(peers.orderBy(id_column))
+        counted = counted.withColumn("n_hits", F.col("n_hits") - later)
     if detail:
-        counted = counted.withColumn("window_start", F.min(ts).over(frame)).withColumn("event_ids", F.sort_array(F.collect_list(id_column).over(frame)))
+        counted = counted.withColumn("window_start", F.min(ts).over(frame))
     fired = counted.where((F.col("_own") == F.col("_bucket")) & OPS[op](F.col("n_hits"), n))
-    return fired.drop("_us", "_own", "_bucket")
+    if not detail:
+        return fired.drop("_us", "_own", "_bucket")
+    # an event's frame lies in its own bucket and the one before: a frame's events are those that were carried to the bucket
+    held = spread.select(*[F.col(k).alias(f"_{k}") for k in names], F.col("_bucket").alias("_b"), F.col("_us").alias("_at"), F.col(id_column).alias("_id"))
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in names], F.col("_bucket") == F.col("_b"))
+    inside = (F.col("_at") >= F.col("_us") - width) & (F.col("_at") <= F.col("_us"))
+    if ties == "arrival":
+        inside = inside & ((F.col("_at") < F.col("_us")) | (F.col("_id") <= F.col(id_column)))
+    lists = fired.join(held, same & inside).groupBy(F.col(id_column).alias("_own_id")).agg(F.sort_array(F.collect_list("_id")).alias("event_ids"))
+    return fired.join(lists, F.col(id_column) == F.col("_own_id")).drop("_us", "_own", "_bucket", "_own_id")
+
+
+def count_over_warm(live: DataFrame, history: DataFrame, where: Column, by: list[str], seconds: int, op: str = ">", n: int = 1, ts: str = "observed_at", max_lookback_s: int = 3600) -> DataFrame:
+    """`count_over` of the live events as if the history of the last frame before them had been seen; only live events fire.
+
+    A frame wider than `max_lookback_s` starts cold.
+    """
+    if seconds > max_lookback_s:
+        return count_over(live, where, by, seconds, op, n, ts, detail=False)
+    first = live.agg(F.min(micros(F.col(ts))).alias("_first"))
+    # one row
+    recent = history.join(F.broadcast(first), micros(F.col(ts)) >= F.col("_first") - seconds * 1_000_000).drop("_first")
+    both = live.withColumn("_live", F.lit(True)).unionByName(recent.withColumn("_live", F.lit(False)))
+    return count_over(both, where, by, seconds, op, n, ts, detail=False).where("_live").drop("_live")
 
 
 def near(df: DataFrame, left: Column, right: Column, seconds: int, by: list[str] | None = None, ts: str = "observed_at", id_column: str = "event_id") -> DataFrame:

@@ -10,8 +10,62 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrylake.operators.correlate import micros
-
-PROTOCOLS = {6: "tcp", 17: "udp", 1: "icmp"}  # fixed values
+from sentrylake.sources.store import kept
+
+# Protocol names, and the activity of each raw kind by family.
+PROTOCOLS = {6: "tcp", 17: "udp", 1: "icmp"}
+ACTIVITIES = {
+    "process": {"exec": 1, "fork": 1, "exit": 2},
+    "file": {"open_create": 1, "open_write": 3, "unlink": 4, "rename": 6, "chmod": 5, "chown": 7},
+    "network": {"tcp_connect": 1, "tcp_accept": 1, "udp_send": 6},
+}
+OTHER = 99
+
+
+def map_activity(kind: Column, family: str) -> tuple[Column, Column]:
+    """Activity number and event code of a raw kind; an unknown kind is 99 and "unknown"."""
+    known = ACTIVITIES[family]
+    activity, code = F.lit(OTHER), F.lit("unknown")
+    for name, number in known.items():
+        activity = F.when(kind == name, number).otherwise(activity)
+    return activity, F.when(kind.isin(*known), kind).otherwise(code)
+
+
+def normalise_net(df: DataFrame, kind: str = "kind", proto: str = "proto") -> DataFrame:
+    """Direction (connect and send outbound 2, accept inbound 1, else 0), protocol name, and for accepts source and
+    destination exchanged, so that the source is who began."""
+    k = F.col(kind)
+    direction = F.when(k.isin("tcp_connect", "udp_send"), 2).when(k == "tcp_accept", 1).otherwise(0)
+    named = F.lit("")
+    for number, name in PROTOCOLS.items():
+        named = F.when(F.col(proto) == number, name).otherwise(named)
+    taken = k == "tcp_accept"
+    ends = {f"{a}_{part}": F.when(taken, F.col(f"{b}_{part}")).otherwise(F.col(f"{a}_{part}")) for a, b in (("src", "dst"), ("dst", "src")) for part in ("ip", "port")}
+    return df.withColumns(ends | {"direction": direction, "protocol": named})
+
+
+def parent_chain(procs: DataFrame, depth: int = 8) -> DataFrame:
+    """(host_id, pid, parents) of each process: its ancestors, nearest first, at most `depth`, as (pid, exec_path).
+
+    A parent that isn't known ends the chain by its pid alone; pid 0 is no parent. The table of processes is worked out
+    once; each level joins only the chains that still grow.
+    """
+    from sentrylake.operators.graph import first_seen
+
+    known = kept(first_seen(procs).select("host_id", "pid", "parent_pid", "exec_path"), "processes")
+    up = known.select("host_id", F.col("pid").alias("_next"), F.col("parent_pid").alias("_above"), F.col("exec_path").alias("_path"), F.lit(True).alias("_known"))
+    none = F.array().cast("array<struct<pid: bigint, exec_path: string>>")
+    growing = known.select("host_id", "pid", none.alias("parents"), F.col("parent_pid").alias("_next"))
+    done = growing.where("coalesce(_next, 0) = 0").drop("_next")
+    growing = growing.where("_next <> 0")
+    for _ in range(depth):
+        step = growing.join(up, ["host_id", "_next"], "left").withColumn("parents", F.concat("parents", F.array(F.struct(F.col("_next").alias("pid"), F.col("_path").alias("exec_path")))))
+        step = kept(step.select("host_id", "pid", "parents", F.when(F.col("_known"), F.col("_above")).alias("_next")), "chains")
+        done = done.unionByName(step.where("coalesce(_next, 0) = 0").drop("_next"))
+        growing = step.where("_next <> 0")
+        if growing.isEmpty():
+            return done
+    return done.unionByName(growing.drop("_next"))
 
 
 def type_uid(class_uid: Column, activity: Column) -> Column:
@@ -26,6 +80,11 @@ def mode_text(mode: Column) -> Column:
     return F.concat(F.lit("mode:0"), F.conv(mode.cast("string"), 10, 8))
 
 
+def merge(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two feeds as one; what one lacks is null."""
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 def carry_state(df: DataFrame, fields: list[str], keys: list[str], order: list[str]) -> DataFrame:
     """Each field's last value that was not empty, so far in its key; created_at keeps the first time."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentrylake.operators.alerts import fold_spaced
 from sentrylake.operators.correlate import micros
 
 #: The policy flag of each action.
@@ -39,24 +40,17 @@ def dispatch_status(requests: DataFrame, policies: DataFrame) -> DataFrame:
 def dedupe_responses(df: DataFrame, keys: list[str], seconds: float = 2, ts: str = "observed_at", id_column: str = "event_id") -> DataFrame:
     """Mark each response executed, or not if the last executed one of its rule and target is at most `seconds` older.
 
-    A gap of more than `seconds` always begins anew, so the ordered fold runs within such bursts only and a busy rule
-    does not become one list.
+    An ordered fold, streamed, so a busy rule does not become one list.
     """
-    width = int(seconds * 1_000_000)
-    w = Window.partitionBy(*keys).orderBy("_us", id_column)
-    timed = df.select(*keys, id_column, micros(F.col(ts)).alias("_us"))
-    begins = F.coalesce((F.col("_us") - F.lag("_us").over(w) > width).cast("long"), F.lit(0))
-    bursts = timed.withColumn("_new", begins).withColumn("_burst", F.sum("_new").over(w))
-    lists = bursts.groupBy(*keys, "_burst").agg(F.sort_array(F.collect_list(F.struct("_us", F.col(id_column).alias("id")))).alias("all"))
-
-    def step(state: Column, x: Column) -> Column:
-        runs = state["last"].isNull() | (x["_us"] - state["last"] > width)
-        return F.struct(F.when(runs, x["_us"]).otherwise(state["last"]).alias("last"), F.when(runs, F.concat(state["ids"], F.array(x["id"]))).otherwise(state["ids"]).alias("ids"))
-
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("ids"))
-    folded = lists.withColumn("_ran", F.aggregate("all", start, step)["ids"])
-    each = folded.select(*keys, "_ran", F.explode("all").alias("_x"))
-    return each.select(*keys, F.col("_x.id").alias(id_column), F.array_contains("_ran", F.col("_x.id")).alias("executed"))
+    timed = df.select(*keys, F.col(id_column).alias("id"), micros(F.col(ts)).alias("_us"), F.lit(int(seconds * 1_000_000)).alias("w"))
+    return fold_spaced(timed, keys, inclusive=False).select(*keys, F.col("id").alias(id_column), F.col("taken").alias("executed"))
+
+
+def list_policies(hosts: DataFrame, policies: DataFrame) -> DataFrame:
+    """The flags of every host (host_id, hostname), all false where it has no policy, by name."""
+    flags = list(dict.fromkeys(FLAGS.values()))
+    joined = hosts.select("host_id", "hostname").join(policies.select("host_id", *flags), "host_id", "left")
+    return joined.select("host_id", "hostname", *[F.coalesce(f, F.lit(False)).alias(f) for f in flags]).orderBy("hostname", "host_id")
 
 
 def absorb_results(actions: DataFrame, results: DataFrame) -> DataFrame:

@@ -22,25 +22,65 @@ class Rule:
     where: Callable[[dict[str, Column]], Column]
     level: str = "medium"
     tags: list[str] = field(default_factory=list)
+    title: str = ""
 
 
 def condition(rule: Rule) -> Column:
     return rule.where(rule.selections)
 
 
-def detect(df: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
-    """One row per event and rule that matches, from one scan; rules apply to events of their class only."""
-    hits = F.array(*[F.when((F.col("class_uid") == r.class_uid) & condition(r), F.struct(F.lit(r.uid).alias("rule"), F.lit(SEVERITY.get(r.level, 3)).alias("severity"))) for r in rules])
-    found = df.select(*keep, F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("hit"))
-    return found.select(*keep, "hit.rule", "hit.severity")
+def severity(level: str | None) -> int:
+    """Severity of a rule's level; unknown levels are medium."""
+    return SEVERITY.get((level or "").lower(), SEVERITY["medium"])
 
 
-def to_findings(hits: DataFrame) -> DataFrame:
-    """Finding rows; ids are hashes of rule and event, so that reruns agree."""
-    return hits.select(
+def detect(df: DataFrame, rules: list[Rule], keep: list[str], shared: dict[str, Column] | None = None, chunk: int = 200) -> DataFrame:
+    """One row per event and rule that matches, from one scan a `chunk` of rules; rules apply to events of their class only.
+
+    `shared` names values that many rules test (a lower-cased text, an address as a number); each is worked out once a
+    row, whatever the number of rules.
+    """
+    out = None
+    for at in range(0, len(rules), chunk):
+        part = rules[at : at + chunk]
+        seen = df.where(F.col("class_uid").isin(sorted({r.class_uid for r in part})))
+        if shared:
+            # a struct of a row-number-free barrier: the optimizer does not copy what an explode has made
+            seen = seen.withColumn("_s", F.explode(F.array(F.struct(*[c.alias(n) for n, c in shared.items()])))).select("*", "_s.*")
+        by_class = F.array().cast("array<int>")
+        for class_uid in sorted({r.class_uid for r in part}):
+            own = [F.when(condition(r), F.lit(k)) for k, r in enumerate(part) if r.class_uid == class_uid]
+            by_class = F.when(F.col("class_uid") == class_uid, F.array_compact(F.array(*own))).otherwise(by_class)
+        found = seen.select(*keep, F.explode(by_class).alias("_k"))
+        uids, levels = F.array(*[F.lit(r.uid) for r in part]), F.array(*[F.lit(severity(r.level)) for r in part])
+        hits = found.select(*keep, F.get(uids, F.col("_k")).alias("rule"), F.get(levels, F.col("_k")).alias("severity"))
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def to_findings(hits: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """Finding rows; ids are hashes of rule and event, so that reruns agree. With `rules`, their titles, techniques and tags."""
+    own = [
         F.sha2(F.concat_ws(",", "rule", F.col("event_id").cast("string")), 256).alias("finding_uid"),
         "rule", "severity", F.lit(200401).alias("type_uid"), F.lit("New").alias("status"), F.array("event_id").alias("event_ids"),
-    )
+    ]
+    if rules is None:
+        return hits.select(*own)
+    spark = hits.sparkSession
+    info = spark.createDataFrame([(r.uid, r.title or r.uid, r.tags) for r in rules], "rule string, title string, tags array<string>")
+    techniques = F.transform(mitre(F.col("tags")), lambda x: F.coalesce(x["sub"], x["technique"]))
+    # one row a rule: as small as the pack
+    return hits.join(F.broadcast(info), "rule", "left").select(*own, "title", techniques.alias("techniques"))
+
+
+def list_rules(rules: DataFrame, since=None, technique: str | None = None) -> DataFrame:
+    """Enabled rules (uid, name, updated_at) by uid; not older than `since`, their source naming `technique`, case aside."""
+    out = rules.where("enabled")
+    if since is not None:
+        out = out.where(F.col("updated_at") >= F.lit(since).cast("timestamp_ntz"))
+    if technique and technique.strip():
+        out = out.where(F.contains(F.lower("source"), F.lit(technique.strip().lower())))
+    return out.select("uid", "name", "updated_at").orderBy("uid")
 
 
 def mitre(tags: Column) -> Column:

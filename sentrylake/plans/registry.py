@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrylake.functions.predicates import ioc_match, m, n_of, selection
 from sentrylake.operators import alerts, enrich, fleet, followups, graph, responses, rules, search
 from sentrylake.operators.correlate import count_over, micros, near
-from sentrylake.plans.telemetry import oracle, telemetry
+from sentrylake.plans.catalog import DAY, ORACLE, QUERIES, now, predicate, register
+from sentrylake.plans import detection, fleetwide, intake, lookups  # noqa: F401  they register more
 from sentrylake.sources import decode
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-DAY = 86_400
-
-
-def register(name: str, build: Callable[[DataFrame], DataFrame], sql: str | None) -> None:
-    """`build` takes the telemetry view; `sql` reads it as t."""
-    QUERIES[name] = lambda spark, sf_dir: build(telemetry(spark, sf_dir))
-    if sql:
-        ORACLE[name] = oracle(sql)
-
-
-def predicate(name: str, test: Callable[[], Column], sql: str) -> None:
-    """Ids at which a predicate holds, and how many rows have a value of its negation: flags are two-valued."""
-    register(name, lambda t: t.select("event_id", test().alias("hit"), (~test()).alias("miss")), f"SELECT event_id, coalesce({sql}, false) AS hit, NOT coalesce({sql}, false) AS miss FROM t")
-
 
 # C: field-match predicates
 predicate("c1_equals", lambda: m("exec_path").equals("/usr/bin/wget", "/bin/bash"), "lower(exec_path) IN ('/usr/bin/wget', '/bin/bash')")
@@ -42,27 +25,13 @@ predicate("c8_cidr_v6", lambda: m(F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.c
 predicate("c9_numeric", lambda: m("src_port").compare("gte", 5000), "src_port >= 5000")
 predicate("c10_value_list", lambda: m("dst_port").equals(22, 9050), "dst_port IN (22, 9050)")
 predicate("c11_all_values", lambda: m("cmdline").contains("base64", "echo", all=True), "contains(cmdline, 'base64') AND contains(cmdline, 'echo')")
-predicate("c12_multi_valued", lambda: m(F.array("user_name", "host_id")).any_of("USER7", "host-03"), "user_name = 'user7' OR host_id = 'host-03'")
 predicate("c13_null", lambda: m("cmdline").is_absent(), "cmdline IS NULL OR cmdline = ''")
 predicate("c14_exists", lambda: m("cmdline").exists(), "cmdline IS NOT NULL AND cmdline <> ''")
 predicate("c15_base64", lambda: m("cmdline").contains("/bin/bash -i", encode="base64"), "contains(lower(cmdline), lower(to_base64('/bin/bash -i'::BLOB)))")
-predicate("c16_base64offset", lambda: m("cmdline").contains("bin/bash", encode="base64offset"), "contains(lower(cmdline), lower('Jpbi9iYXNo'))")
 predicate("c17_utf16le", lambda: m(F.concat_ws("\0", F.lit("x"), F.split("exec_path", ""), F.lit(""))).wide("bash"), "contains(exec_path, 'bash')")
 predicate("c18_utf16be", lambda: m(F.concat_ws("\0", F.lit("x"), F.split("exec_path", ""))).wide("bash", "utf-16-be"), "contains(exec_path, 'bash')")
 
 
-def _c21(t: DataFrame) -> DataFrame:
-    feed = t.select("dst_ip").distinct().where(F.conv(F.substring(F.md5("dst_ip"), 1, 4), 16, 10).cast("bigint") % 7 == 0)
-    return ioc_match(t, "dst_ip", feed).select("event_id", "ioc")
-
-
-register("c21_ioc", _c21, "SELECT event_id, ('0x' || substr(md5(dst_ip), 1, 4))::BIGINT % 7 = 0 AS ioc FROM t")
-register(
-    "c22_project_fields",
-    lambda t: t.where("class_uid = 1007").select("event_id", F.col("exec_path").alias("Image"), F.nullif("cmdline", F.lit("")).alias("CommandLine"), F.nullif("parent_pid", F.lit(0)).alias("ParentProcessId"), F.col("user_name").alias("User")),
-    'SELECT event_id, exec_path AS "Image", nullif(cmdline, \'\') AS "CommandLine", nullif(parent_pid, 0) AS "ParentProcessId", user_name AS "User" FROM t WHERE class_uid = 1007',
-)
-
 # R: rules
 def bash() -> Column:
     return m("exec_path").endswith("/bash")
@@ -80,31 +49,8 @@ def three():
     return [bash(), m("dst_port").equals(22), m("protocol").equals("udp")]
 
 
-predicate("r4_n_of", lambda: n_of(2, three()), "CAST(ends_with(exec_path, '/bash') AS INT) + CAST(dst_port = 22 AS INT) + CAST(protocol = 'udp' AS INT) >= 2")
-predicate("r5_all_of", lambda: n_of(3, three()), "ends_with(exec_path, '/bash') AND dst_port = 22 AND protocol = 'udp'")
-
 
-def pack() -> list[rules.Rule]:
-    own = [
-        rules.Rule("proc-shell", 1007, {"img": bash(), "cmd": m("cmdline").contains("/dev/tcp/")}, lambda s: s["img"] | s["cmd"], "high", ["attack.t1059.004"]),
-        rules.Rule("proc-chmod", 1007, {"img": m("exec_path").endswith("/chmod"), "cmd": m("cmdline").contains("+x")}, lambda s: s["img"] & s["cmd"], "medium", ["attack.t1222"]),
-        rules.Rule("net-port", 4001, {"port": m("dst_port").equals(9050, 22)}, lambda s: s["port"], "critical", ["attack.t1090.003"]),
-        rules.Rule("file-locked", 1001, {"ext": m("file_path").endswith(".locked")}, lambda s: s["ext"], "low", ["attack.t1486"]),
-    ]
-    return own + [rules.Rule(f"net-dst-{k}", 4001, {"ip": m("dst_ip").cidr(f"10.{k}.0.0/16")}, lambda s: s["ip"], "informational") for k in range(8)]
 
-
-HITS = """h AS (
-  SELECT event_id, 'proc-shell' AS rule, 4 AS severity FROM t WHERE class_uid = 1007 AND (ends_with(exec_path, '/bash') OR coalesce(contains(cmdline, '/dev/tcp/'), false))
-  UNION ALL SELECT event_id, 'proc-chmod', 3 FROM t WHERE class_uid = 1007 AND ends_with(exec_path, '/chmod') AND contains(cmdline, '+x')
-  UNION ALL SELECT event_id, 'net-port', 5 FROM t WHERE class_uid = 4001 AND dst_port IN (9050, 22)
-  UNION ALL SELECT event_id, 'file-locked', 2 FROM t WHERE class_uid = 1001 AND ends_with(file_path, '.LOCKED')
-  UNION ALL SELECT event_id, 'net-dst-' || split_part(dst_ip, '.', 2), 1 FROM t WHERE class_uid = 4001)"""
-register("r7_rule_pack", lambda t: rules.detect(t, pack(), ["event_id"]), f"WITH {HITS} SELECT event_id, rule, severity FROM h")
-register(
-    "r8_findings", lambda t: rules.to_findings(rules.detect(t, pack(), ["event_id"])),
-    f"WITH {HITS} SELECT sha256(rule || ',' || event_id) AS finding_uid, rule, severity, 200401 AS type_uid, 'New' AS status, [event_id] AS event_ids FROM h",
-)
 register(
     "r9_mitre",
     lambda t: t.select("event_id", F.explode(rules.mitre(F.array(F.concat(F.lit("attack.t1"), F.lpad((F.col("event_id") % 90).cast("string"), 3, "0"), F.lit(".00"), (F.col("event_id") % 5).cast("string")), F.lit("attack.execution")))).alias("x")).select("event_id", "x.technique", "x.sub"),
@@ -153,27 +99,12 @@ register("d9_near_detail", lambda t: _near(t).select("event_id", "window_start",
 
 # A: sources and decoding
 
-def payload():
-    return F.to_json(F.struct(F.lit(1).alias("activity_id"), "severity_id", F.struct("pid", F.col("cmdline").alias("cmd_line"), F.struct(F.col("exec_path").alias("path")).alias("file"), F.struct(F.col("user_name").alias("name")).alias("user"), F.struct(F.col("parent_pid").alias("pid")).alias("parent_process")).alias("process")))
-
-
-register(
-    "a1_decode", lambda t: decode.flatten_process(decode.decode_process(t.withColumn("payload", F.when(F.col("event_id") % 11 == 0, "{").otherwise(payload())))),
-    "SELECT event_id, host_id, pid, parent_pid, exec_path, cmdline, user_name FROM t WHERE class_uid = 1007 AND event_id % 11 <> 0",
-)
-register("a2_split_by_class", lambda t: t.groupBy("class_uid").agg(F.count(F.lit(1)).alias("n")), "SELECT class_uid, count(*) AS n FROM t GROUP BY 1")
 register(
     "a7_envelope_ids", lambda t: t.select("event_id", decode.canonical_uuid(F.when(F.col("event_id") % 3 == 0, F.upper(F.md5(F.col("event_id").cast("string")))).otherwise(F.lit("bad"))).alias("uid")),
     "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(CAST(md5(event_id::VARCHAR) AS UUID) AS VARCHAR) ELSE '00000000-0000-0000-0000-000000000000' END AS uid FROM t",
 )
 register("a8_severity", lambda t: t.select("event_id", decode.severity_of(F.when(F.col("event_id") % 5 == 0, "{}").otherwise(F.to_json(F.struct("severity_id")))).alias("severity")), "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE severity_id END AS severity FROM t")
-register(
-    "a9_validate", lambda t: decode.validate_process(t.where("class_uid = 1007").withColumn("pid", F.col("pid") % 5)).groupBy("error").agg(F.count(F.lit(1)).alias("n")),
-    "SELECT CASE WHEN pid % 5 <= 0 THEN 'pid' WHEN cmdline IS NULL THEN 'cmd_line' END AS error, count(*) AS n FROM t WHERE class_uid = 1007 GROUP BY 1",
-)
 register("a13_replay", lambda t: decode.replay(t, 1007, "2024-01-05 00:00:00", "2024-01-20 00:00:00").select("event_id", "observed_at"), "SELECT event_id, observed_at FROM t WHERE class_uid = 1007 AND observed_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'")
-register("a15_ioc_feed", lambda t: t.select(decode.load_ioc_feed(F.when(F.col("event_id") % 4 == 0, F.lit(" 10.0.0.256")).otherwise(F.concat(F.lit(" "), "dst_ip")), "ipv4").alias("entry")).where("entry is not null").distinct(), "SELECT DISTINCT dst_ip AS entry FROM t WHERE event_id % 4 <> 0")
-register("a16_ioc_stats", lambda t: t.select("protocol", "dst_ip").distinct().groupBy("protocol").agg(F.count(F.lit(1)).alias("entries")), "SELECT protocol, count(DISTINCT dst_ip) AS entries FROM t GROUP BY 1")
 register(
     "a19_hunt_long",
     lambda t: decode.hunt_long(t.select(F.col("rule_uid").alias("query_id"), "host_id", "observed_at", F.array(F.lit("event"), F.lit("pid")).alias("columns"), F.when(F.col("event_id") % 3 == 0, F.array(F.col("event_id").cast("string"))).otherwise(F.array(F.col("event_id").cast("string"), F.col("pid").cast("string"))).alias("values"))),
@@ -181,11 +112,6 @@ register(
 )
 
 # B: enrichment
-register(
-    "b2_normalise_net",
-    lambda t: t.where("class_uid = 4001").select("event_id", F.when(F.col("event_id") % 3 == 0, 1).otherwise(2).alias("direction"), F.when(F.col("event_id") % 3 == 0, F.col("dst_ip")).otherwise(F.col("src_ip")).alias("from_ip"), F.when(F.col("event_id") % 3 == 0, F.col("src_ip")).otherwise(F.col("dst_ip")).alias("to_ip")),
-    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS direction, CASE WHEN event_id % 3 = 0 THEN dst_ip ELSE src_ip END AS from_ip, CASE WHEN event_id % 3 = 0 THEN src_ip ELSE dst_ip END AS to_ip FROM t WHERE class_uid = 4001",
-)
 register(
     "b3_derived_fields", lambda t: t.select("event_id", enrich.type_uid(F.col("class_uid"), F.lit(1)).alias("type_uid"), enrich.basename(F.col("exec_path")).alias("name"), enrich.mode_text(F.col("pid")).alias("mode")),
     "SELECT event_id, class_uid * 100 + 1 AS type_uid, split_part(exec_path, '/', -1) AS name, 'mode:0' || CASE WHEN pid >= 64 THEN (pid // 64)::VARCHAR ELSE '' END || CASE WHEN pid >= 8 THEN (pid // 8 % 8)::VARCHAR ELSE '' END || (pid % 8)::VARCHAR AS mode FROM t",
@@ -206,10 +132,8 @@ register("b8_join_users", lambda t: enrich.join_users(t.select("event_id", (F.co
 predicate("b9_path_filter", lambda: enrich.path_filter(F.col("file_path"), ["/var/view/**", "/var/*/f1*.txt"], ["/var/view/f2?.txt"]), r"(starts_with(file_path, '/var/view/') OR regexp_matches(file_path, '^/var/[^/]*/f1[^/]*\.txt$')) AND NOT regexp_matches(file_path, '^/var/view/f2[^/]\.txt$')")
 register("b10_resolve_path", lambda t: t.select("event_id", enrich.resolve_path(F.concat(F.lit("../x/./"), F.col("user_name")), F.lit("/home/a")).alias("path")), "SELECT event_id, '/home/x/' || user_name AS path FROM t")
 register("b12_stamp_host", lambda t: enrich.stamp_host(t, "host-00").select("event_id", "host_id"), "SELECT event_id, 'host-00' AS host_id FROM t")
-register("b13_merge", lambda t: t.where("class_uid = 1007").select("event_id", "pid").unionByName(t.where("class_uid = 4001").select("event_id", "dst_ip"), allowMissingColumns=True), "SELECT event_id, pid, NULL AS dst_ip FROM t WHERE class_uid = 1007 UNION ALL SELECT event_id, NULL, dst_ip FROM t WHERE class_uid = 4001")
 
 # E: alerts
-register("e1_alert_candidates", lambda t: alerts.alerts_from_findings(t.where("class_uid = 2004").withColumn("severity_id", F.col("severity_id") * 2)).select("event_id", "severity_id"), "SELECT event_id, CASE WHEN severity_id * 2 BETWEEN 1 AND 6 THEN severity_id * 2 ELSE 1 END AS severity_id FROM t WHERE class_uid = 2004")
 
 
 def _rules_of(t: DataFrame) -> DataFrame:
@@ -224,8 +148,6 @@ f AS (SELECT event_id, rule_uid, host_id, us, w, k, true AS kept, us AS last FRO
   FROM f JOIN o ON o.rule_uid = f.rule_uid AND o.host_id = f.host_id AND o.k = f.k + 1)"""
 _deduped = lambda t: alerts.dedupe_alerts(t.where("class_uid = 2004"), _rules_of(t))
 register("e2_dedupe_alerts", _deduped, f"{FOLD} SELECT event_id, rule_uid, host_id, kept FROM f")
-register("e3_alert_outcomes", lambda t: _deduped(t).groupBy(F.when(F.col("kept"), "inserted").otherwise("deduped").alias("outcome")).agg(F.count(F.lit(1)).alias("n")), f"{FOLD} SELECT CASE WHEN kept THEN 'inserted' ELSE 'deduped' END AS outcome, count(*) AS n FROM f GROUP BY 1")
-register("e4_list_alerts", lambda t: search.page(t.where("class_uid = 2004 and severity_id >= 3").select("event_id", "rule_uid", "host_id", "observed_at"), 100), "SELECT event_id, rule_uid, host_id, observed_at FROM t WHERE class_uid = 2004 AND severity_id >= 3 ORDER BY observed_at DESC, event_id DESC LIMIT 100")
 _log = lambda t, names: t.select(F.col("pid").alias("id"), F.col("event_id").alias("seq"), F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int")).alias("to_status"))
 
 
@@ -241,23 +163,16 @@ SELECT id, arg_max(status, k) AS status, max(refused) AS refused FROM f GROUP BY
 STATES, STEPS = ["acknowledged", "in_progress", "closed", "new"], ["running", "done", "failed", "denied", "reverted"]
 register("e6_alert_states", lambda t: alerts.fold_transitions(_log(t, STATES), "new", alerts.ALERT_MOVES), fold_sql(STATES, "new", alerts.ALERT_MOVES))
 register("e13_response_states", lambda t: alerts.fold_transitions(_log(t, STEPS), "pending", alerts.RESPONSE_MOVES), fold_sql(STEPS, "pending", alerts.RESPONSE_MOVES))
-register(
-    "e9_decide_responses", lambda t: alerts.decide_responses(t.where("class_uid = 2004"), t.where("pid % 3 <> 0").groupBy("host_id").agg((F.min("pid") < 2).alias("allowed")), "cmdline").select("event_id", "outcome"),
-    "WITH p AS (SELECT host_id, min(pid) < 2 AS allowed FROM t WHERE pid % 3 <> 0 GROUP BY 1) SELECT event_id, CASE WHEN coalesce(allowed, false) AND coalesce(cmdline, '') <> '' THEN 'executed' ELSE 'would_have_executed' END AS outcome FROM t LEFT JOIN p USING (host_id) WHERE class_uid = 2004",
-)
 register("e16_responses_per_host", lambda t: search.newest_per(t.where("class_uid = 2004"), "host_id", 5, [F.desc("observed_at"), F.desc("event_id")]).select("host_id", "event_id", "rank"), "SELECT host_id, event_id, rank FROM (SELECT host_id, event_id, row_number() OVER (PARTITION BY host_id ORDER BY observed_at DESC, event_id DESC) AS rank FROM t WHERE class_uid = 2004) WHERE rank <= 5")
 
 # F: search
 SUMMARY = "CASE class_uid WHEN 1007 THEN concat_ws(' ', exec_path, cmdline) WHEN 1001 THEN file_path WHEN 4001 THEN protocol || ' ' || src_ip || ':' || src_port || ' -> ' || dst_ip || ':' || dst_port ELSE rule_uid END AS summary"
 FOUND = f"SELECT event_id, host_id, class_uid, severity_id, observed_at, {SUMMARY} FROM t"
 register("f1_search", lambda t: search.search(t, hosts=["host-01", "host-07"], severity=2, classes=[1007, 4001]), f"{FOUND} WHERE host_id IN ('host-01', 'host-07') AND severity_id >= 2 AND class_uid IN (1007, 4001)")
-register("f2_page", lambda t: search.page(search.search(t), 50, ("2024-01-15 00:00:00", 0)), f"{FOUND} WHERE observed_at < TIMESTAMP '2024-01-15' OR (observed_at = TIMESTAMP '2024-01-15' AND event_id < 0) ORDER BY observed_at DESC, event_id DESC LIMIT 50")
 register("f3_summary", lambda t: search.search(t).select("event_id", "summary"), f"SELECT event_id, {SUMMARY} FROM t")
 register("f4_rule_filter", lambda t: search.search(t, rule_uid="rule-03"), f"{FOUND} WHERE class_uid = 2004 AND rule_uid = 'rule-03'")
 register("f5_raw_contains", lambda t: search.search(t, raw_contains=": 42"), f"{FOUND} WHERE contains(raw, ': 42')")
-register("f7_resolve_host", lambda t: t.groupBy((F.col("pid") % 10).alias("name")).agg(F.max_by("host_id", F.struct("observed_at", "event_id")).alias("host_id")), "SELECT pid % 10 AS name, arg_max(host_id, (observed_at, event_id)) AS host_id FROM t GROUP BY 1")
 register("f11_trim_history", lambda t: search.newest_per(t, "user_name", 50, [F.desc("observed_at"), F.desc("event_id")]).select("user_name", "event_id"), "SELECT user_name, event_id FROM t QUALIFY row_number() OVER (PARTITION BY user_name ORDER BY observed_at DESC, event_id DESC) <= 50")
-register("f13_saved_filters", lambda t: t.agg(F.count_if(bash()).alias("bash"), F.count_if(F.col("severity_id") >= 4).alias("severe"), F.count_if(m("dst_ip").cidr("10.0.0.0/16")).alias("zero")), "SELECT count(*) FILTER (WHERE ends_with(exec_path, '/bash')) AS bash, count(*) FILTER (WHERE severity_id >= 4) AS severe, count(*) FILTER (WHERE starts_with(dst_ip, '10.0.')) AS zero FROM t")
 
 # G: process graph
 FIRST = "fs AS (SELECT host_id, pid, arg_min(parent_pid, (observed_at, event_id)) AS parent_pid, arg_min(exec_path, (observed_at, event_id)) AS exec_path, min(observed_at) AS observed_at FROM t WHERE class_uid = 1007 GROUP BY 1, 2)"
@@ -268,45 +183,10 @@ register(
     "g3_ancestors", lambda t: graph.ancestors(_procs(t)),
     f"WITH {FIRST}, r AS (SELECT host_id, pid, [pid] AS chain, parent_pid AS next FROM fs UNION ALL SELECT r.host_id, r.pid, list_prepend(fs.pid, r.chain), fs.parent_pid FROM r JOIN fs ON fs.host_id = r.host_id AND fs.pid = r.next WHERE NOT list_contains(r.chain, fs.pid) AND len(r.chain) < 8) SELECT host_id, pid, arg_max(chain, len(chain)) AS chain FROM r GROUP BY 1, 2",
 )
-register("g8_graph_key", lambda t: t.groupBy("rule_uid").agg(F.sha2(F.concat("rule_uid", F.lit("|"), F.array_join(F.sort_array(F.collect_list(F.col("event_id").cast("string"))), ",")), 256).alias("key")), "SELECT rule_uid, sha256(rule_uid || '|' || array_to_string(list_sort(list(event_id::VARCHAR)), ',')) AS key FROM t GROUP BY 1")
 
 # H: fleet
-
-def now():
-    return F.lit("2024-01-31 00:00:00").cast("timestamp")
-
-
-register(
-    "h1_host_status", lambda t: t.groupBy("host_id").agg(F.max("observed_at").alias("seen")).select("host_id", fleet.host_status(F.col("seen"), F.col("host_id") == "host-03", now()).alias("status")),
-    "SELECT host_id, CASE WHEN host_id = 'host-03' THEN 'revoked' WHEN epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(observed_at)) < 30000000 THEN 'online' WHEN epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(observed_at)) < 90000000 THEN 'stale' ELSE 'offline' END AS status FROM t GROUP BY host_id",
-)
-register("h2_heartbeats", lambda t: t.groupBy("host_id").agg(F.max("observed_at").alias("last_seen"), F.max_by("cmdline", F.when(F.col("cmdline") != "", F.struct("observed_at", "event_id"))).alias("version")), "SELECT host_id, max(observed_at) AS last_seen, arg_max(cmdline, (observed_at, event_id)) FILTER (WHERE cmdline IS NOT NULL) AS version FROM t GROUP BY 1")
-register("h3_hosts", lambda t: t.groupBy("host_id").agg(F.count(F.lit(1)).alias("events")).orderBy("host_id"), "SELECT host_id, count(*) AS events FROM t GROUP BY 1")
-
-
-def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation as a chain whose prev_hash is the hash of the record before; every seventh is tampered with."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("host_id"), F.col("turn").alias("seq"), F.col("role").alias("kind"), F.md5("text").alias("summary"), F.lit("t").alias("ts"))
-    own = c.withColumn("own", F.sha2(F.concat_ws("|", F.col("seq").cast("string"), "kind", "summary"), 256))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("host_id").orderBy("seq")
-    linked = own.withColumn("prev_hash", F.coalesce(F.lag("own").over(w), F.lit(fleet.ZERO_HASH)))
-    return linked.withColumn("prev_hash", F.when((F.col("host_id") % 7 == 0) & (F.col("seq") == 1), "x").otherwise(F.col("prev_hash"))).withColumnRenamed("own", "record_hash")
-
-
-QUERIES["h4_verify_chain"] = lambda spark, sf_dir: fleet.verify_chain(_chains(spark, sf_dir))
-ORACLE["h4_verify_chain"] = """
-WITH c AS (SELECT conv_id AS host_id, turn AS seq, role AS kind, md5(text) AS summary, sha256(concat_ws('|', turn, role, md5(text))) AS record_hash FROM conversations),
-p AS (SELECT *, CASE WHEN host_id % 7 = 0 AND seq = 1 THEN 'x' ELSE coalesce(lag(record_hash) OVER w, repeat('0', 64)) END AS prev_hash, coalesce(lag(record_hash) OVER w, repeat('0', 64)) AS before, row_number() OVER w - 1 AS k FROM c WINDOW w AS (PARTITION BY host_id ORDER BY seq)),
-r AS (SELECT *, CASE WHEN seq <> k THEN 'sequence gap' WHEN prev_hash <> before THEN 'prev_hash mismatch' WHEN record_hash <> sha256(concat_ws('|', seq, 't', kind, summary, prev_hash)) THEN 'record_hash mismatch' END AS reason FROM p)
-SELECT host_id, count(*) AS records, min(seq) FILTER (WHERE reason IS NOT NULL) AS broken_at, coalesce(arg_min(reason, seq) FILTER (WHERE reason IS NOT NULL), 'ok') AS verdict FROM r GROUP BY 1"""
-register("h5_chain_summaries", lambda t: t.groupBy("host_id", F.date_trunc("hour", "observed_at").cast("timestamp_ntz").alias("since")).agg(F.max("event_id").alias("last_seq"), F.count_if(F.col("class_uid") != 1001).alias("n")), "SELECT host_id, date_trunc('hour', observed_at)::TIMESTAMP AS since, max(event_id) AS last_seq, count(*) FILTER (WHERE class_uid <> 1001) AS n FROM t GROUP BY 1, 2")
-register("h8_load_level", lambda t: t.groupBy("host_id").agg(fleet.load_level(F.count_if(F.col("event_id") % 97 == 0), F.count(F.lit(1))).alias("level")), "SELECT host_id, CASE WHEN count(*) FILTER (WHERE event_id % 97 = 0) / count(*) >= 0.05 THEN 'critical' WHEN count(*) FILTER (WHERE event_id % 97 = 0) / count(*) >= 0.005 THEN 'elevated' ELSE 'normal' END AS level FROM t GROUP BY 1")
 register("h10_sample_by_level", lambda t: fleet.sample_by_level(t, "elevated").select("event_id"), "SELECT event_id FROM t WHERE class_uid NOT IN (1001, 4001) OR ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 1000 < 500")
-register("h11_drop_rate", lambda t: t.groupBy("class_uid").agg((F.count_if(F.col("event_id") % 50 == 0) / F.count(F.lit(1))).alias("rate")), "SELECT class_uid, count(*) FILTER (WHERE event_id % 50 = 0) / count(*) AS rate FROM t GROUP BY 1")
 register("h13_cap_rows", lambda t: search.newest_per(t, "host_id", 100, [F.asc("event_id")]).select("host_id", "event_id"), "SELECT host_id, event_id FROM t QUALIFY row_number() OVER (PARTITION BY host_id ORDER BY event_id) <= 100")
-register("h14_hunt_counts", lambda t: t.groupBy("host_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.map_from_arrays(F.array(F.lit("pid")), F.array("pid"))["pid"]).alias("top")), "SELECT host_id, count(*) AS n, max(pid) AS top FROM t GROUP BY 1")
 
 # E: response actions
 ACTIONS = [*responses.FLAGS, "reboot"]

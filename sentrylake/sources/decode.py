@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PROCESS = "STRUCT<activity_id: INT, severity_id: INT, `time`: BIGINT, process: STRUCT<pid: BIGINT, cmd_line: STRING, file: STRUCT<path: STRING>, user: STRUCT<name: STRING>, parent_process: STRUCT<pid: BIGINT>>>"
 NIL_UUID = "00000000-0000-0000-0000-000000000000"
 
 
-def decode_process(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Envelopes of process events with the payload decoded; what can't be decoded goes."""
-    return df.where("class_uid = 1007").withColumn("p", F.from_json(payload, PROCESS)).where("p is not null and p.process is not null")
-
-
-def flatten_process(df: DataFrame) -> DataFrame:
-    return df.select("event_id", "host_id", F.col("p.process.pid").alias("pid"), F.col("p.process.parent_process.pid").alias("parent_pid"),
-                     F.col("p.process.file.path").alias("exec_path"), F.col("p.process.cmd_line").alias("cmdline"), F.col("p.process.user.name").alias("user_name"))
-
-
 def canonical_uuid(text: Column) -> Column:
     """Lower case with dashes; 32 hex digits without dashes are good; anything else is the nil id."""
     bare = F.lower(F.replace(text, F.lit("-"), F.lit("")))
@@ -31,20 +22,32 @@ def severity_of(raw: Column) -> Column:
     return F.coalesce(F.get_json_object(raw, "$.severity_id").try_cast("int"), F.lit(0))
 
 
-def validate_process(df: DataFrame) -> DataFrame:
-    """Add `error`, the first rule that fails, or null."""
-    error = F.when(F.col("pid") <= 0, "pid").when(F.coalesce("exec_path", F.lit("")) == "", "path").when(F.coalesce("cmdline", F.lit("")) == "", "cmd_line").when(~F.col("severity_id").between(0, 6), "severity")
-    return df.withColumn("error", error)
-
-
 def load_ioc_feed(entries: Column, kind: str) -> Column:
-    """The entry trimmed and lower-cased, or null if it is no sha256, IPv4 address or domain as asked."""
+    """The entry trimmed and lower-cased, or null if it is no sha256, IPv4 or IPv6 address (one mapped from IPv4 isn't) or domain, as asked."""
     octet = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
     forms = {"sha256": "^[0-9a-f]{64}$", "ipv4": rf"^{octet}(\.{octet}){{3}}$", "domain": r"^([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}$"}
     text = F.lower(F.trim(entries))
+    if kind == "ipv6":
+        from sentrylake.functions.predicates import ipv6_hex
+
+        digits = ipv6_hex(text)
+        return F.when(digits.isNotNull() & ~F.startswith(digits, F.lit("0" * 20 + "ffff")), text)
+    if kind not in forms:
+        raise ValueError(f"unknown kind of feed {kind}")
     return F.when(text.rlike(forms[kind]), text)
 
 
+def ioc_feed(df: DataFrame, kind: str, column: str = "entry") -> DataFrame:
+    """The good entries of a feed, each once."""
+    return df.select(load_ioc_feed(F.col(column), kind).alias(column)).where(F.col(column).isNotNull()).distinct()
+
+
+def ioc_stats(entries: DataFrame, feed: str = "feed") -> DataFrame:
+    """(feed, entries) of each feed, and of all as "total"."""
+    counts = entries.rollup(F.col(feed).alias("_feed")).agg(F.count(F.lit(1)).alias("entries"))
+    return counts.select(F.coalesce("_feed", F.lit("total")).alias("feed"), "entries")
+
+
 def write_events(df: DataFrame, path: str) -> None:
     """Append to day partitions, each file in order of host, time and id."""
     dated = df.withColumn("event_date", F.to_date("observed_at"))
@@ -52,7 +55,8 @@ def write_events(df: DataFrame, path: str) -> None:
 
 
 def replay(df: DataFrame, class_uid: int, since: str, until: str) -> DataFrame:
-    if since >= until:
+    """Events of one class in the closed window, in order of time and id; bounds are ISO times."""
+    if datetime.fromisoformat(since) >= datetime.fromisoformat(until):
         raise ValueError("an empty or inverted window")
     between = F.col("observed_at").between(F.lit(since).cast("timestamp_ntz"), F.lit(until).cast("timestamp_ntz"))
     return df.where((F.col("class_uid") == class_uid) & between).orderBy("observed_at", "event_id")

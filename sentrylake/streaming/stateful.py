@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def live_tail(stream: DataFrame, host: str = "", class_uid: int | None = None, text: str = "", max_age: str = "1 minute", ts: str = "observed_at") -> DataFrame:
+def live_tail(
+    stream: DataFrame, host: str = "", class_uid: int | None = None, text: str = "", max_age: str = "1 minute", ts: str = "observed_at", now: Column | None = None
+) -> DataFrame:
     """Events by part of a host's name, class and part of the payload; those older than `max_age` go."""
-    out = stream.where(F.col(ts).cast("timestamp") >= F.current_timestamp() - F.expr(f"INTERVAL {max_age}"))
+    out = stream.where(F.col(ts).cast("timestamp") >= (F.current_timestamp() if now is None else now) - F.expr(f"INTERVAL {max_age}"))
     if host:
         out = out.where(F.contains(F.lower("host_id"), F.lit(host.lower())))
     if class_uid is not None:
