@@ -80,10 +80,15 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", column: str = "text",
     bodies = stored(bodies, "bodies")
     owned = bodies.where(F.col("_id").eqNullSafe(F.col("owner"))).groupBy("h").agg(F.min("body").alias("first_body"))
     alike = bodies.join(owned, "h").where(F.col("body") == F.col("first_body"))
-    # rows of one document and chunk: all go, but the owner keeps its first
-    each = alike.groupBy("_id", "_text_hash", "h").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.first("owner").alias("owner"))
-    gone = F.when(F.col("_id").eqNullSafe(F.col("owner")), F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0)))).otherwise(F.col("at"))
-    removed = each.groupBy("_id", "_text_hash").agg(F.flatten(F.collect_list(gone)).alias("gone")).where("size(gone) > 0")
+    # by document, not by chunk: copies of a popular chunk need not meet in one task
+    each = alike.groupBy("_id", "_text_hash").agg(F.array_sort(F.collect_set(F.struct("h", "pos", "owner"))).alias("at"))
+
+    def gone(at: Column) -> Column:
+        """All places go, but the owner keeps a chunk's first; places of a chunk stand together, in order."""
+        told = F.transform(at, lambda x, i: F.struct(x["pos"].alias("pos"), (x["owner"].eqNullSafe(F.col("_id")) & ((i == 0) | (F.get(at, i - 1)["h"] != x["h"]))).alias("first")))
+        return F.transform(F.filter(told, lambda x: ~F.coalesce(x["first"], F.lit(True))), lambda x: x["pos"])
+
+    removed = each.select("_id", "_text_hash", gone(F.col("at")).alias("gone")).where("size(gone) > 0")
     removed = stored(removed, "removed")
 
     joined = base.join(removed.hint("merge"), same(base, removed), "left").select("_row", "gone")
