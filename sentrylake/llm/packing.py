@@ -26,7 +26,7 @@ from sentrylake.llm.common import stored
 CAPACITY = 4096
 END_ID = 1
 GROUP = 5000  # pieces packed in one task at most, about
-UNDERFULL = 0.98  # bins filled less are dealt again
+UNDERFULL = 0.98  # share of the capacity; bins filled less give in the search and are dealt again
 
 
 def pieces(df: DataFrame, id_column: str = "doc_id", column: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
@@ -117,13 +117,14 @@ def best_fit(lengths: list[int], capacity: int) -> Bins:
 def local_search(bins: Bins, lengths: list[int]) -> int:
     """Empty bins by moves, one-for-one and two-for-one exchanges between underfull bins; returns how many were emptied.
 
-    The least filled bin that may still give is the donor. An exchange takes tokens from it to a bin that ends up fuller
-    than the donor was, so the sum of squared fills grows and the search ends: when no exchange helps any donor, or
-    when no fewer bins can hold the tokens. Of the exchanges that a document of the donor allows, the one that takes
-    most tokens is done.
+    The least filled bin that may still give is the donor; bins filled to `UNDERFULL` and more give nothing, but take what
+    fits. An exchange takes tokens from the donor to a bin that ends up fuller than the donor was, so the sum of squared
+    fills grows and the search ends: when no exchange helps any donor, or when no fewer bins can hold the tokens. Of the
+    exchanges that a donor allows, the one that takes most tokens is done.
     """
     capacity = bins.capacity
     least = -(-sum(lengths) // capacity)
+    spare = (1 - UNDERFULL) * capacity
     used = sum(1 for b in bins.items if b)
     started = used
     for b in bins.items:
@@ -131,7 +132,7 @@ def local_search(bins: Bins, lengths: list[int]) -> int:
     held = lambda b: tuple(lengths[k] for k in bins.items[b])
     stuck: set[tuple] = set()  # what donors hold that nothing helps as the bins are now
     while used > least:
-        donors = [b for b, own in enumerate(bins.items) if own and bins.free[b] and (not stuck or held(b) not in stuck)]
+        donors = [b for b, own in enumerate(bins.items) if own and bins.free[b] > spare and (not stuck or held(b) not in stuck)]
         if not donors:
             break
         donor = max(donors, key=lambda b: (bins.free[b], -b))
