@@ -1,9 +1,10 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are labelled documents of quality 1, the unlabelled set is web text as it comes, and the class prior
-is the estimated share of good documents. The model, one small hidden layer over text statistics, minimises the
-non-negative unbiased risk: prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)). Labels of quality
-0 serve the prior's estimate alone.
+is the estimated share of good documents. The model, one small hidden layer over statistics of the text and over its
+words, hashed into `BUCKETS` signed sums, minimises the non-negative unbiased risk:
+prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)). Labels of quality 0 serve the prior's estimate
+alone.
 
 Only statistics of a bounded sample go to the driver (`SAMPLE` positives and as many unlabelled rows, the first by a
 hash of their ids); scoring covers every row.
@@ -21,10 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrylake.llm.common import add_columns, with_fields
+from sentrylake.llm.words import batch_words
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
+BUCKETS = 64
 _NON_WORD = re.compile(r"[^\w\s]")
 
 
@@ -69,10 +72,25 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, steps: int = 1500, seed: int = 7) -> dict:
+WIDTH = len(statistics("")) + BUCKETS
+
+
+def inputs(column: pa.Array) -> np.ndarray:
+    """A row of statistics and hashed words for each text. A word adds 1 or -1 to its bucket; sums are over the root of the words."""
+    words = batch_words(column)
+    n = len(column)
+    row = np.repeat(np.arange(n), np.diff(words.first))
+    at = row * BUCKETS + (words.hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+    sign = ((words.hashes >> np.uint64(40)) & np.uint64(1)).astype(float) * 2 - 1
+    sums = np.bincount(at, weights=sign, minlength=n * BUCKETS).reshape(n, BUCKETS)
+    own = np.array([statistics(t) for t in column.to_pylist()]).reshape(n, WIDTH - BUCKETS)
+    return np.hstack((own, sums / np.sqrt(np.maximum(np.diff(words.first), 1))[:, None]))
+
+
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, steps: int = 1000, seed: int = 7) -> dict:
     """Full-batch Adam on the non-negative risk with logistic loss. Without positives every score is the prior."""
     prior = float(min(max(prior, 0.01), 0.99))
-    width = len(statistics(""))
+    width = positive.shape[1] if positive.ndim == 2 else WIDTH
     if not len(positive) or not len(unlabelled):
         return {"mean": np.zeros(width), "scale": np.ones(width), "w": np.zeros((width, hidden)), "b": np.zeros(hidden), "v": np.zeros(hidden), "c": np.log(prior / (1 - prior))}
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
@@ -118,13 +136,15 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def statistics_table(df: DataFrame, column: str, out: str) -> DataFrame:
+def input_table(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Inputs as 32-bit floats, packed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [statistics(t.as_py()) for t in batch.column(column)]
-            yield add_columns(batch, **{out: pa.array(made, type=pa.list_(pa.float64()))})
+            made = [x.tobytes() for x in inputs(batch.column(column)).astype("<f4")]
+            yield add_columns(batch, **{out: pa.array(made, type=pa.binary())})
 
-    return df.mapInArrow(run, with_fields(df, **{out: "array<double>"}))
+    return df.mapInArrow(run, with_fields(df, **{out: "binary"}))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", column: str = "text", label: str = "quality", sample: int = SAMPLE) -> dict:
@@ -133,12 +153,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", column: s
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     prior = known.agg(F.avg("y")).first()[0]
     texts = docs.select(F.col(id_column).alias("id"), F.col(column).alias("text")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
-    first = lambda d, role: d.select("id", F.lit(role).alias("role")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    first = lambda d, role: d.select("id", F.lit(role).alias("role")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
     # at most two samples of ids, so the broadcast is bounded
     chosen = first(known.where("y = 1"), 1).unionByName(first(texts, 0))
-    rows = statistics_table(texts.join(F.broadcast(chosen), "id").select("role", "text"), "text", "x").select("role", "x")
-    got = rows.collect()
-    matrix = lambda role: np.array([r.x for r in got if r.role == role]).reshape(-1, len(statistics("")))
+    # one text for each id, so that no id has more than one row of the sample
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id", "role").agg(F.min("text").alias("text"))
+    got = input_table(one.select("role", "text"), "text", "x").select("role", "x").collect()
+    matrix = lambda role: np.array([np.frombuffer(bytes(r.x), dtype="<f4") for r in got if r.role == role], dtype=float).reshape(-1, WIDTH)
     return train(matrix(1), matrix(0), 0.5 if prior is None else prior)
 
 
@@ -147,7 +168,7 @@ def score(docs: DataFrame, model: dict, id_column: str = "doc_id", column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t.as_py()) for t in batch.column(column)]).reshape(-1, len(model["mean"]))
+            x = inputs(batch.column(column)).astype("<f4").astype(float)
             yield add_columns(batch, **{out: pa.array(predict(model, x), type=pa.float64())})
 
     return docs.mapInArrow(run, with_fields(docs, **{out: "double"}))
