@@ -118,14 +118,14 @@ register(
 
 
 def _merged(t: DataFrame) -> DataFrame:
-    signals = t.where("event_id % 40 < 2").select("host_id", pick(["server", "self"], "event_id").alias("source"), pick([*fleet.LEVELS, "odd"], "pid").alias("level"), F.col("observed_at").alias("since"), "event_id")
-    return fleet.merge_levels(signals, F.lit("2024-01-25 00:00:00").cast("timestamp"), ttl_s=5 * DAY)
+    signals = t.where("event_id % 4 < 2").select("host_id", pick(["server", "self"], "event_id").alias("source"), pick([*fleet.LEVELS, "odd"], "pid").alias("level"), F.col("observed_at").alias("since"), "event_id")
+    return fleet.merge_levels(signals, F.lit("2024-01-25 00:00:00").cast("timestamp"), ttl_s=3 * DAY)
 
 
 register(
     "h9_merge_levels", _merged,
-    f"""WITH s AS (SELECT host_id, ['server', 'self'][event_id % 2 + 1] AS source, arg_max([0, 1, 2, 0][pid % 4 + 1], observed_at) AS r, max(observed_at) AS since FROM t WHERE event_id % 40 < 2 GROUP BY 1, 2)
-SELECT host_id, ['normal', 'elevated', 'critical'][max(CASE WHEN epoch_us(TIMESTAMP '2024-01-25') - epoch_us(since) > {5 * DAY}000000 THEN 0 ELSE r END) + 1] AS level FROM s GROUP BY 1""",
+    f"""WITH s AS (SELECT host_id, ['server', 'self'][event_id % 2 + 1] AS source, arg_max([0, 1, 2, 0][pid % 4 + 1], observed_at) AS r, max(observed_at) AS since FROM t WHERE event_id % 4 < 2 GROUP BY 1, 2)
+SELECT host_id, ['normal', 'elevated', 'critical'][max(CASE WHEN epoch_us(TIMESTAMP '2024-01-25') - epoch_us(since) > {3 * DAY}000000 THEN 0 ELSE r END) + 1] AS level FROM s GROUP BY 1""",
 )
 register(
     "h11_drop_rate",

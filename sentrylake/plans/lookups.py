@@ -143,17 +143,17 @@ def policies(t: DataFrame) -> DataFrame:
 
 
 def _decided(t: DataFrame) -> DataFrame:
-    """Findings of whole days at once, so that some repeat within two seconds; one in eleven has no response."""
-    found = t.where("class_uid = 2004").withColumn("observed_at", F.date_trunc("day", "observed_at"))
+    """Findings of three rules and a whole month at once, so that some repeat within two seconds; one in eleven has no response."""
+    found = t.where("class_uid = 2004").withColumns({"observed_at": F.date_trunc("month", "observed_at"), "rule_uid": F.concat(F.lit("rule-"), (F.col("pid") % 3).cast("string"))})
     action = F.when(F.col("event_id") % 11 > 0, pick(ACTIONS, "event_id"))
     return alerts.decide_responses(found, policies(t), "cmdline", action).select("event_id", "action", "outcome")
 
 
 register(
     "e9_decide_responses", _decided,
-    f"""WITH a AS (SELECT event_id, rule_uid, host_id, date_trunc('day', observed_at) AS d, cmdline, CASE WHEN event_id % 11 > 0 THEN {SQL_ACTION} END AS action, substr(host_id, 6, 2)::INT AS n FROM t WHERE class_uid = 2004),
+    f"""WITH a AS (SELECT event_id, 'rule-' || pid % 3 AS rule_uid, host_id, date_trunc('month', observed_at) AS d, cmdline, CASE WHEN event_id % 11 > 0 THEN {SQL_ACTION} END AS action, substr(host_id, 6, 2)::INT AS n FROM t WHERE class_uid = 2004),
 b AS (SELECT *, action IN ('isolate_host', 'unisolate_host') AS whole, CASE WHEN action IN ('isolate_host', 'unisolate_host') THEN action ELSE coalesce(cmdline, '') END AS target FROM a),
-c AS (SELECT *, coalesce(({MAY}) AND target <> '', false) AS may FROM b),
+c AS (SELECT *, coalesce(({MAY}) AND target <> '' AND action IS NOT NULL, false) AS may FROM b),
 r AS (SELECT event_id, row_number() OVER (PARTITION BY rule_uid, host_id, target, d ORDER BY event_id) = 1 AS ran FROM c WHERE may)
 SELECT event_id, action, CASE WHEN action IS NULL THEN NULL WHEN NOT may THEN 'would_have_executed' WHEN ran THEN 'executed' ELSE 'deduped' END AS outcome FROM c LEFT JOIN r USING (event_id)""",
 )

@@ -45,6 +45,77 @@ def test_matches_oracle(spark, duck, name):
     assert ours == theirs
 
 
+#: Every value that a query's column can take must occur in its result, else the comparison says little.
+BRANCHES = {
+    ("h1_host_status", "status"): {"revoked", "unknown", "online", "stale", "offline"},
+    ("h4_verify_chain", "verdict"): {"ok", "sequence gap", "prev_hash mismatch", "record_hash mismatch"},
+    ("h8_load_level", "level"): {"normal", "elevated", "critical"},
+    ("h9_merge_levels", "level"): {"normal", "elevated", "critical"},
+    ("e2_dedupe_alerts", "kept"): {True, False},
+    ("e3_alert_outcomes", "outcome"): {"inserted", "deduped", "errored"},
+    ("e9_decide_responses", "outcome"): {None, "executed", "deduped", "would_have_executed"},
+    ("e11_permits", "allowed"): {True, False},
+    ("g5_tree_status", "not_found"): {True, False},
+    ("g6_flow_nodes", "found"): {True, False},
+    ("f2_page", "next_cursor"): None,
+}
+
+
+@pytest.mark.parametrize("name,column", BRANCHES)
+def test_all_branches_occur(spark, name, column):
+    values = {r[0] for r in registry.QUERIES[name](spark, SF).select(column).distinct().collect()}
+    want = BRANCHES[name, column]
+    assert (None in values and len(values) == 2) if want is None else values == want
+
+
+def test_named_flags():
+    from pyspark.sql import functions as F
+
+    from sentrylake.functions.predicates import n_of
+
+    with pytest.raises(ValueError):
+        n_of(1, {"a": F.lit(True)}, "b*")
+
+
+def test_bad_windows(spark):
+    from sentrylake.sources import decode
+
+    with pytest.raises(ValueError):
+        decode.replay(spark.range(1), 1007, "2024-01-05", "2024-01-05 00:00:00")
+
+
+def test_spaced_fold_by_plain_python(spark):
+    """Over many batches and keys, with ties."""
+    import random
+
+    from sentrylake.operators.alerts import fold_spaced
+
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), rng.randint(0, 4000), k, 10) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k string, _us long, id long, w long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for inclusive in (True, False):
+            got = {r.id: r.taken for r in fold_spaced(df, ["k"], inclusive).collect()}
+            last: dict = {}
+            for k, us, i, w in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+                taken = k not in last or (us - last[k] >= w if inclusive else us - last[k] > w)
+                last[k] = us if taken else last[k]
+                assert got[i] == taken
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_long_logs_fold_like_short_ones(spark):
+    from sentrylake.operators import alerts
+    from sentrylake.plans.lookups import STATES
+
+    rows = [(k % 3, k, STATES[k * 7 % 11 % 4]) for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, seq long, to_status string")
+    one, many = ({(r.seq, r.from_status, r.accepted) for r in alerts.transition_log(df, "new", alerts.ALERT_MOVES, chunk=c).collect()} for c in (10_000, 7))
+    assert one == many and len(one) == 900
+
+
 def test_bad_definitions():
     with pytest.raises(ValueError):
         m("x").equals()
