@@ -5,8 +5,9 @@ build many words on one stem). Labelled texts that mention a group get counterfa
 copies with the mention swapped for every other term of the list, and training penalises the squared change of the
 score's logit between a text and its copies, over all features in which they differ. A copy has the features of the rest
 of its text and those of the other term, so it is kept as the term and what the rest lacks of all terms' features. So
-words that merely name a group can't carry the label, and neutral mentions aren't flagged. `SAMPLE` bounds the labelled rows that training takes (the first by a hash of their ids); of
-those only hashed word sets go to the driver.
+words that merely name a group can't carry the label, and neutral mentions aren't flagged. `SAMPLE` bounds the labelled
+rows that training takes (the first by a hash of their ids, one text an id); of those only hashed word sets go to the
+driver.
 """
 
 from __future__ import annotations
@@ -27,11 +28,17 @@ SAMPLE = 8_000
 THRESHOLD = 0.5
 FOLDS, HELD_OUT = 5, 0
 BITS = 20
-#: Terms that name groups; a parameter of fit().
-IDENTITY_TERMS = (
-    "women men girls boys gay lesbian transgender straight muslim muslims christian christians jewish jews hindu buddhist atheist "
-    "black white asian latino african european american mexican chinese indian arab immigrants refugees disabled deaf blind elderly young"
-).split()
+#: Terms that name groups, by language; a parameter of fit(). A term is swapped for those of its own language.
+IDENTITY_TERMS = {
+    "en": "women men girls boys gay lesbian transgender straight muslim muslims christian christians jewish jews hindu buddhist atheist "
+    "black white asian latino african european american mexican chinese indian arab immigrants refugees disabled deaf blind elderly young".split(),
+    "de": "frauen männer mädchen buben schwule lesben muslime christen juden hindus atheisten schwarze weiße türken polen araber "
+    "flüchtlinge einwanderer behinderte gehörlose blinde alte junge".split(),
+    "fr": "femmes hommes filles garçons homosexuels lesbiennes musulmans chrétiens juifs bouddhistes athées noirs blancs asiatiques arabes "
+    "africains immigrés réfugiés handicapés sourds aveugles vieux jeunes".split(),
+    "es": "mujeres hombres niñas niños homosexuales lesbianas musulmanes cristianos judíos budistas ateos negros blancos asiáticos árabes "
+    "africanos gitanos inmigrantes refugiados discapacitados sordos ciegos ancianos jóvenes".split(),
+}
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 
 
@@ -80,11 +87,18 @@ class Swaps:
     """Counterfactual copies of a text: for each term that it mentions, which features of all terms the rest of it lacks.
 
     With A[o] the sum of the weights that term o adds to the rest, the copy with o in place of t changes the logit by
-    A[o] - A[t].
+    A[o] - A[t]. `terms` is a list, or lists by language; `partners` tells which terms stand in for which.
     """
 
-    def __init__(self, terms: Sequence[str], features: Features):
-        self.words = list(dict.fromkeys(t.lower() for t in terms))
+    def __init__(self, terms: Sequence[str] | dict[str, Sequence[str]], features: Features):
+        lists = terms if isinstance(terms, dict) else {"": terms}
+        language: dict[str, str] = {}
+        for name, own in lists.items():
+            for t in own:
+                language.setdefault(t.lower(), name)
+        self.words = list(language)
+        names = np.array(list(language.values()), dtype=object)
+        self.partners = (names[:, None] == names[None, :]) & ~np.eye(len(names), dtype=bool)
         self.groups = [features[t] for t in self.words]
         self.names = sorted(set().union(*self.groups))
         self.by_bucket = {bucket(t): k for k, t in enumerate(self.words)}
@@ -122,11 +136,12 @@ def word_swaps(sets: list[np.ndarray], identity: list[int]) -> tuple[list[tuple[
 
 def train(
     sets: list[np.ndarray], y: np.ndarray, identity: list[int], l1: float = 1.5e-4, ridge: float = 1e-6, penalty: float = 1.0, steps: int = 300,
-    swaps: tuple[list[tuple[int, ...]], list[int], Counter] | None = None,
+    swaps: tuple[list[tuple[int, ...]], list[int], Counter] | None = None, partners: np.ndarray | None = None,
 ) -> tuple[dict[int, float], float]:
     """Adaptive proximal gradient on log loss + L1 + counterfactual penalty. Returns nonzero weights and the bias.
 
     `swaps`: the terms' features, their names and the copies with their numbers; without it, terms are their words only.
+    `partners`: for each term, those that it is swapped for; all others without it.
     """
     if not len(y) or y.min() == y.max():
         rate = float(y.mean()) if len(y) else 0.5
@@ -148,7 +163,9 @@ def train(
     has = np.array([[f in g for g in groups] for f in own], dtype=float)  # feature, term
     term = np.array([int.from_bytes(c[:2], "little") for c in copies], dtype=int)
     lacks = np.unpackbits(np.array([list(c[2:]) for c in copies], dtype=np.uint8), axis=1)[:, : len(own)] if copies else None
-    seen = np.array(list(copies.values()), dtype=float) / (n * max(1, len(groups) - 1))  # of each text, the mean of its copies
+    partners = ~np.eye(len(groups), dtype=bool) if partners is None else partners
+    shares = partners / np.maximum(partners.sum(1), 1)[:, None] / n  # of each text, the mean of its copies
+    seen = np.array(list(copies.values()), dtype=float)[:, None] * shares[term] if copies else None  # copy, other term
     w, b = np.zeros(d), float(np.log(y.mean() / (1 - y.mean())))
     m1, m2, b1, b2 = np.zeros(d), np.zeros(d), 0.0, 0.0
     for k in range(1, steps + 1):
@@ -157,7 +174,7 @@ def train(
         grad = np.bincount(col, weights=g[row], minlength=d) + ridge * w
         if len(groups) > 1 and lacks is not None:
             added = (lacks * w[terms]) @ has
-            change = seen[:, None] * (added - added[np.arange(len(term)), term][:, None])
+            change = seen * (added - added[np.arange(len(term)), term][:, None])
             # each copy pulls on what it adds and, the other way, on what it lost
             grad[terms] += penalty * 2 * (lacks * (change @ has.T - change.sum(1)[:, None] * has[:, term].T)).sum(0)
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
@@ -172,13 +189,17 @@ def train(
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", column: str = "text", label: str = "toxic", identity_terms: list[str] = IDENTITY_TERMS, sample: int = SAMPLE
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", column: str = "text", label: str = "toxic", identity_terms: dict[str, list[str]] | list[str] = IDENTITY_TERMS, sample: int = SAMPLE, penalty: float = 1.0
 ) -> tuple[dict[int, float], float]:
-    """Fit on labelled rows outside the held-out fold. Null labels are none; a 1 beside a 0 for one id counts as 1."""
+    """Fit on labelled rows outside the held-out fold. Null labels are none; a 1 beside a 0 for one id counts as 1.
+
+    An id with several texts counts by one of them, the smallest. Without labels or texts every score is the same.
+    """
     known = labels.select(F.col(id_column).alias("id"), F.col(label).alias("y")).where("id is not null and y is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col(id_column).alias("id"), F.col(column).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
+    texts = docs.select(F.col(id_column).alias("id"), F.col(column).alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -193,7 +214,7 @@ def fit(
     sets = [np.frombuffer(bytes(r.features), dtype="<i4") for r in got]
     all_terms = Swaps(identity_terms, Features())
     copies = Counter(bytes(c) for r in got for c in r.copies)
-    return train(sets, np.array([r.y for r in got], dtype=float), [bucket(t) for t in all_terms.words], swaps=(all_terms.groups, all_terms.names, copies))
+    return train(sets, np.array([r.y for r in got], dtype=float), [bucket(t) for t in all_terms.words], penalty=penalty, swaps=(all_terms.groups, all_terms.names, copies), partners=all_terms.partners)
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float], column: str = "text", out: str = "score") -> DataFrame:
