@@ -13,9 +13,14 @@ from pyspark.sql.types import DataType, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (only where unset, as in tests) an own one."""
+    """The folder that all executors share: spark.checkpoint.dir, or an own one where that is unset in a local session, as in tests.
+
+    On a cluster without the setting this is an error, as no folder of one machine serves all.
+    """
     held = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         held = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", held)
     return held.rstrip("/")

@@ -307,6 +307,34 @@ def test_chat(spark):
     assert got[None, 0].reply_order is None and got[2, 5].text == "" and got[2, 5].reply_to is None
 
 
+def test_chat_on_odd_tables(spark):
+    """Empty tables, repeated rows, long texts, nulls in every column, columns of the added names."""
+    kinds = "conv_id long, turn long, role string, text string, reply_to string, _at string"
+    long = "\n".join(f"> line {i} of a long quote" for i in range(3000))
+    said = "\n".join(f"line {i} of a long quote" for i in range(3000))
+    rows = [(1, 0, "u", said, "x", "y"), (1, 1, "a", long + "\nyes", None, None), (1, 1, "a", long + "\nyes", None, None), (None, None, None, None, None, None), (2, None, "u", "> a", "x", "y"), (3, 0, None, None, "x", "y")]
+    got = chat.link_quotes(spark.createDataFrame(rows, kinds)).collect()
+    assert len(got) == 6 and set(got[0].asDict()) == {"conv_id", "turn", "role", "text", "_at", "n_quotes", "quote_level", "n_linked", "reply_to", "reply_order"}
+    both = [r for r in got if r.conv_id == 1 and r.turn == 1]
+    assert [(r.text, r.n_quotes, r.n_linked, r.reply_to) for r in both] == [("yes", 1, 1, 0)] * 2 and sorted(r.reply_order for r in both) == [2, 3]
+    assert all(r.reply_to is None and r.reply_order is None for r in got if r.conv_id is None or r.turn is None)
+    assert chat.link_quotes(spark.createDataFrame([], kinds)).count() == 0
+
+
+def test_edited_texts_by_plain_python(spark):
+    """Edits over code points, in order of ids, the last followed by the first; sketches of equal texts are equal."""
+    rng = random.Random(14)
+    texts = ["", None, "é🎉ab" * 5, "one two three four five six seven", "x"] + [" ".join(rng.choice("αβ γδ zz 🎉".split()) for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    rows = [(3 * k, t) for k, t in enumerate(texts)]
+    got = {r.id: r for r in fingerprint.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (i, text) in enumerate(rows):
+        own, after = text or "", texts[(k + 1) % len(texts)] or ""
+        n = len(own) // 4
+        assert got[i].edited == own[: len(own) - n] + after[:n] and got[i].n_chars == len(own), i
+    same = [r for r in got.values() if r.edited == (texts[r.id // 3] or "")]
+    assert same and all(r.fingerprint == r.edited_fingerprint for r in same)
+
+
 def test_jaccard_blocks_count_each_link_once():
     rng = np.random.default_rng(3)
     base = rng.choice(10_000, 40, replace=False)
@@ -357,10 +385,49 @@ def test_neutral_mentions_after_fit(spark):
         labels.append((k, int(toxic)))
     model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     logit = lambda text: model[1] + sum(model[0].get(f, 0.0) for f in toxicity.feature_set(text, toxicity.Features()))
-    changes = [logit(f"n1 n2 {t}") - logit("n1 n2 women") for t in toxicity.IDENTITY_TERMS]
+    changes = [logit(f"n1 n2 {t}") - logit("n1 n2 women") for t in toxicity.IDENTITY_TERMS["en"]]
     assert max(map(abs, changes)) < 1 and logit("n1 n2 muslim") < 0 < logit("n1 n2 slur"), (changes, logit("n1 n2 muslim"))
 
 
+def test_penalty_flags_fewer_neutral_mentions(spark):
+    """Of planted neutral texts that mention a group, with words and prefixes of four languages, fewer are flagged with the penalty than without."""
+    rng = random.Random(21)
+    docs, labels = [], []
+    named = {"en": "muslims", "de": "muslime", "fr": "musulmans", "es": "musulmanes"}
+    for k in range(1200):
+        toxic, lang = k % 4 == 0, list(named)[k % 16 // 4]
+        words = [f"{lang}{rng.randint(0, 50)}" for _ in range(8)]
+        if toxic:
+            words += [named[lang]] + ([f"{lang}slur"] if k % 8 else [])
+        elif k % 5 == 0:
+            words += [rng.choice(toxicity.IDENTITY_TERMS[lang])]
+        docs.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    df, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = spark.createDataFrame([(k, f"{lang}1 {lang}2 {lang}{k} {word}") for k in range(40) for lang, word in named.items()], "doc_id long, text string")
+    flagged = {p: toxicity.score(neutral, toxicity.fit(df, marks, penalty=p)).where("score >= 0.5").count() for p in (0.0, 1.0)}
+    assert flagged[0.0] > 100 and flagged[1.0] < 0.2 * flagged[0.0], flagged
+
+
+def test_terms_are_swapped_within_their_language():
+    swaps = toxicity.Swaps({"a": ["x", "y"], "b": ["y", "z", "w"]}, toxicity.Features())
+    assert swaps.words == ["x", "y", "z", "w"]
+    assert swaps.partners.tolist() == [[False, True, False, False], [True, False, False, False], [False, False, False, True], [False, False, True, False]]
+
+
+def test_classifiers_hold_out(spark):
+    """Held-out accuracy on the given documents; the folds are those of the contracts."""
+    path = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    from sentrylake.llm import queries
+
+    good = queries.op10_quality(spark, path).join(labels, "doc_id").where("held_out and quality is not null")
+    assert good.where("predicted = quality").count() >= 0.95 * good.count() > 50
+    marked = queries.op6_toxicity(spark, path).join(labels, "doc_id").where("held_out and toxic is not null")
+    assert marked.where("predicted = toxic").count() >= 0.93 * marked.count() > 30
+    assert queries.op10_quality(spark, path).count() == queries.op6_toxicity(spark, path).count() == docs.count()
+
+
 def test_copies_are_swapped_texts():
     features = toxicity.Features()
     swaps = toxicity.Swaps(("women", "womenfolk", "muslim"), features)
