@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.functions.predicates import ioc_match, m, n_of, selection
+from sentrylake.functions.predicates import m, selection
 from sentrylake.operators import alerts, enrich, fleet, followups, graph, responses, rules, search
-from sentrylake.operators.correlate import count_over, micros, near
-from sentrylake.plans.catalog import DAY, ORACLE, QUERIES, now, predicate, register
+from sentrylake.operators.correlate import count_over, near
+from sentrylake.plans.catalog import DAY, ORACLE, QUERIES, now, predicate, register  # noqa: F401  the entry reads both tables here
 from sentrylake.plans import detection, fleetwide, intake, lookups  # noqa: F401  they register more
 from sentrylake.sources import decode
 
@@ -21,7 +21,11 @@ predicate("c4_endswith", lambda: m("file_path").endswith(".locked"), "ends_with(
 predicate("c5_cased", lambda: m("exec_path").endswith("wget", cased=True), "ends_with(exec_path, 'wget')")
 predicate("c6_regex", lambda: m("exec_path").regex("/(curl|wget)$", flags="i"), "regexp_matches(exec_path, '/(curl|wget)$', 'i')")
 predicate("c7_cidr_v4", lambda: m("dst_ip").cidr("10.2.0.0/15"), "split_part(dst_ip, '.', 2) IN ('2', '3')")
-predicate("c8_cidr_v6", lambda: m(F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("event_id") % 16)), F.lit("::1"))).cidr("2001:db8:4::/46"), "event_id % 16 BETWEEN 4 AND 7")
+predicate(
+    "c8_cidr_v6",
+    lambda: m(F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("event_id") % 16)), F.lit("::1"))).cidr("2001:db8:4::/46"),
+    "event_id % 16 BETWEEN 4 AND 7",
+)
 predicate("c9_numeric", lambda: m("src_port").compare("gte", 5000), "src_port >= 5000")
 predicate("c10_value_list", lambda: m("dst_port").equals(22, 9050), "dst_port IN (22, 9050)")
 predicate("c11_all_values", lambda: m("cmdline").contains("base64", "echo", all=True), "contains(cmdline, 'base64') AND contains(cmdline, 'echo')")
@@ -41,7 +45,11 @@ def shell() -> Column:
     return m("cmdline").contains("bash -i", "/dev/tcp/", all=True)
 
 
-predicate("r1_selection_and", lambda: selection({"Image": bash(), "CommandLine": shell()}), "ends_with(exec_path, '/bash') AND contains(cmdline, 'bash -i') AND contains(cmdline, '/dev/tcp/')")
+predicate(
+    "r1_selection_and",
+    lambda: selection({"Image": bash(), "CommandLine": shell()}),
+    "ends_with(exec_path, '/bash') AND contains(cmdline, 'bash -i') AND contains(cmdline, '/dev/tcp/')",
+)
 predicate("r2_selection_or", lambda: selection([{"Image": bash()}, {"port": m("dst_port").equals(9050)}]), "ends_with(exec_path, '/bash') OR dst_port = 9050")
 predicate("r3_boolean", lambda: bash() & ~m("cmdline").contains("chmod"), "ends_with(exec_path, '/bash') AND NOT coalesce(contains(cmdline, 'chmod'), false)")
 
@@ -49,8 +57,6 @@ def three():
     return [bash(), m("dst_port").equals(22), m("protocol").equals("udp")]
 
 
-
-
 register(
     "r9_mitre",
     lambda t: t.select("event_id", F.explode(rules.mitre(F.array(F.concat(F.lit("attack.t1"), F.lpad((F.col("event_id") % 90).cast("string"), 3, "0"), F.lit(".00"), (F.col("event_id") % 5).cast("string")), F.lit("attack.execution")))).alias("x")).select("event_id", "x.technique", "x.sub"),
@@ -64,8 +70,6 @@ def starts():
     return (F.col("class_uid") == 1007) & m("exec_path").endswith("/bash", "/sudo")
 
 
-
-
 def counted(by: str, seconds: int, test: str, where: str = PROC, columns: str = "event_id, n_hits") -> str:
     part = f"PARTITION BY {by} " if by else ""
     return f"""WITH c AS (SELECT *, epoch_us(observed_at) AS us FROM t WHERE {where}),
@@ -80,9 +84,17 @@ def slim(df: DataFrame) -> DataFrame:
 
 register("d1_count_over", lambda t: slim(count_over(t, starts(), ["user_name"], DAY, ">", 1, detail=False)), counted("user_name", DAY, "> 1"))
 register("d2_comparison", lambda t: slim(count_over(t, starts(), ["user_name"], DAY, "==", 2, detail=False)), counted("user_name", DAY, "= 2"))
-register("d3_composite_key", lambda t: slim(count_over(t, starts(), ["user_name", "cmdline"], 2 * DAY, ">=", 2, detail=False)), counted("user_name, coalesce(cmdline, '<nil>')", 2 * DAY, ">= 2"))
+register(
+    "d3_composite_key",
+    lambda t: slim(count_over(t, starts(), ["user_name", "cmdline"], 2 * DAY, ">=", 2, detail=False)),
+    counted("user_name, coalesce(cmdline, '<nil>')", 2 * DAY, ">= 2"),
+)
 register("d4_global_count", lambda t: slim(count_over(t, starts(), [], 3600, ">", 2, detail=False)), counted("", 3600, "> 2"))
-register("d5_fleet_scope", lambda t: count_over(t, starts(), ["user_name"], DAY, ">", 1, detail=False).select("event_id", "host_id", "n_hits"), counted("user_name", DAY, "> 1", columns="event_id, host_id, n_hits"))
+register(
+    "d5_fleet_scope",
+    lambda t: count_over(t, starts(), ["user_name"], DAY, ">", 1, detail=False).select("event_id", "host_id", "n_hits"),
+    counted("user_name", DAY, "> 1", columns="event_id, host_id, n_hits"),
+)
 register("d6_host_scope", lambda t: slim(count_over(t, starts(), ["host_id", "pid"], 10 * DAY, ">", 1, detail=False)), counted("host_id, pid", 10 * DAY, "> 1"))
 register(
     "d7_finding_detail", lambda t: count_over(t, starts(), ["user_name"], DAY, ">=", 2).select("event_id", "user_name", "n_hits", "window_start", "event_ids"),
@@ -101,36 +113,63 @@ register("d9_near_detail", lambda t: _near(t).select("event_id", "window_start",
 
 register(
     "a7_envelope_ids", lambda t: t.select("event_id", decode.canonical_uuid(F.when(F.col("event_id") % 3 == 0, F.upper(F.md5(F.col("event_id").cast("string")))).otherwise(F.lit("bad"))).alias("uid")),
-    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(CAST(md5(event_id::VARCHAR) AS UUID) AS VARCHAR) ELSE '00000000-0000-0000-0000-000000000000' END AS uid FROM t",
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(CAST(md5(event_id::VARCHAR) AS UUID) AS VARCHAR) ELSE "
+    "'00000000-0000-0000-0000-000000000000' END AS uid FROM t",
 )
-register("a8_severity", lambda t: t.select("event_id", decode.severity_of(F.when(F.col("event_id") % 5 == 0, "{}").otherwise(F.to_json(F.struct("severity_id")))).alias("severity")), "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE severity_id END AS severity FROM t")
-register("a13_replay", lambda t: decode.replay(t, 1007, "2024-01-05 00:00:00", "2024-01-20 00:00:00").select("event_id", "observed_at"), "SELECT event_id, observed_at FROM t WHERE class_uid = 1007 AND observed_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'")
+register(
+    "a8_severity",
+    lambda t: t.select("event_id", decode.severity_of(F.when(F.col("event_id") % 5 == 0, "{}").otherwise(F.to_json(F.struct("severity_id")))).alias("severity")),
+    "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE severity_id END AS severity FROM t",
+)
+register(
+    "a13_replay",
+    lambda t: decode.replay(t, 1007, "2024-01-05 00:00:00", "2024-01-20 00:00:00").select("event_id", "observed_at"),
+    "SELECT event_id, observed_at FROM t WHERE class_uid = 1007 AND observed_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'",
+)
 register(
     "a19_hunt_long",
     lambda t: decode.hunt_long(t.select(F.col("rule_uid").alias("query_id"), "host_id", "observed_at", F.array(F.lit("event"), F.lit("pid")).alias("columns"), F.when(F.col("event_id") % 3 == 0, F.array(F.col("event_id").cast("string"))).otherwise(F.array(F.col("event_id").cast("string"), F.col("pid").cast("string"))).alias("values"))),
-    "SELECT rule_uid AS query_id, host_id, observed_at, 'event' AS key, event_id::VARCHAR AS value FROM t UNION ALL SELECT rule_uid, host_id, observed_at, 'pid', CASE WHEN event_id % 3 = 0 THEN '' ELSE pid::VARCHAR END FROM t",
+    "SELECT rule_uid AS query_id, host_id, observed_at, 'event' AS key, event_id::VARCHAR AS value FROM t UNION ALL SELECT rule_uid, host_id, "
+    "observed_at, 'pid', CASE WHEN event_id % 3 = 0 THEN '' ELSE pid::VARCHAR END FROM t",
 )
 
 # B: enrichment
 register(
     "b3_derived_fields", lambda t: t.select("event_id", enrich.type_uid(F.col("class_uid"), F.lit(1)).alias("type_uid"), enrich.basename(F.col("exec_path")).alias("name"), enrich.mode_text(F.col("pid")).alias("mode")),
-    "SELECT event_id, class_uid * 100 + 1 AS type_uid, split_part(exec_path, '/', -1) AS name, 'mode:0' || CASE WHEN pid >= 64 THEN (pid // 64)::VARCHAR ELSE '' END || CASE WHEN pid >= 8 THEN (pid // 8 % 8)::VARCHAR ELSE '' END || (pid % 8)::VARCHAR AS mode FROM t",
+    "SELECT event_id, class_uid * 100 + 1 AS type_uid, split_part(exec_path, '/', -1) AS name, 'mode:0' || CASE WHEN pid >= 64 THEN (pid // "
+    "64)::VARCHAR ELSE '' END || CASE WHEN pid >= 8 THEN (pid // 8 % 8)::VARCHAR ELSE '' END || (pid % 8)::VARCHAR AS mode FROM t",
 )
 register(
     "b4_carry_state", lambda t: enrich.carry_state(t, ["cmdline"], ["host_id", "pid"], ["observed_at", "event_id"]).select("event_id", "cmdline", "created_at"),
-    "SELECT event_id, last_value(cmdline IGNORE NULLS) OVER w AS cmdline, first_value(observed_at) OVER w AS created_at FROM t WINDOW w AS (PARTITION BY host_id, pid ORDER BY observed_at, event_id ROWS UNBOUNDED PRECEDING)",
+    "SELECT event_id, last_value(cmdline IGNORE NULLS) OVER w AS cmdline, first_value(observed_at) OVER w AS created_at FROM t WINDOW w AS "
+    "(PARTITION BY host_id, pid ORDER BY observed_at, event_id ROWS UNBOUNDED PRECEDING)",
 )
 register(
     "b5_intervals", lambda t: enrich.intervals(t.withColumn("is_exit", F.col("event_id") % 4 == 0), ["host_id", "pid"]).select("event_id", (F.col("end_us") - F.col("start_us")).alias("lasts_us")),
-    "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN least(coalesce(lead(us) OVER w, us + 30000000), us + 30000000) ELSE lead(us) OVER w END - us AS lasts_us FROM (SELECT *, epoch_us(observed_at) AS us FROM t) WINDOW w AS (PARTITION BY host_id, pid ORDER BY us, event_id)",
+    "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN least(coalesce(lead(us) OVER w, us + 30000000), us + 30000000) ELSE lead(us) OVER w END - "
+    "us AS lasts_us FROM (SELECT *, epoch_us(observed_at) AS us FROM t) WINDOW w AS (PARTITION BY host_id, pid ORDER BY us, event_id)",
 )
 register(
     "b6_join_actor", lambda t: graph.as_of(t.where("class_uid in (1001, 4001)"), t.where("class_uid = 1007"), ["host_id", "pid"], ["exec_path"], 30 * DAY).select("event_id", "actor_exec_path"),
-    f"SELECT p.event_id, CASE WHEN epoch_us(p.observed_at) - epoch_us(s.observed_at) <= {30 * DAY * 1_000_000} THEN s.exec_path END AS actor_exec_path FROM (SELECT * FROM t WHERE class_uid IN (1001, 4001)) p ASOF LEFT JOIN (SELECT host_id, pid, observed_at, exec_path FROM t WHERE class_uid = 1007) s ON p.host_id = s.host_id AND p.pid = s.pid AND p.observed_at >= s.observed_at",
+    f"SELECT p.event_id, CASE WHEN epoch_us(p.observed_at) - epoch_us(s.observed_at) <= {30 * DAY * 1_000_000} THEN s.exec_path END AS "
+    f"actor_exec_path FROM (SELECT * FROM t WHERE class_uid IN (1001, 4001)) p ASOF LEFT JOIN (SELECT host_id, pid, observed_at, exec_path FROM t "
+    f"WHERE class_uid = 1007) s ON p.host_id = s.host_id AND p.pid = s.pid AND p.observed_at >= s.observed_at",
 )
-register("b8_join_users", lambda t: enrich.join_users(t.select("event_id", (F.col("pid") % 9).alias("uid")), t.where("pid < 6").select(F.col("pid").alias("uid"), F.concat(F.lit("u"), "pid").alias("name")).distinct()).select("event_id", "user"), "SELECT event_id, CASE WHEN pid % 9 BETWEEN 1 AND 5 THEN 'u' || pid % 9 END AS user FROM t")
-predicate("b9_path_filter", lambda: enrich.path_filter(F.col("file_path"), ["/var/view/**", "/var/*/f1*.txt"], ["/var/view/f2?.txt"]), r"(starts_with(file_path, '/var/view/') OR regexp_matches(file_path, '^/var/[^/]*/f1[^/]*\.txt$')) AND NOT regexp_matches(file_path, '^/var/view/f2[^/]\.txt$')")
-register("b10_resolve_path", lambda t: t.select("event_id", enrich.resolve_path(F.concat(F.lit("../x/./"), F.col("user_name")), F.lit("/home/a")).alias("path")), "SELECT event_id, '/home/x/' || user_name AS path FROM t")
+register(
+    "b8_join_users",
+    lambda t: enrich.join_users(t.select("event_id", (F.col("pid") % 9).alias("uid")), t.where("pid < 6").select(F.col("pid").alias("uid"), F.concat(F.lit("u"), "pid").alias("name")).distinct()).select("event_id", "user"),
+    "SELECT event_id, CASE WHEN pid % 9 BETWEEN 1 AND 5 THEN 'u' || pid % 9 END AS user FROM t",
+)
+predicate(
+    "b9_path_filter",
+    lambda: enrich.path_filter(F.col("file_path"), ["/var/view/**", "/var/*/f1*.txt"], ["/var/view/f2?.txt"]),
+    r"(starts_with(file_path, '/var/view/') OR regexp_matches(file_path, '^/var/[^/]*/f1[^/]*\.txt$')) AND NOT regexp_matches(file_path, '^/var/view/f2[^/]\.txt$')",
+)
+register(
+    "b10_resolve_path",
+    lambda t: t.select("event_id", enrich.resolve_path(F.concat(F.lit("../x/./"), F.col("user_name")), F.lit("/home/a")).alias("path")),
+    "SELECT event_id, '/home/x/' || user_name AS path FROM t",
+)
 register("b12_stamp_host", lambda t: enrich.stamp_host(t, "host-00").select("event_id", "host_id"), "SELECT event_id, 'host-00' AS host_id FROM t")
 
 # E: alerts
@@ -163,30 +202,64 @@ SELECT id, arg_max(status, k) AS status, max(refused) AS refused FROM f GROUP BY
 STATES, STEPS = ["acknowledged", "in_progress", "closed", "new"], ["running", "done", "failed", "denied", "reverted"]
 register("e6_alert_states", lambda t: alerts.fold_transitions(_log(t, STATES), "new", alerts.ALERT_MOVES), fold_sql(STATES, "new", alerts.ALERT_MOVES))
 register("e13_response_states", lambda t: alerts.fold_transitions(_log(t, STEPS), "pending", alerts.RESPONSE_MOVES), fold_sql(STEPS, "pending", alerts.RESPONSE_MOVES))
-register("e16_responses_per_host", lambda t: search.newest_per(t.where("class_uid = 2004"), "host_id", 5, [F.desc("observed_at"), F.desc("event_id")]).select("host_id", "event_id", "rank"), "SELECT host_id, event_id, rank FROM (SELECT host_id, event_id, row_number() OVER (PARTITION BY host_id ORDER BY observed_at DESC, event_id DESC) AS rank FROM t WHERE class_uid = 2004) WHERE rank <= 5")
+register(
+    "e16_responses_per_host",
+    lambda t: search.newest_per(t.where("class_uid = 2004"), "host_id", 5, [F.desc("observed_at"), F.desc("event_id")]).select("host_id", "event_id", "rank"),
+    "SELECT host_id, event_id, rank FROM (SELECT host_id, event_id, row_number() OVER (PARTITION BY host_id ORDER BY observed_at DESC, event_id "
+    "DESC) AS rank FROM t WHERE class_uid = 2004) WHERE rank <= 5",
+)
 
 # F: search
 SUMMARY = "CASE class_uid WHEN 1007 THEN concat_ws(' ', exec_path, cmdline) WHEN 1001 THEN file_path WHEN 4001 THEN protocol || ' ' || src_ip || ':' || src_port || ' -> ' || dst_ip || ':' || dst_port ELSE rule_uid END AS summary"
 FOUND = f"SELECT event_id, host_id, class_uid, severity_id, observed_at, {SUMMARY} FROM t"
-register("f1_search", lambda t: search.search(t, hosts=["host-01", "host-07"], severity=2, classes=[1007, 4001]), f"{FOUND} WHERE host_id IN ('host-01', 'host-07') AND severity_id >= 2 AND class_uid IN (1007, 4001)")
+register(
+    "f1_search",
+    lambda t: search.search(t, hosts=["host-01", "host-07"], severity=2, classes=[1007, 4001]),
+    f"{FOUND} WHERE host_id IN ('host-01', 'host-07') AND severity_id >= 2 AND class_uid IN (1007, 4001)",
+)
 register("f3_summary", lambda t: search.search(t).select("event_id", "summary"), f"SELECT event_id, {SUMMARY} FROM t")
 register("f4_rule_filter", lambda t: search.search(t, rule_uid="rule-03"), f"{FOUND} WHERE class_uid = 2004 AND rule_uid = 'rule-03'")
 register("f5_raw_contains", lambda t: search.search(t, raw_contains=": 42"), f"{FOUND} WHERE contains(raw, ': 42')")
-register("f11_trim_history", lambda t: search.newest_per(t, "user_name", 50, [F.desc("observed_at"), F.desc("event_id")]).select("user_name", "event_id"), "SELECT user_name, event_id FROM t QUALIFY row_number() OVER (PARTITION BY user_name ORDER BY observed_at DESC, event_id DESC) <= 50")
+register(
+    "f11_trim_history",
+    lambda t: search.newest_per(t, "user_name", 50, [F.desc("observed_at"), F.desc("event_id")]).select("user_name", "event_id"),
+    "SELECT user_name, event_id FROM t QUALIFY row_number() OVER (PARTITION BY user_name ORDER BY observed_at DESC, event_id DESC) <= 50",
+)
 
 # G: process graph
 FIRST = "fs AS (SELECT host_id, pid, arg_min(parent_pid, (observed_at, event_id)) AS parent_pid, arg_min(exec_path, (observed_at, event_id)) AS exec_path, min(observed_at) AS observed_at FROM t WHERE class_uid = 1007 GROUP BY 1, 2)"
 _procs = lambda t: t.where("class_uid = 1007")
-register("g1_process_at", lambda t: graph.as_of(t.where("class_uid = 2004"), _procs(t), ["host_id", "pid"], ["user_name"], DAY * 7).select("event_id", "actor_user_name"), f"SELECT p.event_id, CASE WHEN epoch_us(p.observed_at) - epoch_us(s.observed_at) <= {7 * DAY * 1_000_000} THEN s.user_name END AS actor_user_name FROM (SELECT * FROM t WHERE class_uid = 2004) p ASOF LEFT JOIN (SELECT * FROM t WHERE class_uid = 1007) s ON p.host_id = s.host_id AND p.pid = s.pid AND p.observed_at >= s.observed_at")
-register("g2_children", lambda t: graph.children(_procs(t)).select("host_id", "parent_pid", "pid", "exec_path", "rank"), f"WITH {FIRST} SELECT host_id, parent_pid, pid, exec_path, rank FROM (SELECT *, row_number() OVER (PARTITION BY host_id, parent_pid ORDER BY observed_at, pid) AS rank FROM fs) WHERE rank <= 64")
+register(
+    "g1_process_at",
+    lambda t: graph.as_of(t.where("class_uid = 2004"), _procs(t), ["host_id", "pid"], ["user_name"], DAY * 7).select("event_id", "actor_user_name"),
+    f"SELECT p.event_id, CASE WHEN epoch_us(p.observed_at) - epoch_us(s.observed_at) <= {7 * DAY * 1_000_000} THEN s.user_name END AS "
+    f"actor_user_name FROM (SELECT * FROM t WHERE class_uid = 2004) p ASOF LEFT JOIN (SELECT * FROM t WHERE class_uid = 1007) s ON p.host_id = "
+    f"s.host_id AND p.pid = s.pid AND p.observed_at >= s.observed_at",
+)
+register(
+    "g2_children",
+    lambda t: graph.children(_procs(t)).select("host_id", "parent_pid", "pid", "exec_path", "rank"),
+    f"WITH {FIRST} SELECT host_id, parent_pid, pid, exec_path, rank FROM (SELECT *, row_number() OVER (PARTITION BY host_id, parent_pid ORDER BY "
+    f"observed_at, pid) AS rank FROM fs) WHERE rank <= 64",
+)
 register(
     "g3_ancestors", lambda t: graph.ancestors(_procs(t)),
-    f"WITH {FIRST}, r AS (SELECT host_id, pid, [pid] AS chain, parent_pid AS next FROM fs UNION ALL SELECT r.host_id, r.pid, list_prepend(fs.pid, r.chain), fs.parent_pid FROM r JOIN fs ON fs.host_id = r.host_id AND fs.pid = r.next WHERE NOT list_contains(r.chain, fs.pid) AND len(r.chain) < 8) SELECT host_id, pid, arg_max(chain, len(chain)) AS chain FROM r GROUP BY 1, 2",
+    f"WITH {FIRST}, r AS (SELECT host_id, pid, [pid] AS chain, parent_pid AS next FROM fs UNION ALL SELECT r.host_id, r.pid, list_prepend(fs.pid, "
+    f"r.chain), fs.parent_pid FROM r JOIN fs ON fs.host_id = r.host_id AND fs.pid = r.next WHERE NOT list_contains(r.chain, fs.pid) AND "
+    f"len(r.chain) < 8) SELECT host_id, pid, arg_max(chain, len(chain)) AS chain FROM r GROUP BY 1, 2",
 )
 
 # H: fleet
-register("h10_sample_by_level", lambda t: fleet.sample_by_level(t, "elevated").select("event_id"), "SELECT event_id FROM t WHERE class_uid NOT IN (1001, 4001) OR ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 1000 < 500")
-register("h13_cap_rows", lambda t: search.newest_per(t, "host_id", 100, [F.asc("event_id")]).select("host_id", "event_id"), "SELECT host_id, event_id FROM t QUALIFY row_number() OVER (PARTITION BY host_id ORDER BY event_id) <= 100")
+register(
+    "h10_sample_by_level",
+    lambda t: fleet.sample_by_level(t, "elevated").select("event_id"),
+    "SELECT event_id FROM t WHERE class_uid NOT IN (1001, 4001) OR ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 1000 < 500",
+)
+register(
+    "h13_cap_rows",
+    lambda t: search.newest_per(t, "host_id", 100, [F.asc("event_id")]).select("host_id", "event_id"),
+    "SELECT host_id, event_id FROM t QUALIFY row_number() OVER (PARTITION BY host_id ORDER BY event_id) <= 100",
+)
 
 # E: response actions
 ACTIONS = [*responses.FLAGS, "reboot"]
