@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sentrylake.llm.common import add_columns, with_fields
+from sentrylake.llm.common import add_columns, small_parts, with_fields
 from sentrylake.llm.words import batch_words, span_hashes
 
 #: Fixed value: how the vocabulary's own pre-tokenizer splits lower-cased text.
@@ -355,8 +355,7 @@ def encode(df: DataFrame, column: str = "text", out: str = "ids", vocabulary: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shipped)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in small_parts(batch, column):
                 flat, ends = encoder.encode_batch(part.column(column))
                 yield add_columns(part, **{out: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, type=pa.int32()))})
 

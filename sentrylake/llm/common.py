@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
@@ -72,6 +74,20 @@ def with_fields(df: DataFrame, **types) -> StructType:
     return schema
 
 
+def small_parts(batch: pa.RecordBatch, column: str, rows: int = 500, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most `rows` rows and, but for single longer texts, `size` bytes of text: what is made of a part takes
+    many times its text."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        held = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, held + size, side="right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def add_columns(batch: pa.RecordBatch, **arrays) -> pa.RecordBatch:
     keep = [n for n in batch.schema.names if n not in arrays]
     return pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + list(arrays.values()), names=keep + list(arrays))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import stored
+from sentrylake.llm.common import small_parts, stored
 from sentrylake.llm.words import batch_words, gram_hashes, mixed
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -91,7 +91,7 @@ def signatures(df: DataFrame, id_column: str, column: str, runs: int, more: int,
     """id, set_key (of the shingle set), paths array<long>, more_paths array<long> (of the runs for split buckets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in small_parts(whole, column)):
             sets = shingle_sets(batch.column(1), width)
             paths, more_paths = ([x.astype(np.int64) for x in sampled(sets, a, b, picks)] for a, b in ((0, runs), (runs, runs + more)))
             lists = (pa.array(x, type=pa.list_(pa.int64())) for x in (paths, more_paths))
@@ -280,7 +280,7 @@ def near_classes(
     texts = df.select(F.col(id_column).alias("id"), F.col(column).alias("text")).join(wanted.hint("merge"), "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in small_parts(whole, "text")):
             made = shingle_sets(batch.column("text"), width)
             same = pa.array([a == b for a, b in zip(set_keys(made), batch.column("set_key").to_pylist())], type=pa.bool_())
             names = ["rep", "members", "in"]

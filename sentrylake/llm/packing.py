@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrylake.llm.bpe import load_model, worker_encoder
-from sentrylake.llm.common import stored
+from sentrylake.llm.common import small_parts, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -41,8 +41,7 @@ def pieces(df: DataFrame, id_column: str = "doc_id", column: str = "text", capac
         encoder = worker_encoder(shipped)
         tail = END_ID.to_bytes(4, "little")
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for part in small_parts(batch, column):
                 flat, ends = encoder.encode_batch(part.column(1))
                 flat = memoryview(flat.astype("<i4").tobytes())
                 row, piece, start, length, sums = [], [], [], [], []

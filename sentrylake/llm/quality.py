@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import add_columns, with_fields
+from sentrylake.llm.common import add_columns, small_parts, with_fields
 from sentrylake.llm.words import batch_words
 
 SAMPLE = 20_000
@@ -140,9 +140,9 @@ def input_table(df: DataFrame, column: str, out: str) -> DataFrame:
     """Inputs as 32-bit floats, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [x.tobytes() for x in inputs(batch.column(column)).astype("<f4")]
-            yield add_columns(batch, **{out: pa.array(made, type=pa.binary())})
+        for part in (p for batch in batches for p in small_parts(batch, column)):
+            made = [x.tobytes() for x in inputs(part.column(column)).astype("<f4")]
+            yield add_columns(part, **{out: pa.array(made, type=pa.binary())})
 
     return df.mapInArrow(run, with_fields(df, **{out: "binary"}))
 
@@ -167,8 +167,8 @@ def score(docs: DataFrame, model: dict, id_column: str = "doc_id", column: str =
     """Add the score, 0 to 1, of every row's whole text; null text scores as the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = inputs(batch.column(column)).astype("<f4").astype(float)
-            yield add_columns(batch, **{out: pa.array(predict(model, x), type=pa.float64())})
+        for part in (p for batch in batches for p in small_parts(batch, column)):
+            x = inputs(part.column(column)).astype("<f4").astype(float)
+            yield add_columns(part, **{out: pa.array(predict(model, x), type=pa.float64())})
 
     return docs.mapInArrow(run, with_fields(docs, **{out: "double"}))

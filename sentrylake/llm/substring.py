@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import discard, stored
+from sentrylake.llm.common import discard, small_parts, stored
 from sentrylake.llm.words import Words, batch_words, gram_hashes, slices
 
 WIDTH, GRAM = 13, 6
@@ -156,7 +156,7 @@ def shared_anchors(keyed: DataFrame, width: int, gram: int) -> DataFrame:
     """(id, anchors) of the anchors that another document has too. keyed: (id long, th long, text)."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in small_parts(whole, "text")):
             words = batch_words(batch.column("text"))
             begins, found = window_anchors(words, width, gram)
             cuts = np.searchsorted(begins, words.first)
@@ -177,7 +177,7 @@ def passages(keyed: DataFrame, by_doc: DataFrame, width: int, gram: int) -> Data
     """(id, th, start, anchor, words): the runs of windows that have one anchor, a shared one; words are parted by blanks."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in small_parts(whole, "text")):
             words = batch_words(batch.column("text"))
             begins, found = window_anchors(words, width, gram)
             # an anchor that is shared is so in every text
@@ -298,7 +298,7 @@ def dedup_substrings(df: DataFrame, id_column: str = "doc_id", column: str = "te
 
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [SuffixAutomaton(**pickle.loads(a)) for a in sent.value]
-            for batch in batches:
+            for batch in (part for whole in batches for part in small_parts(whole, text)):
                 words = batch_words(batch.column(text))
                 starts: set[int] = set()
                 for k, (doc, own) in enumerate(zip(batch.column("id").to_pylist(), batch.column(text).to_pylist())):
@@ -315,7 +315,7 @@ def dedup_substrings(df: DataFrame, id_column: str = "doc_id", column: str = "te
     joined = rows.join(gone.hint("merge"), (F.col("id") == F.col("g_id")) & (F.col("th") == F.col("g_th")), "left").drop("g_id", "g_th")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in small_parts(whole, text)):
             words = batch_words(batch.column(text))
             lists = batch.column("gone").fill_null([])
             at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
