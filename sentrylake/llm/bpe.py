@@ -237,7 +237,7 @@ class TokenAutomaton:
 class Encoder:
     """Maps texts to ids. Pieces between blanks are encoded alone, each kind once a batch, and kept in a bounded table."""
 
-    KEPT = 350_000  # pieces in each of two tables; the older one goes when the newer is full
+    KEPT = 600_000  # pieces in each of two tables; the older one goes when the newer is full
 
     def __init__(self, model: str):
         spec = json.loads(model)
