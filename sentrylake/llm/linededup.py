@@ -67,6 +67,8 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", column: str = "text",
     numbered = base.select("_id", "_text_hash", F.posexplode(chunk_array(text, divisor)).alias("pos", "chunk"))
     chunks = numbered.where("chunk.n_lines > 1").select("_id", "_text_hash", "pos", F.xxhash64("chunk.body").alias("h"))
     repeated = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("owner")).where("n > 1").drop("n")
+    # written, so that the join's sides are plain exchanges, and Spark can split a popular chunk's rows
+    repeated = stored(repeated, "repeated-chunks")
     # few rows from here on: the occurrences of repeated chunks, by document; each step is written, so texts move twice only
     found = chunks.join(repeated, "h").select("_id", "_text_hash", "pos", "h", "owner")
     by_doc = stored(found.groupBy("_id", "_text_hash").agg(F.collect_list(F.struct("pos", "h", "owner")).alias("found")), "repeated")
