@@ -45,7 +45,7 @@ def detect(df: DataFrame, rules: list[Rule], keep: list[str], shared: dict[str,
         part = rules[at : at + chunk]
         seen = df.where(F.col("class_uid").isin(sorted({r.class_uid for r in part})))
         if shared:
-            # a struct of a row-number-free barrier: the optimizer does not copy what an explode has made
+            # exploding one struct keeps the values apart: the optimizer would copy plain ones into every rule that uses them
             seen = seen.withColumn("_s", F.explode(F.array(F.struct(*[c.alias(n) for n, c in shared.items()])))).select("*", "_s.*")
         by_class = F.array().cast("array<int>")
         for class_uid in sorted({r.class_uid for r in part}):
