@@ -67,13 +67,6 @@ class Words:
         out[(out >= 0x09) & (out <= 0x0D)] = 0x20
         return out
 
-    def grams(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the runs of `width` words of one text, and the word that each begins with, in ascending order."""
-        n = len(self.hashes) - width + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        return gram_hashes(self.hashes, width), np.flatnonzero(np.arange(n) + width <= np.repeat(self.first[1:], np.diff(self.first))[:n])
-
 
 def batch_words(column: pa.Array) -> Words:
     """Words of a string column: runs without blank, tab or line ends (\\x20, \\x09-\\x0D), unchanged. Null has none."""
