@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from sentrylake.operators.correlate import micros
 
@@ -57,7 +58,7 @@ def fold_spaced(timed: DataFrame, keys: list[str], inclusive: bool) -> DataFrame
             yield frame.assign(taken=taken)
 
     ordered = timed.repartition(*keys).sortWithinPartitions(*keys, "_us", "id")
-    return ordered.mapInPandas(run, timed.schema.add("taken", "boolean"))
+    return ordered.mapInPandas(run, StructType([*timed.schema.fields, StructField("taken", BooleanType())]))
 
 
 def transition_log(log: DataFrame, start: str, moves: dict[str, list[str]], key: str = "id", order: str = "seq", to: str = "to_status", chunk: int = 200) -> DataFrame:
