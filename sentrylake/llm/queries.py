@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import bpe, chat, fingerprint, jaccard, linededup, packing, quality, substring, topk, toxicity
+from sentrylake.llm import bpe, chat, fingerprint, jaccard, linededup, mixing, packing, prefixtrie, quality, substring, topk, toxicity, vectorcodes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +97,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(*prefixtrie.rebuilt(prefixtrie.conversation_turns(table(spark, sf_dir, "conversations"))))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), [3, 1, 2]).taken()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_chat_formatting": op2_chat_formatting,
@@ -108,6 +120,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_topk": op9_exact_topk,
     "op10_quality": op10_quality,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_source_mix": op13_source_mix,
 }
 
-ORACLE: dict[str, str] = {"op2_chat_formatting": chat.ORACLE, "op5_substring_dedup": substring.ORACLE, "op3_line_dedup": linededup.ORACLE, "op9_exact_topk": topk.ORACLE}
+ORACLE: dict[str, str] = {
+    "op2_chat_formatting": chat.ORACLE,
+    "op3_line_dedup": linededup.ORACLE,
+    "op5_substring_dedup": substring.ORACLE,
+    "op9_exact_topk": topk.ORACLE,
+    "op11_prefix_trie": prefixtrie.ORACLE,
+    "op12_vector_codes": vectorcodes.ORACLE,
+    "op13_source_mix": mixing.ORACLE,
+}
