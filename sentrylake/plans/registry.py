@@ -9,7 +9,7 @@ from sentrylake.functions.predicates import m, selection
 from sentrylake.operators import alerts, enrich, fleet, followups, graph, responses, rules, search
 from sentrylake.operators.correlate import count_over, near
 from sentrylake.plans.catalog import DAY, ORACLE, QUERIES, now, predicate, register  # noqa: F401  the entry reads both tables here
-from sentrylake.plans import detection, fleetwide, intake, lookups  # noqa: F401  they register more
+from sentrylake.plans import detection, fleetwide, intake, lookups, streams  # noqa: F401  they register more
 from sentrylake.sources import decode
 
 

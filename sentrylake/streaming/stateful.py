@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sentrylake.streaming.frames import stream_count_hits
+
 
 def live_tail(
     stream: DataFrame, host: str = "", class_uid: int | None = None, text: str = "", max_age: str = "1 minute", ts: str = "observed_at", now: Column | None = None
@@ -27,31 +29,10 @@ def _arrived(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 def stream_count_over(stream: DataFrame, by: str, seconds: int, n: int, delay: str = "10 minutes", ts: str = "observed_at") -> DataFrame:
-    """(key, event_id, n_hits) of events at which more than `n` of their key fall in [t - w, t].
-
-    State holds the times of one frame a key; silent keys expire once the watermark has passed their frame.
-    """
-    width = seconds * 1_000_000
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = list(state.get[0]) if state.exists else []
-        rows = []
-        for us, event_id in _arrived(frames)[["us", "event_id"]].itertuples(index=False):
-            held.append(us)
-            hits = sum(us - width <= t <= us for t in held)
-            if hits > n:
-                rows.append((key[0], event_id, hits))
-        held = sorted(t for t in held if t >= max(held) - width)
-        state.update((held,))
-        state.setTimeoutTimestamp(max(held[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["key", "event_id", "n_hits"])
-
-    keyed = stream.select(F.coalesce(F.col(by).cast("string"), F.lit("<nil>")).alias("key"), "event_id", F.col(ts).cast("timestamp").alias("at"))
-    timed = keyed.withWatermark("at", delay).withColumn("us", F.unix_micros("at"))
-    return timed.groupBy("key").applyInPandasWithState(run, "key string, event_id long, n_hits long", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    """(key, event_id, n_hits) of events at which more than `n` of their key fall in [t - w, t], as they come; an event is sent
+    again with its new count when a late one falls into its frame."""
+    rows = stream_count_hits(stream, F.lit(True), [by], seconds, ">", n, delay, ts, detail=False)
+    return rows.where("fires").select("key", "event_id", "n_hits")
 
 
 def stream_dedupe(stream: DataFrame, keys: list[str], seconds: int, delay: str = "10 minutes", ts: str = "observed_at") -> DataFrame:
