@@ -116,12 +116,22 @@ def m(name: str | Column, many: bool = False) -> Field:
     return Field(name, many)
 
 
+OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+DOTTED = rf"{OCTET}(\.{OCTET}){{3}}"
+GROUP = "[0-9a-f]{1,4}"
+MAPPED = "0" * 20 + "ffff"
+
+
+def _dotted_number(text: Column) -> Column:
+    parts = F.split(text, r"\.")
+    return reduce(lambda a, k: a * 256 + F.get(parts, k).cast("bigint"), range(1, 4), F.get(parts, 0).cast("bigint"))
+
+
 def ipv4_number(ip: Column) -> Column:
     """An IPv4 address as a number, unmapped from IPv6; null for anything else. A block is a range of it, so project it once."""
-    parts = F.split(F.regexp_replace(ip, "(?i)^::ffff:", ""), r"\.")
-    octet = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-    number = reduce(lambda a, k: a * 256 + F.get(parts, k).cast("bigint"), range(1, 4), F.get(parts, 0).cast("bigint"))
-    return F.when(ip.rlike(rf"(?i)^(::ffff:)?{octet}(\.{octet}){{3}}$"), number)
+    digits = ipv6_hex(ip)
+    mapped = F.when(F.startswith(digits, F.lit(MAPPED)), F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint"))
+    return F.when(ip.rlike(f"^{DOTTED}$"), _dotted_number(ip)).when(ip.contains(":"), mapped)
 
 
 def in_block(number: Column, block: str) -> Column:
@@ -133,15 +143,22 @@ def in_block(number: Column, block: str) -> Column:
 
 
 def ipv6_hex(ip: Column) -> Column:
-    """32 hex digits of an IPv6 address without a zone; null for anything else."""
-    halves = F.split(F.lower(ip), "::", -1)
+    """32 hex digits of an IPv6 address without a zone; null for anything else.
+
+    Eight groups, or fewer with one `::` for a group or more; the last two may be a dotted IPv4 address.
+    """
+    text = F.lower(ip)
+    dotted = F.regexp_extract(text, f":({DOTTED})$", 1)
+    number = F.lpad(F.lower(F.hex(_dotted_number(dotted))), 8, "0")
+    before = F.substring(text, F.lit(1), F.length(text) - F.length(dotted))
+    plain = F.when(dotted != "", F.concat(before, F.substring(number, 1, 4), F.lit(":"), F.substring(number, 5, 4))).otherwise(text)
+    halves = F.split(plain, "::", -1)
     groups = lambda h: F.filter(F.split(h, ":"), lambda x: x != "")
     head, tail = groups(F.get(halves, 0)), F.coalesce(groups(F.get(halves, 1)), F.array().cast("array<string>"))
-    short = F.size(halves) == 2
     fill = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(head) - F.size(tail)))
-    full = F.when(short, F.concat(head, fill, tail)).otherwise(head)
-    usable = (F.size(full) == 8) & F.forall(full, lambda x: x.rlike("^[0-9a-f]{1,4}$")) & (F.size(halves) <= 2)
-    return F.when(ip.contains(":") & usable, F.array_join(F.transform(full, lambda x: F.lpad(x, 4, "0")), ""))
+    short = plain.rlike(f"^({GROUP}(:{GROUP})*)?::({GROUP}(:{GROUP})*)?$") & (F.size(head) + F.size(tail) <= 7)
+    full = F.when(short, F.concat(head, fill, tail)).when(plain.rlike(f"^{GROUP}(:{GROUP}){{7}}$"), head)
+    return F.when(ip.contains(":"), F.array_join(F.transform(full, lambda x: F.lpad(x, 4, "0")), ""))
 
 
 def _in_block(ip: Column, block: str) -> Column:
@@ -150,7 +167,9 @@ def _in_block(ip: Column, block: str) -> Column:
     net = ipaddress.ip_network(block, strict=False)
     if net.version == 4:
         return ipv4_number(ip).between(int(net.network_address), int(net.broadcast_address))
-    return ipv6_hex(ip).between(f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}")
+    # a mapped address is an IPv4 one, and in no IPv6 block
+    digits = ipv6_hex(ip)
+    return digits.between(f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}") & ~F.startswith(digits, F.lit(MAPPED))
 
 
 def ioc_match(df: DataFrame, field: str, feed: DataFrame, out: str = "ioc") -> DataFrame:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 from sentrylake.operators.correlate import micros
+from sentrylake.operators.spacing import fold_spaced
 
 #: The transitions that each state allows.
 ALERT_MOVES = {"new": ["acknowledged", "in_progress", "closed"], "acknowledged": ["in_progress", "closed"], "in_progress": ["closed"], "closed": ["in_progress"]}
@@ -27,7 +24,7 @@ def dedupe_alerts(alerts: DataFrame, rules: DataFrame, ts: str = "observed_at",
     """Mark each alert kept or suppressed: one is suppressed while a kept alert of its rule and host is younger than the
     rule's window; a suppressed one does not extend it. Rules without a window, or unknown, keep all.
 
-    An ordered fold over times and ids only, streamed.
+    An ordered fold over times and ids only; a busy rule and host runs in many tasks.
     """
     joined = alerts.join(rules.select("rule_uid", "window_s"), "rule_uid", "left").withColumn("_us", micros(F.col(ts)))
     free = joined.where("window_s is null").select(id_column, "rule_uid", "host_id", F.lit(True).alias("kept"))
@@ -37,30 +34,6 @@ def dedupe_alerts(alerts: DataFrame, rules: DataFrame, ts: str = "observed_at",
     return marked.unionByName(free)
 
 
-def fold_spaced(timed: DataFrame, keys: list[str], inclusive: bool) -> DataFrame:
-    """Rows (keys, _us, id, w) with `taken`: in order of (_us, id), the first of a key, and each that comes w (`inclusive`)
-    or more than w after the last taken one.
-
-    Whether a row is taken depends on all before it, which no window function expresses. Rows come sorted and the fold
-    keeps one key and one time, so it takes linear time and no key's rows are held together.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = object(), None
-        for frame in frames:
-            taken = []
-            for us, w, *own in zip(frame["_us"].tolist(), frame["w"].tolist(), *[frame[k].tolist() for k in keys]):
-                if own != key:
-                    key, last = own, None
-                fresh = last is None or (us - last >= w if inclusive else us - last > w)
-                last = us if fresh else last
-                taken.append(fresh)
-            yield frame.assign(taken=taken)
-
-    ordered = timed.repartition(*keys).sortWithinPartitions(*keys, "_us", "id")
-    return ordered.mapInPandas(run, StructType([*timed.schema.fields, StructField("taken", BooleanType())]))
-
-
 def transition_log(log: DataFrame, start: str, moves: dict[str, list[str]], key: str = "id", order: str = "seq", to: str = "to_status", chunk: int = 200) -> DataFrame:
     """`log` with `from_status` and `accepted`: what each transition found its key in, and whether that allows it.
 
@@ -204,8 +177,14 @@ def decide_responses(findings: DataFrame, policies: DataFrame, target: str | Non
     whole_host = F.col("action").isin("isolate_host", "unisolate_host")
     aimed = F.when(whole_host, F.concat(F.lit("host:"), F.col("action"))).otherwise(F.coalesce(F.col(target), F.lit("")) if target else F.lit(""))
     decided = joined.withColumn("_target", aimed).withColumn("_may", (F.col("_target") != "") & permits(F.col("action")))
+    # a finding is named by its rule, host, target and event; those alike in all are told apart by number
+    name = ["rule_uid", "host_id", "_target", "event_id"]
+    decided = decided.withColumn("_copy", F.row_number().over(Window.partitionBy(*name).orderBy("observed_at", "action")))
     may = decided.where("_may and action is not null")
-    ran = dedupe_responses(may, ["rule_uid", "host_id", "_target"]).select("event_id", "executed")
+    ran = dedupe_responses(may, name[:3], also=("_copy",)).select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate([*name, "_copy"])], "executed")
+    on = F.lit(True)
+    for i, c in enumerate([*name, "_copy"]):
+        on = on & F.col(c).eqNullSafe(F.col(f"_r{i}"))
     outcome = F.when(F.col("action").isNull(), F.lit(None)).when(~F.col("_may"), "would_have_executed").when(F.col("executed"), "executed").otherwise("deduped")
     kept = [*findings.columns, "action"]
-    return decided.join(ran, "event_id", "left").select(*[F.col(c) for c in dict.fromkeys(kept)], outcome.alias("outcome"))
+    return decided.join(ran, on, "left").select(*[F.col(c) for c in dict.fromkeys(kept)], outcome.alias("outcome"))

@@ -6,9 +6,10 @@ import re
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentrylake.operators.carry import carried, followed
 from sentrylake.operators.correlate import micros
 from sentrylake.sources.store import kept
 
@@ -86,19 +87,24 @@ def merge(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def carry_state(df: DataFrame, fields: list[str], keys: list[str], order: list[str]) -> DataFrame:
-    """Each field's last value that was not empty, so far in its key; created_at keeps the first time."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    carried = {f: F.last(F.when(F.col(f).cast("string") != "", F.col(f)), ignorenulls=True).over(w) for f in fields}
-    return df.withColumns(carried | {"created_at": F.first("observed_at").over(w)})
+    """Each field's last value that was not empty, so far in its key; created_at keeps the first time. `order` begins with a time."""
+    timed = df.withColumn("_us", micros(F.col(order[0])))
+    values = {f"_last_{f}": F.when(F.col(f).cast("string") != "", F.col(f)) for f in fields}
+    seen = carried(timed, keys, ["_us", *order[1:]], values)
+    first = df.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.min("observed_at").alias("created_at"))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    both = seen.drop("created_at").join(first, on)
+    return both.select(*[F.col(f"_last_{c}").alias(c) if c in fields else F.col(c) for c in df.columns if c != "created_at"], "created_at")
 
 
 def intervals(df: DataFrame, keys: list[str], grace_s: int = 30) -> DataFrame:
     """[start, end) in microseconds of each state: until the key's next event, or `grace_s` after an exit."""
-    us = micros(F.col("observed_at"))
-    w = Window.partitionBy(*keys).orderBy(us, "event_id")
-    after = F.lead(us).over(w)
-    end = F.when(F.col("is_exit"), F.least(F.coalesce(after, us + grace_s * 1_000_000), us + grace_s * 1_000_000)).otherwise(after)
-    return df.withColumns({"start_us": us, "end_us": end})
+    timed = df.withColumn("_us", micros(F.col("observed_at")))
+    grace = F.col("_us") + grace_s * 1_000_000
+    end = F.when(F.col("is_exit"), F.least(F.coalesce("_after", grace), grace)).otherwise(F.col("_after"))
+    return followed(timed, keys, "event_id", "_after").withColumns({"start_us": F.col("_us"), "end_us": end}).drop("_us", "_after")
 
 
 def path_filter(path: Column, include: list[str], exclude: list[str]) -> Column:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentrylake.operators.carry import carried
+
 ZERO_HASH = "0" * 64
+STRETCH = 100_000  # records of a chain that one task reads
 
 
 def host_status(last_seen: Column, revoked: Column, now: Column) -> Column:
@@ -24,14 +27,14 @@ def verify_chain(df: DataFrame, key: str = "host_id", since: Column | None = Non
     `walked` counts the records before the break that are not older than `since`; older ones are verified all the same.
     A tail that was cut off leaves no trace.
     """
-    w = Window.partitionBy(key).orderBy("seq")
-    before = F.coalesce(F.lag("record_hash").over(w), F.lit(ZERO_HASH))
+    # a record needs the one before only: long chains are cut by number
+    linked = carried(df.withColumn("_us", F.col("seq")), [key], ["_us", "record_hash"], {"_before": F.struct("seq", "record_hash")}, inclusive=False, bucket_us=STRETCH)
     reason = (
-        F.when(F.col("seq") != F.row_number().over(w) - 1, "sequence gap")
-        .when(F.col("prev_hash") != before, "prev_hash mismatch")
+        F.when(F.col("seq") != F.coalesce(F.col("_before.seq") + 1, F.lit(0)), "sequence gap")
+        .when(F.col("prev_hash") != F.coalesce("_before.record_hash", F.lit(ZERO_HASH)), "prev_hash mismatch")
         .when(F.col("record_hash") != record_hash(F.col("seq"), F.col("ts"), F.col("kind"), F.col("summary"), F.col("prev_hash")), "record_hash mismatch")
     )
-    checked = df.withColumn("reason", reason)
+    checked = linked.withColumn("reason", reason)
     bad = F.col("reason").isNotNull()
     breaks = checked.groupBy(key).agg(
         F.count(F.lit(1)).alias("records"), F.min(F.when(bad, F.col("seq"))).alias("broken_at"), F.coalesce(F.min_by("reason", F.when(bad, F.col("seq"))), F.lit("ok")).alias("verdict")

@@ -34,9 +34,12 @@ def first_seen(procs: DataFrame) -> DataFrame:
 
 
 def children(procs: DataFrame, cap: int = 64) -> DataFrame:
-    """Children of each (host, parent) by first appearance, at most `cap` a parent."""
+    """Children of each (host, parent) by first appearance under that parent, at most `cap` a parent; a reused pid is a child of each
+    of its parents. `lineage.children_at` looks at a window of time."""
     w = Window.partitionBy("host_id", "parent_pid").orderBy("observed_at", "pid")
-    return first_seen(procs).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
+    first = F.struct("observed_at", "event_id")
+    below = procs.groupBy("host_id", "parent_pid", "pid").agg(F.min_by("exec_path", first).alias("exec_path"), F.min("observed_at").alias("observed_at"))
+    return below.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
 
 
 def ancestors(procs: DataFrame, depth: int = 8) -> DataFrame:
@@ -65,13 +68,13 @@ def ancestors(procs: DataFrame, depth: int = 8) -> DataFrame:
 
 def _levels(procs: DataFrame, roots: DataFrame, depth: int, fanout: int) -> tuple[DataFrame, DataFrame]:
     """All nodes of the trees, and the processes with more children than `fanout`; both worked out once."""
-    known = kept(first_seen(procs).select("host_id", "pid", "parent_pid", "observed_at"), "processes")
+    known = kept(procs.groupBy("host_id", "pid", "parent_pid").agg(F.min("observed_at").alias("observed_at")), "processes")
     every = Window.partitionBy("host_id", "parent_pid")
     ranked = known.withColumn("_rank", F.row_number().over(every.orderBy("observed_at", "pid")))
     taken = ranked.where(F.col("_rank") <= fanout + 1)
     below = kept(taken.select("host_id", F.col("parent_pid").alias("pid"), F.col("pid").alias("_pid"), F.lpad(F.col("_rank").cast("string"), 4, "0").alias("_r"), (F.col("_rank") > fanout).alias("_over")), "children")
     more = below.where("_over").select("host_id", "pid", F.lit(True).alias("_more"))
-    level = roots.distinct().join(known.select("host_id", F.col("pid").alias("root")), ["host_id", "root"]).select(
+    level = roots.distinct().join(known.select("host_id", F.col("pid").alias("root")).distinct(), ["host_id", "root"]).select(
         "host_id", "root", F.col("root").alias("pid"), F.lit(None).cast("bigint").alias("parent"), F.lit(0).alias("depth"), F.lit("").alias("_key"), F.array("root").alias("_path")
     )
     out = level

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.operators.alerts import fold_spaced
 from sentrylake.operators.correlate import micros
+from sentrylake.operators.spacing import fold_spaced
 
 #: The policy flag of each action.
 FLAGS = {
@@ -37,13 +37,13 @@ def dispatch_status(requests: DataFrame, policies: DataFrame) -> DataFrame:
     return joined.select(*[joined[c] for c in requests.columns], status.alias("status"), detail.alias("detail"))
 
 
-def dedupe_responses(df: DataFrame, keys: list[str], seconds: float = 2, ts: str = "observed_at", id_column: str = "event_id") -> DataFrame:
+def dedupe_responses(df: DataFrame, keys: list[str], seconds: float = 2, ts: str = "observed_at", id_column: str = "event_id", also: tuple[str, ...] = ()) -> DataFrame:
     """Mark each response executed, or not if the last executed one of its rule and target is at most `seconds` older.
 
-    An ordered fold, streamed, so a busy rule does not become one list.
+    An ordered fold; a busy target runs in many tasks. Rows of one time go by id and then by the columns of `also`, which are kept.
     """
-    timed = df.select(*keys, F.col(id_column).alias("id"), micros(F.col(ts)).alias("_us"), F.lit(int(seconds * 1_000_000)).alias("w"))
-    return fold_spaced(timed, keys, inclusive=False).select(*keys, F.col("id").alias(id_column), F.col("taken").alias("executed"))
+    timed = df.select(*keys, F.col(id_column).alias("id"), *also, micros(F.col(ts)).alias("_us"), F.lit(int(seconds * 1_000_000)).alias("w"))
+    return fold_spaced(timed, keys, inclusive=False, ties=("id", *also)).select(*keys, F.col("id").alias(id_column), *also, F.col("taken").alias("executed"))
 
 
 def list_policies(hosts: DataFrame, policies: DataFrame) -> DataFrame:

@@ -159,6 +159,21 @@ SELECT event_id, action, CASE WHEN action IS NULL THEN NULL WHEN NOT may THEN 'w
 )
 
 
+def _two_rules(t: DataFrame) -> DataFrame:
+    """Every event has findings of two rules, one of them twice, all at one time of the day."""
+    found = t.where("class_uid = 2004").withColumn("observed_at", F.date_trunc("day", "observed_at"))
+    rule = F.explode(F.array(F.lit("rule-a"), F.lit("rule-b"), F.lit("rule-b")))
+    return alerts.decide_responses(found.withColumn("rule_uid", rule), policies(t), "cmdline", F.lit("collect_artifacts")).select("event_id", "rule_uid", "outcome")
+
+
+register(
+    "e9_two_rules", _two_rules,
+    """WITH a AS (SELECT event_id, host_id, date_trunc('day', observed_at) AS d, coalesce(cmdline, '') AS target, unnest(['rule-a', 'rule-b', 'rule-b']) AS rule_uid, unnest([1, 1, 2]) AS copy, substr(host_id, 6, 2)::INT AS n FROM t WHERE class_uid = 2004),
+c AS (SELECT *, n < 18 AND n % 6 > 0 AND target <> '' AS may FROM a)
+SELECT event_id, rule_uid, CASE WHEN NOT may THEN 'would_have_executed' WHEN row_number() OVER (PARTITION BY rule_uid, host_id, target, d, may ORDER BY event_id, copy) = 1 THEN 'executed' ELSE 'deduped' END AS outcome FROM c""",
+)
+
+
 def _permitted(t: DataFrame) -> DataFrame:
     each = F.explode(F.array(*map(F.lit, ACTIONS))).alias("action")
     asked = t.select("host_id").distinct().select("host_id", each).join(policies(t), "host_id", "left")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from sentrylake.functions.predicates import m, selection
 from sentrylake.operators import alerts, enrich, fleet, followups, graph, responses, rules, search
 from sentrylake.operators.correlate import count_over, near
-from sentrylake.plans.catalog import DAY, ORACLE, QUERIES, now, predicate, register  # noqa: F401  the entry reads both tables here
-from sentrylake.plans import detection, fleetwide, intake, lookups, streams  # noqa: F401  they register more
+from sentrylake.plans.catalog import DAY, ORACLE, QUERIES, now, pick, predicate, register  # noqa: F401  the entry reads both tables here
+from sentrylake.plans import detection, fleetwide, intake, lookups, processes, streams  # noqa: F401  they register more
 from sentrylake.sources import decode
 
 
@@ -26,6 +26,17 @@ predicate(
     lambda: m(F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("event_id") % 16)), F.lit("::1"))).cidr("2001:db8:4::/46"),
     "event_id % 16 BETWEEN 4 AND 7",
 )
+#: Addresses in many forms, and whether each is one in 2001:db8::/32.
+FORMS = {
+    "2001:db8::1": True, "2001:DB8::A:0": True, "2001:db8:1:2:3:4:5:6": True, "2001:db8::1.2.3.4": True, "2001:db8:0:0:0:0:255.2.0.4": True, "2001:db8::": True, "2001:db8:1:2:3:4:5::": True,
+    "1:2:3:4::5:6:7:8": False, "2001:db8:1::2:3:4:5:6": False, "2001:db8:::2": False, ":2001:db8:3:4:5:6:7:8": False, "2001:db8:3:4:5:6:7:8:": False, "2001:db8:3:4:5:6:7": False, "2001:db8::1::2": False,
+    "2001:db8::1.2.3": False, "2001:db8::1.2.3.256": False, "2001:db8::01.2.3.4": False, "2001:db8:1.2.3.4::": False, "2001:db8::12345": False, "2001:db8::g": False, "2001:db8::1%eth0": False, "2001:db9::": False,
+    "::ffff:10.0.0.1": False, "::1": False, "::": False, "10.0.0.1": False, "": False, "2001:db8:1:2:3:4:5:6:7": False,
+}
+predicate("c8_forms", lambda: m(pick(list(FORMS), "event_id")).cidr("2001:db8::/32"), f"{list(FORMS.values())}[event_id % {len(FORMS)} + 1]")
+#: IPv4 addresses, mapped in any spelling, in 10.0.0.0/8; a mapped one is in no IPv6 block.
+MAPPED4 = {"10.0.0.1": True, "::ffff:10.9.8.7": True, "::FFFF:0a01:0203": True, "0:0:0:0:0:ffff:10.0.0.2": True, "::ffff:11.0.0.1": False, "::10.0.0.1": False, "10.0.0.01": False, "10.0.0": False, "::ffff:10.0.0.1%1": False}
+predicate("c7_mapped", lambda: m(pick(list(MAPPED4), "event_id")).cidr("10.0.0.0/8") & ~m(pick(list(MAPPED4), "event_id")).cidr("::/0", "1::/16"), f"{list(MAPPED4.values())}[event_id % {len(MAPPED4)} + 1]")
 predicate("c9_numeric", lambda: m("src_port").compare("gte", 5000), "src_port >= 5000")
 predicate("c10_value_list", lambda: m("dst_port").equals(22, 9050), "dst_port IN (22, 9050)")
 predicate("c11_all_values", lambda: m("cmdline").contains("base64", "echo", all=True), "contains(cmdline, 'base64') AND contains(cmdline, 'echo')")

@@ -28,10 +28,10 @@ def load_ioc_feed(entries: Column, kind: str) -> Column:
     forms = {"sha256": "^[0-9a-f]{64}$", "ipv4": rf"^{octet}(\.{octet}){{3}}$", "domain": r"^([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}$"}
     text = F.lower(F.trim(entries))
     if kind == "ipv6":
-        from sentrylake.functions.predicates import ipv6_hex
+        from sentrylake.functions.predicates import MAPPED, ipv6_hex
 
         digits = ipv6_hex(text)
-        return F.when(digits.isNotNull() & ~F.startswith(digits, F.lit("0" * 20 + "ffff")), text)
+        return F.when(digits.isNotNull() & ~F.startswith(digits, F.lit(MAPPED)), text)
     if kind not in forms:
         raise ValueError(f"unknown kind of feed {kind}")
     return F.when(text.rlike(forms[kind]), text)

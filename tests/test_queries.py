@@ -88,17 +88,18 @@ def test_spaced_fold_by_plain_python(spark):
     """Over many batches and keys, with ties."""
     import random
 
-    from sentrylake.operators.alerts import fold_spaced
+    from sentrylake.operators.spacing import fold_spaced
 
     rng = random.Random(3)
-    rows = [(rng.choice("abc"), rng.randint(0, 4000), k, 10) for k in range(3000)]
+    rows = [(rng.choice("aaabcccc"), rng.randint(-400, 4000), k, 10) for k in range(3000)] + [(None, rng.choice([1, 2, 900]) * k, 4000 + k, 7) for k in range(50)]
     df = spark.createDataFrame(rows, "k string, _us long, id long, w long")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     try:
-        for inclusive in (True, False):
-            got = {r.id: r.taken for r in fold_spaced(df, ["k"], inclusive).collect()}
+        for inclusive, hot in ((True, 10_000), (False, 10_000), (True, 900), (False, 900), (True, 1)):
+            got = {r.id: r.taken for r in fold_spaced(df, ["k"], inclusive, hot=hot).collect()}
+            assert len(got) == len(rows)
             last: dict = {}
-            for k, us, i, w in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+            for k, us, i, w in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
                 taken = k not in last or (us - last[k] >= w if inclusive else us - last[k] > w)
                 last[k] = us if taken else last[k]
                 assert got[i] == taken
