@@ -1,11 +1,11 @@
 """Best-fit packing of token sequences by swap-based local search.
 
-Texts become pieces of at most `capacity` tokens. Pieces are dealt by hash into groups of a few thousand, each packed
-in one task: best fit gives a start, then the local search takes the least filled bin as donor and moves documents out
+Texts become pieces of at most `capacity` tokens. Pieces are dealt by hash and place into groups of a few thousand, each
+packed in one task: best fit gives a start, then the local search takes the least filled bin as donor and moves documents out
 of it, swaps one for one, two for one and one for two, keeping an exchange only if the sum of squared fills grows, until
 no exchange helps or the bins are as few as their tokens allow. What the groups leave in underfull bins is dealt into
-groups of that size again and packed once more. A group never needs all pieces of a source or of a class of copies, so
-no key can grow a task.
+groups of that size again and packed once more. A group never needs all pieces of a source, of a class of copies or of
+one row that is repeated, so no key can grow a task.
 """
 
 from __future__ import annotations
@@ -225,7 +225,8 @@ def pack(df: DataFrame, key_columns: list[str], capacity: int = CAPACITY, group:
     def packed(rows: DataFrame, level: int) -> DataFrame:
         """Deal rows into groups of about `group` and pack each."""
         groups = max(1, -(-rows.count() // group))
-        dealt = rows.withColumn("group", F.pmod(F.xxhash64(*order), F.lit(groups)))
+        # equal rows have one hash: their place in the written table deals them apart
+        dealt = rows.withColumn("group", F.pmod(F.xxhash64(*order, F.monotonically_increasing_id()), F.lit(groups)))
 
         def run(frame: pd.DataFrame) -> pd.DataFrame:
             return pack_group(frame.sort_values(order, ignore_index=True), capacity)

@@ -445,7 +445,8 @@ def test_copies_are_swapped_texts():
 
 
 def test_topk_lengths_and_large_components(spark):
-    """A query meets candidates of its own length; components near 2**30 give exact scores; larger ones take no part."""
+    """A query meets candidates of its own length; components near 2**30 give exact scores, and so do larger ones;
+    scores beyond a long are null, in their place."""
     rng = np.random.default_rng(5)
     v = {i: rng.integers(-(2**28), 2**28, 4 if i % 3 else 2).tolist() for i in range(90)}
     v |= {90: [2**40] * 4, 91: [], 92: None, 93: [1, None, 2, 3], 0: v[1], 3: v[2]}
@@ -453,11 +454,10 @@ def test_topk_lengths_and_large_components(spark):
     got = {}
     for r in topk.top_k(df.where("vec_id % 10 = 0"), df, "vec_id", "v", 5).orderBy("rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    usable = {i: x for i, x in v.items() if x and None not in x and i < 90}
-    for q in range(0, 90, 10):
+    usable = {i: x for i, x in v.items() if x and None not in x}
+    for q in range(0, 100, 10):
         scores = [(-sum(a * b for a, b in zip(usable[q], x)), i) for i, x in usable.items() if i != q and len(x) == len(usable[q])]
-        assert got[q] == [(i, -s) for s, i in sorted(scores)[:5]], q
-    assert 90 not in got
+        assert got[q] == [(i, -s if abs(s) < 2**63 else None) for s, i in sorted(scores)[:5]], q
 
 
 def test_topk_over_blocks(spark, monkeypatch):
@@ -486,17 +486,25 @@ def test_topk_bounds_prune():
 
 
 def test_topk_repeated_ids(spark):
-    """One id has six rows, the best of them in front; ids with other vectors count by the largest score."""
+    """One id has six rows, the best of them in front: each counts; each row of a repeated query is a query."""
     rng = np.random.default_rng(6)
     v = rng.integers(-50, 50, (60, 8))
     rows = [(i, v[i].tolist()) for i in range(60)] + [(7, (v[0] * 3).tolist())] * 6 + [(9, (v[0] * 2).tolist()), (9, (-v[0]).tolist()), (0, v[0].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, v array<long>").coalesce(1)
-    got = [(r.vec_id, r.score) for r in topk.top_k(df.where("vec_id = 0"), df, "vec_id", "v", 5).orderBy("rank").collect()]
-    best = {}
-    for i, x in rows:
-        if i:
-            best[i] = max(best.get(i, -(10**9)), int(v[0] @ np.array(x)))
-    assert got == sorted(best.items(), key=lambda b: (-b[1], b[0]))[:5]
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk.top_k(df.where("vec_id = 0"), df, "vec_id", "v", 5).collect())
+    best = sorted((-int(v[0] @ np.array(x)), i) for i, x in rows if i)[:5]
+    assert got == sorted((k + 1, i, -s) for k, (s, i) in enumerate(best) for _ in range(2))
+    few = spark.createDataFrame([(50, [1.0]), (1, [90.0]), (1, [80.0])], "vec_id long, v array<double>")
+    assert [(r["rank"], r.vec_id, r.score) for r in topk.top_k(few.where("vec_id = 50"), few, "vec_id", "v", 5).orderBy("rank").collect()] == [(1, 1, 90), (2, 1, 80)]
+
+
+def test_packing_deals_equal_rows_apart(spark):
+    """One row a hundred thousand times is packed in many groups."""
+    df = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(1000).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32"))
+    got = packing.pack(df, ["doc_id", "piece", "ids_crc32"])
+    groups = got.groupBy(F.col("sequence_id").bitwiseAND(F.lit(-(1 << 20))).alias("g")).count().collect()
+    assert len(groups) >= 15 and max(r["count"] for r in groups) < 10_000 and sum(r["count"] for r in groups) == 100_000
+    assert 25_000 <= got.select("sequence_id").distinct().count() <= 25_020
 
 
 def test_chat_links_passages(spark):
