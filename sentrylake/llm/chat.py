@@ -133,11 +133,15 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", column
 
     Null text counts as empty and stays null. Rows that share conversation and turn are one message for linking, and
     all stay. Rows without conversation or turn link to nothing and have no reply_to or reply_order. Columns named like
-    the five added give way; others are kept. reply_order of rows alike in all but other columns follows their text.
+    the five added give way; others are kept, whatever their names. An empty table gives none. reply_order of rows alike in all but other columns follows their text.
     """
     added = ["n_quotes", "quote_level", "n_linked", "reply_to", "reply_order"]
     kept = [c for c in df.columns if c not in added]
-    lines = df.select(F.struct(*kept).alias("_row"), F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), parsed_lines(F.col(column)).alias("_lines"))
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    # columns go by number inside, so that no name clashes
+    own_name = {c: f"c{k}" for k, c in enumerate(kept)}
+    row = F.struct(*[quoted(c).alias(n) for c, n in own_name.items()])
+    lines = df.select(row.alias("_row"), quoted(conv).alias("_conv"), quoted(turn).alias("_turn"), parsed_lines(quoted(column)).alias("_lines"))
     known = F.col("_conv").isNotNull() & F.col("_turn").isNotNull()
     linked = sources(lines.where(known).select("_conv", "_turn", "_lines"))
     answers = linked.groupBy("_conv", "_turn").agg(
@@ -169,7 +173,8 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", column
     out = ordered(place, ["_at", "_answer", "_turn", "_clean"], "_conv", "reply_order").drop("_at", "_answer")
     rest = joined.where(~known).withColumn("reply_order", F.lit(None).cast("long"))
     both = out.withColumn("reply_order", F.col("reply_order").cast("long")).unionByName(rest)
-    columns = [F.when(F.col("_row")[column].isNotNull(), F.col("_clean")).alias(c) if c == column else F.col("_row")[c].alias(c) for c in kept]
+    held = lambda c: F.col("_row")[own_name[c]]
+    columns = [F.when(held(c).isNotNull(), F.col("_clean")).alias(c) if c == column else held(c).alias(c) for c in kept]
     return both.select(*columns, "n_quotes", "quote_level", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to", "reply_order")
 
 
