@@ -136,6 +136,43 @@ def test_line_dedup(spark, odd, none):
     assert linededup.dedup_lines(odd).count() == len(ROWS) and linededup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_by_plain_python(spark):
+    """Chunks, first ones and what is left, over few different lines; extra columns with dots stay."""
+    import hashlib
+
+    rng = random.Random(21)
+    texts = ["\n".join(rng.choice(["", "a", "b", "cé", "d d", "e", "f"]) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    rows = [(2 * k, t, k, "x") for k, t in enumerate(texts)]
+    bits = lambda line: int(hashlib.md5(line.encode()).hexdigest()[:7], 16) & 255
+    first, want = {}, {}
+    for i, t, _, _ in rows:
+        lines, lost, n = t.split("\n"), set(), 0
+        for k, pair in enumerate(zip(lines, lines[1:])):
+            if bits(pair[0]) & ~bits(pair[1]):
+                if first.setdefault(pair, (i, k)) != (i, k):
+                    lost |= {k, k + 1}
+                    n += 1
+        want[i] = ("\n".join(x for k, x in enumerate(lines) if k not in lost), len(lines), len(lost), n)
+    df = spark.createDataFrame(rows, "doc_id long, text string, `c.text` int, n_lines string")
+    got = {r.doc_id: r for r in linededup.dedup_lines(df).collect()}
+    assert {i: (r.text, r.n_lines, r.n_removed_lines, r.n_removed_chunks) for i, r in got.items()} == want
+    assert all(r["c.text"] == i // 2 for i, r in got.items())
+
+
+def test_short_repeats_lose_their_lines(spark):
+    """Runs of two to five lines between other lines: of those of three and more nearly all lose lines, of two nine in ten."""
+    rng = random.Random(22)
+    line = lambda: " ".join(rng.choice("abcdefghij") * rng.randint(1, 5) for _ in range(6))
+    runs = [[line() for _ in range(2 + k % 4)] for k in range(200)]
+    rows = [(k, "\n".join([line(), *run, line(), line()])) for k, run in enumerate(runs)] + [(1000 + k, "\n".join([line(), line(), *run, line()])) for k, run in enumerate(runs)]
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = {n: [got[1000 + k].n_removed_lines for k, run in enumerate(runs) if len(run) == n] for n in (2, 3, 4, 5)}
+    assert all(r.n_removed_lines == 0 for i, r in got.items() if i < 1000)
+    assert sum(x > 0 for x in lost[2]) >= 0.82 * 50 and sum(lost[2]) >= 0.82 * 100
+    for n in (3, 4, 5):
+        assert sum(x > 0 for x in lost[n]) >= 0.96 * 50 and sum(lost[n]) >= 0.85 * 50 * n, n
+
+
 def test_fingerprint(spark, odd, none):
     a, b = " ".join(map(str, range(900))), " ".join(map(str, range(300, 1200)))
     df = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprint.sketch(F.col("a")).alias("a"), fingerprint.sketch(F.col("b")).alias("b"))
@@ -310,6 +347,8 @@ def test_chat(spark):
 def test_chat_on_odd_tables(spark):
     """Empty tables, repeated rows, long texts, nulls in every column, columns of the added names."""
     kinds = "conv_id long, turn long, role string, text string, reply_to string, _at string"
+    dotted = spark.createDataFrame([(1, 0, "u", "hi", "x")], "conv_id long, turn long, role string, text string, `a.text` string")
+    assert [(r.text, r["a.text"]) for r in chat.link_quotes(dotted).collect()] == [("hi", "x")]
     long = "\n".join(f"> line {i} of a long quote" for i in range(3000))
     said = "\n".join(f"line {i} of a long quote" for i in range(3000))
     rows = [(1, 0, "u", said, "x", "y"), (1, 1, "a", long + "\nyes", None, None), (1, 1, "a", long + "\nyes", None, None), (None, None, None, None, None, None), (2, None, "u", "> a", "x", "y"), (3, 0, None, None, "x", "y")]
