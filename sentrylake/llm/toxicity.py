@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import add_columns, with_fields
+from sentrylake.llm.common import add_columns, small_parts, with_fields
 
 SAMPLE = 8_000
 THRESHOLD = 0.5
@@ -204,7 +204,7 @@ def fit(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         swaps = Swaps(identity_terms, features)
-        for batch in batches:
+        for batch in (p for whole in batches for p in small_parts(whole, "text")):
             sets = [np.array(feature_set(t.as_py(), features), dtype="<i4").tobytes() for t in batch.column("text")]
             copies = [swaps.of(t.as_py(), features) for t in batch.column("text")]
             arrays = [batch.column("y").cast(pa.int32()), pa.array(sets, type=pa.binary()), pa.array(copies, type=pa.list_(pa.binary()))]
@@ -218,12 +218,16 @@ def fit(
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float], column: str = "text", out: str = "score") -> DataFrame:
-    """Add the score, 0 to 1, of every row's whole text; null text scores as the empty text."""
+    """Add the score, 0 to 1, of every row's whole text; null text scores as the empty text.
+
+    Repeated rows score alike, an empty table gives an empty one, texts of any length are read whole. Other columns are kept,
+    whatever their names, but for one named `out`, which gives way.
+    """
     weights, bias = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(weights.keys())
-        for batch in batches:
+        for batch in (p for whole in batches for p in small_parts(whole, column)):
             logits = [bias + sum(weights[k] for k in feature_set(t.as_py(), features)) for t in batch.column(column)]
             made = 1 / (1 + np.exp(-np.clip(np.array(logits, dtype=float), -30, 30)))
             yield add_columns(batch, **{out: pa.array(made, type=pa.float64())})
