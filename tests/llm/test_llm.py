@@ -555,3 +555,38 @@ def test_chat_links_passages(spark):
     ]
     got = {r.turn: (r.reply_to, r.n_linked) for r in chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
     assert {k: got[k] for k in range(4, 10)} == {4: (1, 1), 5: (1, 1), 6: (2, 1), 7: (2, 1), 8: (7, 0), 9: (0, 1)}
+
+
+def test_non_negative_risk_by_plain_python():
+    """The risk by its formula, and its gradient by differences, where the negatives' part is above zero and where it is below."""
+    import math
+
+    rng = np.random.default_rng(3)
+    soft = lambda z: math.log(1 + math.exp(z))
+    for prior, shift in ((0.3, 0.0), (0.9, 4.0)):
+        zp, zu = rng.normal(2, 1, 7), rng.normal(-shift, 1, 9)
+        positive = prior * sum(soft(-z) for z in zp) / 7
+        negative = sum(soft(z) for z in zu) / 9 - prior * sum(soft(z) for z in zp) / 7
+        assert (negative < 0) == (shift > 0)
+        value, dp, du = quality.non_negative_risk(zp, zu, prior)
+        assert value == pytest.approx(positive + max(0, negative))
+        # below zero the step climbs the negatives' part alone
+        aim = lambda a, b: quality.non_negative_risk(a, b, prior)[0] if shift == 0 else -(np.logaddexp(0, b).mean() - prior * np.logaddexp(0, a).mean())
+        for z, d, both in ((zp, dp, lambda x: aim(x, zu)), (zu, du, lambda x: aim(zp, x))):
+            for k in range(len(z)):
+                step = np.eye(len(z))[k] * 1e-5
+                assert d[k] == pytest.approx((both(z + step) - both(z - step)) / 2e-5, abs=1e-6)
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.6, 0.85])
+def test_prior_from_positives_and_unlabelled(prior):
+    """Two clouds that overlap little: the estimate is near the share that the unlabelled rows were drawn with."""
+    rng = np.random.default_rng(int(prior * 100))
+    n = 1500
+    good = rng.random(n) < prior
+    unlabelled = rng.normal(0, 1, (n, 5)) + np.where(good, 1.5, -1.5)[:, None]
+    positive = rng.normal(0, 1, (700, 5)) + 1.5
+    assert abs(quality.estimate_prior(positive, unlabelled) - good.mean()) < 0.05
+    model = quality.train(positive, unlabelled)
+    assert ((quality.predict(model, unlabelled) >= 0.5) == good).mean() > 0.97
+    assert quality.estimate_prior(positive[:5], unlabelled) == 0.5
