@@ -52,14 +52,29 @@ def count_over(
     fired = counted.where((F.col("_own") == F.col("_bucket")) & OPS[op](F.col("n_hits"), n))
     if not detail:
         return fired.drop("_us", "_own", "_bucket")
-    # an event's frame lies in its own bucket and the one before: a frame's events are those that were carried to the bucket
-    held = spread.select(*[F.col(k).alias(f"_{k}") for k in names], F.col("_bucket").alias("_b"), F.col("_us").alias("_at"), F.col(id_column).alias("_id"))
+    lists = _frame_ids(fired, spread, names, width, {"event_ids": F.lit(True)}, id_column, ties == "arrival")
+    return _with_lists(fired, lists, names, id_column).drop("_us", "_own", "_bucket")
+
+
+def _frame_ids(fired: DataFrame, spread: DataFrame, names: list[str], width: int, lists: dict[str, Column], id_column: str, arrival: bool = False) -> DataFrame:
+    """Sorted ids of each firing event's frame, one list for each of `lists`, of the hits that satisfy its flag.
+
+    An event's frame lies in its own bucket and the one before: its events are those that were carried to the bucket. Events are
+    told by key, time and id, as an id may be repeated.
+    """
+    own = fired.select(*names, "_bucket", "_us", F.col(id_column).alias("_own_id")).distinct()
+    flags = {f"_f{k}": flag for k, flag in enumerate(lists.values())}
+    held = spread.withColumns(flags).select(*[F.col(k).alias(f"_{k}") for k in names], F.col("_bucket").alias("_b"), F.col("_us").alias("_at"), F.col(id_column).alias("_id"), *flags)
     same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in names], F.col("_bucket") == F.col("_b"))
     inside = (F.col("_at") >= F.col("_us") - width) & (F.col("_at") <= F.col("_us"))
-    if ties == "arrival":
-        inside = inside & ((F.col("_at") < F.col("_us")) | (F.col("_id") <= F.col(id_column)))
-    lists = fired.join(held, same & inside).groupBy(F.col(id_column).alias("_own_id")).agg(F.sort_array(F.collect_list("_id")).alias("event_ids"))
-    return fired.join(lists, F.col(id_column) == F.col("_own_id")).drop("_us", "_own", "_bucket", "_own_id")
+    if arrival:
+        inside = inside & ((F.col("_at") < F.col("_us")) | (F.col("_id") <= F.col("_own_id")))
+    ids = [F.sort_array(F.collect_list(F.when(F.col(f), F.col("_id")))).alias(name) for name, f in zip(lists, flags)]
+    return own.join(held, same & inside).groupBy(*names, "_bucket", "_us", "_own_id").agg(*ids)
+
+
+def _with_lists(fired: DataFrame, lists: DataFrame, names: list[str], id_column: str) -> DataFrame:
+    return fired.join(lists.withColumnRenamed("_own_id", id_column), [*names, "_bucket", "_us", id_column])
 
 
 def count_over_warm(live: DataFrame, history: DataFrame, where: Column, by: list[str], seconds: int, op: str = ">", n: int = 1, ts: str = "observed_at", max_lookback_s: int = 3600) -> DataFrame:
@@ -76,16 +91,23 @@ def count_over_warm(live: DataFrame, history: DataFrame, where: Column, by: list
     return count_over(both, where, by, seconds, op, n, ts, detail=False).where("_live").drop("_live")
 
 
-def near(df: DataFrame, left: Column, right: Column, seconds: int, by: list[str] | None = None, ts: str = "observed_at", id_column: str = "event_id") -> DataFrame:
-    """Events of either side at which both sides have a hit in [t - w, t]; without `by` over all hosts."""
-    names = [f"k{i}" for i in range(len(by or []))]
+def near(
+    df: DataFrame, left: Column, right: Column, seconds: int, by: list[str] | None = None, ts: str = "observed_at", id_column: str = "event_id", detail: bool = True
+) -> DataFrame:
+    """Events of either side at which both sides have a hit in [t - w, t]; without `by` over all hosts.
+
+    Adds n_left, n_right and, with detail, window_start and event_ids, the left ids and then the right ones; ids are listed for
+    events that fire only.
+    """
+    names, width = [f"k{i}" for i in range(len(by or []))], seconds * 1_000_000
     keys = [F.coalesce(F.col(c).cast("string"), F.lit(NIL)).alias(f"k{i}") for i, c in enumerate(by or [])]
     hits = df.withColumns({"_l": left, "_r": right}).where("_l or _r").select("*", *keys, micros(F.col(ts)).alias("_us"))
-    frame = Window.partitionBy(*names, "_bucket").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
-    seen = _carried(hits, seconds).withColumns({
-        "n_left": F.count_if("_l").over(frame), "n_right": F.count_if("_r").over(frame), "window_start": F.min(ts).over(frame),
-        "left_ids": F.sort_array(F.collect_list(F.when(F.col("_l"), F.col(id_column))).over(frame)),
-        "right_ids": F.sort_array(F.collect_list(F.when(F.col("_r"), F.col(id_column))).over(frame)),
-    })
-    fired = seen.where("_own = _bucket and n_left > 0 and n_right > 0").withColumn("event_ids", F.concat("left_ids", "right_ids"))
-    return fired.drop("_us", "_own", "_bucket", "_l", "_r", "left_ids", "right_ids")
+    spread = _carried(hits, seconds)
+    frame = Window.partitionBy(*names, "_bucket").orderBy("_us").rangeBetween(-width, 0)
+    counts = {"n_left": F.count_if("_l").over(frame), "n_right": F.count_if("_r").over(frame)} | ({"window_start": F.min(ts).over(frame)} if detail else {})
+    fired = spread.withColumns(counts).where("_own = _bucket and n_left > 0 and n_right > 0")
+    if not detail:
+        return fired.drop("_us", "_own", "_bucket", "_l", "_r")
+    lists = _frame_ids(fired, spread, names, width, {"_left_ids": F.col("_l"), "_right_ids": F.col("_r")}, id_column)
+    out = _with_lists(fired, lists, names, id_column).withColumn("event_ids", F.concat("_left_ids", "_right_ids"))
+    return out.drop("_us", "_own", "_bucket", "_l", "_r", "_left_ids", "_right_ids")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -144,6 +145,28 @@ register(
 )
 
 
+def _partitions(t: DataFrame) -> DataFrame:
+    """Events of 20 days and findings, as hunt results, of 7, each in a table whose expired days were dropped; the events read by their
+    days once more, cut at 10."""
+    spark, at = t.sparkSession, datetime(2024, 1, 31)
+    tables = {}
+    for label, rows, days in (("events", t, 20), ("hunts", t.where("class_uid = 2004"), 7)):
+        path = store.shared_path(spark, label)
+        decode.write_events(rows, path)
+        store.drop_expired(spark, path, at, days)
+        tables[label] = store.read_events(spark, path, rows.schema)
+    tables["cut"] = store.apply_retention(tables["events"], now(), 10)
+    each = [d.select("event_id", F.lit(label).alias("kept_in"), F.col("event_date").cast("string").alias("event_date")) for label, d in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
+register(
+    "a14_partitions", _partitions,
+    "SELECT event_id, l AS kept_in, CAST(CAST(observed_at AS DATE) AS VARCHAR) AS event_date FROM t, (VALUES ('events', 20), ('hunts', 7), ('cut', 10)) v(l, d) "
+    "WHERE (l <> 'hunts' OR class_uid = 2004) AND date_trunc('day', observed_at) + to_days(d) >= TIMESTAMP '2024-01-31'",
+)
+
+
 def _feeds(t: DataFrame) -> DataFrame:
     """Entries of four kinds, one in four malformed, each twice."""
     bad, n = F.col("event_id") % 4 == 0, (F.col("event_id") % 50).cast("string")

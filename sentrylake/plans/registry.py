@@ -116,8 +116,8 @@ w AS (SELECT *, count(*) FILTER (WHERE l) OVER f AS n_left, count(*) FILTER (WHE
       list_sort(list(event_id) FILTER (WHERE l) OVER f) || list_sort(list(event_id) FILTER (WHERE r) OVER f) AS event_ids
       FROM c WINDOW f AS (ORDER BY us RANGE BETWEEN 120000000 PRECEDING AND CURRENT ROW))
 SELECT {columns} FROM w WHERE n_left > 0 AND n_right > 0"""
-_near = lambda t: near(t, F.col("class_uid") == 2004, F.col("class_uid") == 4001, 120)
-register("d8_near", lambda t: _near(t).select("event_id", "n_left", "n_right"), NEAR.replace("{columns}", "event_id, n_left, n_right"))
+_near = lambda t, detail=True: near(t, F.col("class_uid") == 2004, F.col("class_uid") == 4001, 120, detail=detail)
+register("d8_near", lambda t: _near(t, False).select("event_id", "n_left", "n_right"), NEAR.replace("{columns}", "event_id, n_left, n_right"))
 register("d9_near_detail", lambda t: _near(t).select("event_id", "window_start", "event_ids"), NEAR.replace("{columns}", "event_id, window_start, event_ids"))
 
 # A: sources and decoding
