@@ -35,27 +35,25 @@ def severity(level: str | None) -> int:
 
 
 def detect(df: DataFrame, rules: list[Rule], keep: list[str], shared: dict[str, Column] | None = None, chunk: int = 200) -> DataFrame:
-    """One row per event and rule that matches, from one scan a `chunk` of rules; rules apply to events of their class only.
+    """One row per event and rule that matches, from one scan; rules apply to events of their class only.
 
     `shared` names values that many rules test (a lower-cased text, an address as a number); each is worked out once a
-    row, whatever the number of rules.
+    row, whatever the number of rules. Expressions are built for `chunk` rules at a time.
     """
-    out = None
-    for at in range(0, len(rules), chunk):
-        part = rules[at : at + chunk]
-        seen = df.where(F.col("class_uid").isin(sorted({r.class_uid for r in part})))
-        if shared:
-            # exploding one struct keeps the values apart: the optimizer would copy plain ones into every rule that uses them
-            seen = seen.withColumn("_s", F.explode(F.array(F.struct(*[c.alias(n) for n, c in shared.items()])))).select("*", "_s.*")
-        by_class = F.array().cast("array<int>")
-        for class_uid in sorted({r.class_uid for r in part}):
-            own = [F.when(condition(r), F.lit(k)) for k, r in enumerate(part) if r.class_uid == class_uid]
-            by_class = F.when(F.col("class_uid") == class_uid, F.array_compact(F.array(*own))).otherwise(by_class)
-        found = seen.select(*keep, F.explode(by_class).alias("_k"))
-        uids, levels = F.array(*[F.lit(r.uid) for r in part]), F.array(*[F.lit(severity(r.level)) for r in part])
-        hits = found.select(*keep, F.get(uids, F.col("_k")).alias("rule"), F.get(levels, F.col("_k")).alias("severity"))
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    classes = sorted({r.class_uid for r in rules})
+    seen = df.where(F.col("class_uid").isin(classes))
+    if shared:
+        # exploding one struct keeps the values apart: the optimizer would copy plain ones into every rule that uses them
+        seen = seen.withColumn("_s", F.explode(F.array(F.struct(*[c.alias(n) for n, c in shared.items()])))).select("*", "_s.*")
+    none = F.array().cast("array<int>")
+    by_class = none
+    for class_uid in classes:
+        own = [F.when(condition(r), F.lit(k)) for k, r in enumerate(rules) if r.class_uid == class_uid]
+        parts = [F.array_compact(F.array(*own[at : at + chunk])) for at in range(0, len(own), chunk)]
+        by_class = F.when(F.col("class_uid") == class_uid, F.concat(*parts) if len(parts) > 1 else parts[0]).otherwise(by_class)
+    found = seen.select(*keep, F.explode(by_class).alias("_k"))
+    uids, levels = F.array(*[F.lit(r.uid) for r in rules]), F.array(*[F.lit(severity(r.level)) for r in rules])
+    return found.select(*keep, F.get(uids, F.col("_k")).alias("rule"), F.get(levels, F.col("_k")).alias("severity"))
 
 
 def to_findings(hits: DataFrame, rules: list[Rule] | None = None) -> DataFrame:

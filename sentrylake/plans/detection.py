@@ -83,13 +83,12 @@ predicate("r4_n_of_prefix", lambda: n_of(5, named(), "sel_*"), f"{FLAGS3[0]} AND
 predicate("r5_all_of", lambda: all_of(named()), " AND ".join(FLAGS3))
 predicate("r5_any_of", lambda: any_of(named(), "sel_*") & ~any_of(named(), "other"), f"({FLAGS3[0]} OR {FLAGS3[1]}) AND NOT ({FLAGS3[2]})")
 
-#: What many rules of a pack test, worked out once a row.
-SHARED = {"image_l": F.lower, "cmdline_l": F.lower, "path_l": F.lower, "dst_n": ipv4_number}
-SOURCES = {"image_l": "exec_path", "cmdline_l": "cmdline", "path_l": "file_path", "dst_n": "dst_ip"}
+#: What many rules of a pack test, worked out once a row of the class that has it.
+SHARED = {"image_l": (1007, "exec_path", F.lower), "cmdline_l": (1007, "cmdline", F.lower), "path_l": (1001, "file_path", F.lower), "dst_n": (4001, "dst_ip", ipv4_number)}
 
 
 def shared() -> dict[str, Column]:
-    return {name: make(F.col(SOURCES[name])) for name, make in SHARED.items()}
+    return {name: F.when(F.col("class_uid") == class_uid, make(F.col(source))) for name, (class_uid, source, make) in SHARED.items()}
 
 
 def pack() -> list[rules.Rule]:
