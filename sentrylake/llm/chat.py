@@ -178,17 +178,53 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", column
     return both.select(*columns, "n_quotes", "quote_level", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to", "reply_order")
 
 
-ORACLE = r"""
-WITH line AS (
-  SELECT conv_id, turn, role, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS x
-  FROM conversations),
+def with_quotes(df: DataFrame) -> DataFrame:
+    """Conversations as (conv_id, turn, role, text) in which messages quote: by conversation and turn, the whole message before, its words 2
+    to 9 over two lines at level 2, the words 3 to 12 of the one before that and its last line under an introduction, or
+    words that nobody said; a third quote nothing. A fixture for tables without quotes."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    words = lambda c, a, n: F.array_join(F.slice(F.split(c, r"[ \n]+"), a, n), " ")
+    last_line = lambda c: F.element_at(F.split(c, "\n", -1), -1)
+    held = df.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumns({"_a": F.lag("text").over(w), "_b": F.lag("text", 2).over(w), "_m": F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))})
+    quoted = (
+        F.when((F.col("_m") == 0) & F.col("_a").isNotNull(), F.concat(F.lit("> "), F.regexp_replace("_a", "\n", "\n> "), F.lit("\n")))
+        .when((F.col("_m") == 1) & F.col("_a").isNotNull(), F.concat(F.lit(">> "), words("_a", 2, 4), F.lit("\n> > "), words("_a", 6, 4), F.lit("\n")))
+        .when((F.col("_m") == 2) & F.col("_b").isNotNull(), F.concat(F.lit("On Monday A wrote:\n> "), F.upper(words("_b", 3, 10)), F.lit("\nso\n> "), last_line("_b"), F.lit("\n")))
+        .when(F.col("_m") == 3, F.lit("> nobody ever said these words\n"))
+        .otherwise("")
+    )
+    return held.select("conv_id", "turn", "role", F.concat(quoted, "text").alias("text"))
+
+
+#: The same conversations in DuckDB, as `c`.
+QUOTED = r"""q AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, lag(coalesce(text, '')) OVER w AS a, lag(coalesce(text, ''), 2) OVER w AS b, (conv_id + turn) % 6 AS m FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+c AS (SELECT conv_id, turn, role, CASE WHEN m = 0 AND a IS NOT NULL THEN '> ' || replace(a, chr(10), chr(10) || '> ') || chr(10)
+  WHEN m = 1 AND a IS NOT NULL THEN '>> ' || array_to_string(string_split_regex(a, '[ \n]+')[2:5], ' ') || chr(10) || '> > ' || array_to_string(string_split_regex(a, '[ \n]+')[6:9], ' ') || chr(10)
+  WHEN m = 2 AND b IS NOT NULL THEN 'On Monday A wrote:' || chr(10) || '> ' || upper(array_to_string(string_split_regex(b, '[ \n]+')[3:12], ' ')) || chr(10) || 'so' || chr(10) || '> ' || string_split(b, chr(10))[-1] || chr(10)
+  WHEN m = 3 THEN '> nobody ever said these words' || chr(10) ELSE '' END || text AS text FROM q),"""
+
+
+def oracle(source: str = "c AS (SELECT * FROM conversations),") -> str:
+    """Passages, windows and lines in DuckDB, over the conversations that `source` makes."""
+    return rf"""
+WITH {source}
+line AS (SELECT conv_id, turn, role, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM c),
 lev AS (SELECT *, regexp_extract(x, '^[ \t]*>[ \t>]*') AS p FROM line),
 lv AS (SELECT conv_id, turn, role, i, len(p) - len(replace(p, '>', '')) AS l0, substr(x, len(p) + 1) AS body FROM lev),
 m AS (SELECT *, CASE WHEN l0 = 0 AND coalesce(lead(l0) OVER w, 0) > 0 AND regexp_matches(body, '^(On|Am|Le|El) .*(wrote|schrieb|écrit|escribió)\s*:\s*$') THEN -1 ELSE l0 END AS level,
-             coalesce(lag(greatest(l0, 0)) OVER w, 0) AS prev FROM lv WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
-n AS (SELECT *, trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g')) AS said FROM m),
-f AS (SELECT conv_id, said, min(turn) AS source FROM n WHERE level = 0 AND said <> '' GROUP BY ALL),
-k AS (SELECT DISTINCT q.conv_id, q.turn, q.level, f.source FROM n q JOIN f USING (conv_id, said) WHERE q.level >= 1 AND q.said <> '' AND f.source < q.turn),
+             coalesce(lag(greatest(l0, 0)) OVER w, 0) AS prev FROM lv WINDOW w AS (PARTITION BY conv_id, turn, role ORDER BY i)),
+n AS (SELECT *, trim(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS said, coalesce(level <> lag(level) OVER w, true) AS cut FROM m WINDOW w AS (PARTITION BY conv_id, turn, role ORDER BY i)),
+g AS (SELECT *, max(CASE WHEN cut THEN i END) OVER (PARTITION BY conv_id, turn, role ORDER BY i) AS start FROM n),
+pa AS (SELECT conv_id, turn, role, level, start, string_agg(said, ' ' ORDER BY i) AS whole FROM g WHERE level >= 0 AND said <> '' GROUP BY ALL),
+pw AS (SELECT *, string_split(whole, ' ') AS words FROM pa),
+pc AS (SELECT conv_id, turn, level, start, 0 AS kind, whole AS piece FROM pa
+  UNION SELECT conv_id, turn, level, start, 1, array_to_string(words[k:k + {WINDOW - 1}], ' ') FROM (SELECT *, unnest(range(1, len(words) - {WINDOW - 2})) AS k FROM pw WHERE len(words) >= {WINDOW})
+  UNION SELECT conv_id, turn, level, start, CASE WHEN len(string_split(said, ' ')) >= {WINDOW} THEN 2 ELSE 3 END, said FROM g WHERE level >= 0 AND said <> ''),
+f AS (SELECT conv_id, kind, piece, min(turn) AS source FROM pc WHERE level = 0 GROUP BY ALL),
+fo AS (SELECT q.conv_id, q.turn, q.level, q.start, kind, f.source, count(*) AS n FROM pc q JOIN f USING (conv_id, kind, piece) WHERE q.level >= 1 AND f.source < q.turn GROUP BY ALL),
+bp AS (SELECT conv_id, turn, level, start, min(source) FILTER (WHERE kind = 0) AS whole, arg_min(source, (-n, source)) FILTER (WHERE kind = 1) AS most,
+  coalesce(list(DISTINCT source) FILTER (WHERE kind = 2), []) AS lines, coalesce(list(DISTINCT source) FILTER (WHERE kind = 3), []) AS short FROM fo GROUP BY ALL),
+k AS (SELECT DISTINCT conv_id, turn, level, unnest(CASE WHEN whole IS NOT NULL THEN [whole] WHEN most IS NOT NULL THEN list_append(lines, most) WHEN len(lines) > 0 THEN lines ELSE short END) AS source FROM bp),
 a AS (SELECT conv_id, turn, max(source) FILTER (WHERE level = 1) AS answered, count(DISTINCT source) AS n_linked FROM k GROUP BY ALL),
 t AS (SELECT conv_id, turn, role, trim(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE level = 0), '')) AS text,
              CAST(count(*) FILTER (WHERE level > 0 AND level <> prev) AS INT) AS n_quotes, CAST(greatest(max(level), 0) AS INT) AS quote_level FROM n GROUP BY conv_id, turn, role)
@@ -196,3 +232,7 @@ SELECT t.*, coalesce(n_linked, 0) AS n_linked, coalesce(answered, lag(t.turn) OV
        row_number() OVER (PARTITION BY t.conv_id ORDER BY coalesce(answered, t.turn), CASE WHEN answered IS NULL THEN 0 ELSE 1 END, t.turn, t.text) AS reply_order
 FROM t LEFT JOIN a ON a.conv_id = t.conv_id AND a.turn = t.turn
 """
+
+
+ORACLE = oracle()
+ORACLE_QUOTED = oracle(QUOTED)

@@ -34,6 +34,11 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link_quotes(table(spark, sf_dir, "conversations"))
 
 
+def quoted_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator over the same conversations with quotes put in, as the given ones have none."""
+    return chat.link_quotes(chat.with_quotes(table(spark, sf_dir, "conversations")))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks")
@@ -123,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_prefix_trie": op11_prefix_trie,
     "op12_vector_codes": op12_vector_codes,
     "op13_source_mix": op13_source_mix,
+    "quoted_chats": quoted_chats,
 }
 
 ORACLE: dict[str, str] = {
@@ -133,4 +139,5 @@ ORACLE: dict[str, str] = {
     "op11_prefix_trie": prefixtrie.ORACLE,
     "op12_vector_codes": vectorcodes.ORACLE,
     "op13_source_mix": mixing.ORACLE,
+    "quoted_chats": chat.ORACLE_QUOTED,
 }

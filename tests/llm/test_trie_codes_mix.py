@@ -23,7 +23,7 @@ def as_key(row):
     return [-1 if x is None else x for x in row]
 
 
-@pytest.mark.parametrize("name", ["op11_prefix_trie", "op12_vector_codes", "op13_source_mix"])
+@pytest.mark.parametrize("name", ["op11_prefix_trie", "op12_vector_codes", "op13_source_mix", "quoted_chats"])
 def test_query_equals_oracle(spark, name):
     d = duckdb.connect()
     for t in ("documents", "embeddings", "conversations"):
@@ -272,3 +272,11 @@ def test_mixed_texts(spark):
     m = mixing.mix(df, [1], share=1.0, block=50, shard=4)
     words = [w for r in m.texts(df).collect() for w in r.text.split()]
     assert sorted(words) == sorted(w for _, t, _ in rows for w in t.split())
+
+
+def test_quoted_chats_link(spark):
+    """The fixture's quotes are found, linked by passages, windows and lines, and change whom messages answer."""
+    rows = queries.QUERIES["quoted_chats"](spark, "/root/testdata/sf0.01").collect()
+    before = {(r.conv_id, r.turn) for r in rows}
+    assert {r.quote_level for r in rows} == {0, 1, 2} and sum(r.n_linked > 0 for r in rows) > 100 and any(r.n_quotes > 0 and r.n_linked == 0 for r in rows)
+    assert any(r.reply_to is not None and (r.conv_id, r.turn - 1) in before and r.reply_to != r.turn - 1 for r in rows)
