@@ -42,6 +42,12 @@ UNICODE_16 = [
 ]
 
 
+#: Lower case of the letters that Unicode 16 and 17 added, single ones and runs (first, last, step to the lower one).
+NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+NEWER_RUNS = [(0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)]
+NEWER = NEWER_LOWER | {c: c + step for first, last, step in NEWER_RUNS for c in range(first, last + 1)}
+
+
 def word_pattern() -> str:
     """`WORD_PATTERN` with the letters and numbers of Unicode 16: the pattern library has newer ones, `unicodedata` those of 15."""
     newer = "".join(c for c in map(chr, range(0x80, 0x40000)) if unicodedata.category(c) == "Cn" and not any(a <= ord(c) <= b for a, b in UNICODE_16))
@@ -269,6 +275,8 @@ class Encoder:
             part = unicodedata.normalize("NFC", part)
             # the library lowers character by character, without a final form of sigma
             part = part.lower() if "\u03a3" not in part else "".join(c.lower() for c in part)
+            if not part.isascii():
+                part = part.translate(NEWER)
             for word in self.words.findall(part):
                 out += walk(word if word.isascii() and word.isalnum() else word.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet))
         return out

@@ -29,7 +29,8 @@ def none(spark):
 
 def test_bpe_round_trip(spark, odd, none):
     library = Tokenizer.from_file(bpe.default_vocabulary())
-    texts = ["It's ÉCOLE ΣΑΣ 12 <|endoftext|>x 日本 語 🎉!!", "é aaaaaaaaaa hahahahaha"] + [r[1] or "" for r in ROWS]
+    newer = [chr(c) for c in bpe.NEWER]
+    texts = [" ".join(newer), "".join(f"x{c}y{c}" for c in newer), "It's ÉCOLE ΣΑΣ 12 <|endoftext|>x 日本 語 🎉!!", "é aaaaaaaaaa hahahahaha"] + [r[1] or "" for r in ROWS]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r for r in bpe.decode(bpe.encode(df)).collect()}
     for i, t in enumerate(texts):
