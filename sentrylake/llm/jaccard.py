@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import small_parts, stored
+from sentrylake.llm.common import discard, small_parts, stored
 from sentrylake.llm.words import batch_words, gram_hashes, mixed
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -249,7 +249,9 @@ def connected(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         new = stored(small, "edges")
         if new.count() == links.count() and new.exceptAll(links).isEmpty():
+            discard(links)
             return new.select(F.col("a").alias("id"), F.col("b").alias("root"))
+        discard(links)
         links = new
 
 
@@ -304,6 +306,8 @@ def near_classes(
 
     slim = sent.select("bucket", "pair", "rep", "members", "shingles", "buckets", "own")
     found = stored(slim.groupBy("bucket", "pair").applyInPandas(task, "rep long, links long, root long"), "links")
+    discard(kept)
+    discard(with_sets)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     component = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     labelled = (

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import bind, stored
+from sentrylake.llm.common import bind, discard, stored
 
 FAMILIES = 8  # up to 28, the bits of a line's hash
 
@@ -65,6 +65,7 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", column: str = "text",
     # few rows from here on: the occurrences of repeated chunks, by document; each step is written, so texts move twice only
     found = chunks.join(repeated, "h").select("_id", "_text_hash", "pos", "h", "owner")
     by_doc = stored(found.groupBy("_id", "_text_hash").agg(F.collect_list(F.struct("pos", "h", "owner")).alias("found")), "repeated")
+    discard(repeated)
 
     same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_text_hash"] == b["_text_hash"])
     slim = base.select("_id", "_text_hash", text.alias("_text"))
@@ -72,6 +73,7 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", column: str = "text",
     texts = slim.join(by_doc.hint("merge"), same(slim, by_doc)).select(slim["_id"], slim["_text_hash"], "_text", "found")
     bodies = texts.select("_id", "_text_hash", F.explode(bind(F.split("_text", "\n", -1), lambda lines: F.transform("found", lambda f: body(lines, f)))).alias("f")).select("_id", "_text_hash", "f.*")
     bodies = stored(bodies, "bodies")
+    discard(by_doc)
     # written, as the repeated chunks were
     owned = stored(bodies.where(F.col("_id").eqNullSafe(F.col("owner"))).groupBy("h").agg(F.min("body").alias("first_body")), "first-bodies")
     alike = bodies.join(owned, "h").where(F.col("body") == F.col("first_body"))
@@ -85,6 +87,8 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", column: str = "text",
 
     removed = each.select("_id", "_text_hash", gone(F.col("at")).alias("gone")).where("size(gone) > 0")
     removed = stored(removed, "removed")
+    discard(bodies)
+    discard(owned)
 
     joined = base.join(removed.hint("merge"), same(base, removed), "left").select("_row", "gone")
     none = F.array().cast("array<int>")

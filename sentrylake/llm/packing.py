@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrylake.llm.bpe import load_model, worker_encoder
-from sentrylake.llm.common import small_parts, stored
+from sentrylake.llm.common import discard, small_parts, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -237,6 +237,7 @@ def pack(df: DataFrame, key_columns: list[str], capacity: int = CAPACITY, group:
         return placed.withColumn("sequence_id", (F.col("group") * 2 + level) * F.lit(1 << 20) + F.col("bin"))
 
     first = stored(packed(rows, 0), "packed")
+    discard(rows)
     full = F.col("fill") >= int(UNDERFULL * capacity)
     again = packed(stored(first.where(~full).select(*own, "length"), "underfull"), 1)
     both = first.where(full).unionByName(again)
