@@ -34,29 +34,43 @@ def dedupe_alerts(alerts: DataFrame, rules: DataFrame, ts: str = "observed_at",
     return marked.unionByName(free)
 
 
-def transition_log(log: DataFrame, start: str, moves: dict[str, list[str]], key: str = "id", order: str = "seq", to: str = "to_status", chunk: int = 200) -> DataFrame:
+def transition_log(
+    log: DataFrame, start: str, moves: dict[str, list[str]], key: str = "id", order: str = "seq", to: str = "to_status", chunk: int = 200, stretch: int = 50_000
+) -> DataFrame:
     """`log` with `from_status` and `accepted`: what each transition found its key in, and whether that allows it.
 
-    A key's log is cut into chunks; a chunk is folded from every state it may begin in, the chunks' ends give the state
-    that each begins in, and then its own transitions are read. So a key's log is never one row.
+    A key's log is cut into stretches of `stretch` order numbers and these into chunks of transitions. A chunk is folded from
+    every state it may begin in; so are a stretch's chunks, and then the stretches from the start, which gives the state that
+    each stretch, and then each chunk, begins in; last, a chunk's own transitions are read. So neither a key's log nor its
+    chunks are ever one row or one task's.
     """
     states = sorted({start, *moves, *(s for to_states in moves.values() for s in to_states)})
     allowed = F.array(*[F.lit(f"{a}>{b}") for a, bs in moves.items() for b in bs])
+    names = F.array(*map(F.lit, states))
     after = lambda s, x: F.when(F.array_contains(allowed, F.concat_ws(">", s, x["to"])), x["to"]).otherwise(s)
-    number = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    numbered = log.withColumn("_chunk", F.floor((number - 1) / chunk))
+    numbered = log.withColumn("_stretch", F.floor(F.col(order) / stretch))
+    number = F.row_number().over(Window.partitionBy(key, "_stretch").orderBy(order))
+    numbered = numbered.withColumn("_chunk", F.floor((number - 1) / chunk))
     packed = F.struct(F.col(order).alias("o"), F.col(to).alias("to"), F.struct(*[c for c in log.columns if c not in (key, order, to)], F.lit(0).alias("_")).alias("rest"))
-    lists = numbered.groupBy(key, "_chunk").agg(F.array_sort(F.collect_list(packed), lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0)).alias("_all"))
-    names = F.array(*map(F.lit, states))
-    ends = F.map_from_arrays(names, F.transform(names, lambda s: F.aggregate("_all", s, after)))
-    chain = lists.select(key, "_chunk", ends.alias("_ends")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_chunk", F.map_entries("_ends").alias("e")))).alias("_chunks"))
-    begin = F.struct(F.lit(start).alias("s"), F.array().cast("array<struct<_chunk: bigint, s: string>>").alias("out"))
+    lists = numbered.groupBy(key, "_stretch", "_chunk").agg(F.array_sort(F.collect_list(packed), lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0)).alias("_all"))
+
+    def begins_of(maps: DataFrame, by: list[str], place: str, begin: Column) -> DataFrame:
+        """(by, place, _from): the state that each place begins in, from maps (by, place, _ends) and the state that the first begins in."""
+        empty = F.array().cast("array<struct<p: bigint, s: string>>")
+
+        def pass_on(state: Column, x: Column) -> Column:
+            return F.struct(F.map_from_entries(x["e"])[state["s"]].alias("s"), F.concat(state["out"], F.array(F.struct(x["p"].alias("p"), state["s"].alias("s")))).alias("out"))
 
-    def pass_on(state: Column, x: Column) -> Column:
-        noted = F.concat(state["out"], F.array(F.struct(x["_chunk"].alias("_chunk"), state["s"].alias("s"))))
-        return F.struct(F.map_from_entries(x["e"])[state["s"]].alias("s"), noted.alias("out"))
+        folded = F.aggregate("_maps", F.struct(begin.alias("s"), empty.alias("out")), pass_on)["out"]
+        return maps.select(*by, F.explode(folded).alias("b")).select(*by, F.col("b.p").alias(place), F.col("b.s").alias("_from"))
 
-    begins = chain.select(key, F.explode(F.aggregate("_chunks", begin, pass_on)["out"]).alias("b")).select(key, "b._chunk", F.col("b.s").alias("_from"))
+    gathered = lambda place: F.sort_array(F.collect_list(F.struct(F.col(place).alias("p"), F.map_entries("_ends").alias("e")))).alias("_maps")
+    through = lambda maps, s: F.aggregate(maps, s, lambda state, x: F.map_from_entries(x["e"])[state])
+    ends = lists.select(key, "_stretch", "_chunk", F.map_from_arrays(names, F.transform(names, lambda s: F.aggregate("_all", s, after))).alias("_ends"))
+    chunks = ends.groupBy(key, "_stretch").agg(gathered("_chunk"))
+    stretches = chunks.select(key, "_stretch", F.map_from_arrays(names, F.transform(names, lambda s: through("_maps", s))).alias("_ends")).groupBy(key).agg(gathered("_stretch"))
+    first = begins_of(stretches, [key], "_stretch", F.lit(start)).withColumnRenamed("_from", "_begin")
+    begins = begins_of(chunks.join(first, [key, "_stretch"]), [key, "_stretch"], "_chunk", F.col("_begin"))
 
     def read(state: Column, x: Column) -> Column:
         good = F.array_contains(allowed, F.concat_ws(">", state["s"], x["to"]))
@@ -64,7 +78,7 @@ def transition_log(log: DataFrame, start: str, moves: dict[str, list[str]], key:
         return F.struct(F.when(good, x["to"]).otherwise(state["s"]).alias("s"), noted.alias("out"))
 
     fresh = F.struct(F.col("_from").alias("s"), F.array().cast("array<struct<from: string, good: boolean>>").alias("out"))
-    both = lists.join(begins, [key, "_chunk"]).withColumn("_read", F.aggregate("_all", fresh, read)["out"])
+    both = lists.join(begins, [key, "_stretch", "_chunk"]).withColumn("_read", F.aggregate("_all", fresh, read)["out"])
     each = both.select(key, F.explode(F.arrays_zip(F.col("_all").alias("x"), F.col("_read").alias("r"))).alias("z"))
     kept = [F.col(f"z.x.rest.{c}").alias(c) for c in log.columns if c not in (key, order, to)]
     return each.select(key, F.col("z.x.o").alias(order), F.col("z.x.to").alias(to), *kept, F.col("z.r.from").alias("from_status"), F.col("z.r.good").alias("accepted"))

@@ -113,7 +113,7 @@ def test_long_logs_fold_like_short_ones(spark):
 
     rows = [(k % 3, k, STATES[k * 7 % 11 % 4]) for k in range(900)]
     df = spark.createDataFrame(rows, "id long, seq long, to_status string")
-    one, many = ({(r.seq, r.from_status, r.accepted) for r in alerts.transition_log(df, "new", alerts.ALERT_MOVES, chunk=c).collect()} for c in (10_000, 7))
+    one, many = ({(r.seq, r.from_status, r.accepted) for r in alerts.transition_log(df, "new", alerts.ALERT_MOVES, chunk=c, stretch=s).collect()} for c, s in ((10_000, 10_000), (7, 50)))
     assert one == many and len(one) == 900
 
 
