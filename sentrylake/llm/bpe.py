@@ -371,7 +371,11 @@ def encode(df: DataFrame, column: str = "text", out: str = "ids", vocabulary: st
 
 
 def decode(df: DataFrame, column: str = "ids", out: str = "decoded", vocabulary: str | None = None) -> DataFrame:
-    """Add `out` string: the labels of the ids. A null list decodes as the empty string."""
+    """Add `out` string: the labels of the ids. A null list decodes as the empty string.
+
+    Every row stays, repeated or not; lists of any length are read whole; an empty table gives an empty table; an input column
+    named `out` gives way.
+    """
     shipped = df.sparkSession.sparkContext.broadcast(load_model(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

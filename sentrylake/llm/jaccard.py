@@ -262,7 +262,8 @@ def near_classes(
 
     n_links counts the other rows with similarity of at least `similarity`; rows with the same set are links of each
     other, and n_copies counts those. Wordless and null texts are one class. Rows that share an id are rows of their
-    own. A null id takes part, but names a class only if no other does.
+    own, repeated ones too. A null id takes part, but names a class only if no other does. Texts of any length are read
+    whole; an empty table gives an empty result; other columns, whatever their names, aren't read.
     """
     runs, more = run_counts(recall, picks, similarity, DEPTH)
     sig = stored(signatures(df, id_column, column, runs, more, picks, width), "signatures")
