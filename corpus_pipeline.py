@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and all but the last return the columns
 of `documents`; n_chars follows the text. Null texts count as empty, rows with null ids pass the comparing stages
-unchanged, an empty table gives empty results.
+unchanged, texts of any length are read whole, repeated rows stay together, other columns aren't kept, an empty table gives
+empty results.
 """
 
 from __future__ import annotations
