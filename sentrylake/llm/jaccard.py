@@ -31,6 +31,7 @@ from sentrylake.llm.words import batch_words, gram_hashes, mixed
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.9999
 PICKS = 1.25
 SMALL, BLOCK, DEPTH = 128, 2500, 4
+PAIRS = 4_000_000  # pairs of places counted at a time
 #: Sets of a large bucket from which the gain of a split is estimated.
 ESTIMATE = 200
 
@@ -174,22 +175,48 @@ def terminal_buckets(reps: DataFrame, small: int, depth: int) -> DataFrame:
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many entries each list of the left shares with each of the right; the lists have no entry twice."""
+    """How many entries each list of the left shares with each of the right; the lists have no entry twice.
+
+    Entries that few lists have are counted pair by pair, the others by products of 0-1 matrices.
+    """
     total = np.zeros((len(left), len(right)), dtype=np.float32)
-    lists = [*left, *right]
-    lengths = [len(x) for x in lists]
-    if not sum(lengths):
+    lengths = [len(x) for x in (*left, *right)]
+    if not sum(lengths) or not total.size:
         return total
-    _, col, often = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(lists)), lengths)
-    keep = often[col] > 1
-    row, col = row[keep], (np.cumsum(often > 1) - 1)[col[keep]]
+    _, col = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    n = int(col.max()) + 1
+    mine = row < len(left)
+    often = np.bincount(col[mine], minlength=n), np.bincount(col[~mine], minlength=n)
+    pairs = often[0] * often[1]
+    few = (pairs > 0) & (pairs <= max(1, total.size // 128))
+    many = (pairs > 0) & ~few
+
+    # pair by pair: each place on the left meets the places of its entry on the right
+    keep = few[col]
+    a, b = np.flatnonzero(keep & mine), np.flatnonzero(keep & ~mine)
+    a, b = a[np.argsort(col[a], kind="stable")], b[np.argsort(col[b], kind="stable")]
+    heads = np.searchsorted(col[b], np.arange(n))
+    times = often[1][col[a]]
+    flat = total.ravel()
+    ends = np.cumsum(times)
+    at = 0
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        own = times[at:to]
+        within = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        met = row[b[np.repeat(heads[col[a[at:to]]], own) + within]] - len(left)
+        np.add.at(flat, np.repeat(row[a[at:to]], own) * len(right) + met, np.float32(1))
+        at = to
+
+    keep = many[col]
+    row, col = row[keep], (np.cumsum(many) - 1)[col[keep]]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     wide = 2048
-    for start in range(0, int((often > 1).sum()), wide):
+    for start in range(0, int(many.sum()), wide):
         a, b = np.searchsorted(col, (start, start + wide))
-        m = np.zeros((len(lists), wide), dtype=np.float32)
+        m = np.zeros((len(lengths), wide), dtype=np.float32)
         m[row[a:b], col[a:b] - start] = 1
         total += m[: len(left)] @ m[len(left) :].T
     return total

@@ -591,3 +591,16 @@ def test_prior_from_positives_and_unlabelled(prior):
     model = quality.train(positive, unlabelled)
     assert ((quality.predict(model, unlabelled) >= 0.5) == good).mean() > 0.97
     assert quality.estimate_prior(positive[:5], unlabelled) == 0.5
+
+
+def test_common_entries_by_plain_python(monkeypatch):
+    """Shared entries of lists, rare and frequent ones, in parts of any size."""
+    rng = np.random.default_rng(11)
+    lists = lambda n, u: [np.unique(rng.integers(0, u, rng.integers(0, 12))).astype("<u8") for _ in range(n)]
+    plain = lambda a, b: np.array([[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a], dtype=np.float32).reshape(len(a), len(b))
+    for pairs in (5, 4_000_000):
+        monkeypatch.setattr(jaccard, "PAIRS", pairs)
+        for n, m, u in ((30, 20, 40), (30, 30, 400), (1, 5, 10), (0, 3, 5), (60, 50, 15)):
+            left, right = lists(n, u), lists(m, u)
+            assert (jaccard.common(left, right) == plain(left, right)).all()
+            assert (jaccard.common(left, left) == plain(left, left)).all()
