@@ -6,9 +6,12 @@ spread over days.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sentrylake.operators.carry import carried, followed
 from sentrylake.operators.correlate import micros
@@ -111,21 +114,68 @@ def ancestors_at(procs: DataFrame, probes: DataFrame, lookback_s: int = 86_400,
     return done.where(F.size("chain.pids") > 0).select("probe", F.col("chain.pids").alias("pids"), F.col("chain.ids").alias("event_ids"))
 
 
-def _by_parent(procs: DataFrame, width: int) -> DataFrame:
-    """Processes by parent and time bucket, for windows up to `width` microseconds wide."""
-    us = micros(F.col("observed_at"))
-    return procs.where("parent_pid <> 0").select("host_id", F.col("parent_pid").alias("_parent"), F.col("pid").alias("_pid"), us.alias("_at"), F.col("event_id").alias("_id"), F.floor(us / width).alias("_bucket"))
+#: Columns of a process that `_children` finds below a parent.
+FOUND = {"_pid": "bigint", "_at": "bigint", "_id": None, "_rank": "int"}
 
 
-def _children(wanted: DataFrame, by_parent: DataFrame, width: int, keys: list[str], cap: int) -> DataFrame:
-    """Children of each row of `wanted` (keys, host_id, pid, _before) in [_before - width, _before]: _pid, _at and _id of the earliest row
-    of each pid, ranked by time and pid, at most `cap`."""
-    bucket = F.floor(F.col("_before") / width)
-    spread = wanted.withColumn("_bucket", F.explode(F.array(bucket - 1, bucket)))
-    met = spread.join(by_parent.withColumnRenamed("_parent", "pid"), ["host_id", "pid", "_bucket"]).where((F.col("_at") <= F.col("_before")) & (F.col("_at") >= F.col("_before") - width))
-    first = met.groupBy(*keys, "host_id", "pid", "_pid").agg(F.min(F.struct("_at", "_id")).alias("_f"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "host_id", "pid").orderBy("_f._at", "_pid"))
-    return first.withColumn("_rank", rank).where(F.col("_rank") <= cap).select(*keys, "host_id", "pid", "_pid", F.col("_f._at").alias("_at"), F.col("_f._id").alias("_id"), "_rank")
+def _by_parent(procs: DataFrame, width: int) -> DataFrame:
+    """Processes by parent and time bucket: each in its own bucket and the one before, so that a bucket has all rows of the windows,
+    up to `width` microseconds wide, that begin in it."""
+    us = micros(F.col("observed_at"))
+    own = F.floor(us / width)
+    return procs.where("parent_pid <> 0 and host_id is not null and observed_at is not null").select(
+        "host_id", F.col("parent_pid").alias("pid"), F.col("pid").alias("_pid"), us.alias("_at"), F.col("event_id").alias("_id"), F.explode(F.array(own - 1, own)).alias("_bucket")
+    )
+
+
+def _first_of_each(width: int, cap: int, passed: list[str]):
+    """Reads (host, pid, bucket) in falling order of time, rows before windows that begin with them, and keeps the first row of each of
+    the `cap` earliest pids from there on; each window gives those within its width."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, first = None, []
+        for batch in batches:
+            taken, found = [], []
+            names = ["host_id", "pid", "_bucket", "_wanted", "_at", "_pid", "_id"]
+            for k, (host, pid, bucket, wanted, at, child, event) in enumerate(zip(*(batch.column(n).to_pylist() for n in names), strict=True)):
+                if (host, pid, bucket) != group:
+                    group, first = (host, pid, bucket), []
+                if not wanted:
+                    first = [(child, at, event), *[x for x in first if x[0] != child][: cap - 1]]
+                    continue
+                for rank, x in enumerate(first, 1):
+                    if x[1] > at + width:
+                        break
+                    taken.append(k)
+                    found.append((*x, rank))
+            kept_rows = batch.select(passed).take(pa.array(taken, pa.int64()))
+            own = zip(*found, strict=True) if found else [[]] * len(FOUND)
+            kinds = [*[batch.schema.field(n).type for n in ("_pid", "_at", "_id")], pa.int32()]
+            yield pa.RecordBatch.from_arrays([*kept_rows.columns, *[pa.array(list(v), kind) for v, kind in zip(own, kinds, strict=True)]], names=[*passed, *FOUND])
+
+    return run
+
+
+def _children(wanted: DataFrame, by_parent: DataFrame, width: int, cap: int) -> DataFrame:
+    """Children of each row of `wanted` (host_id, pid, _before and more, none named as in FOUND) in [_before - width, _before]: its columns
+    with _pid, _at and _id of the earliest row of each pid, and _rank by time and pid, at most `cap`.
+
+    Rows and windows of a parent meet in one pass in order of time, which holds `cap` children: they are not joined, so no row is
+    handed on for each window that it is in.
+    """
+    kinds = {k: v or by_parent.schema["_id"].dataType.simpleString() for k, v in FOUND.items()}
+    begin = F.col("_before") - width
+    windows = wanted.where("host_id is not null and pid is not null and _before is not null").withColumns(
+        {"_bucket": F.floor(begin / width), "_wanted": F.lit(True), "_at": begin, **{c: F.lit(None).cast(kinds[c]) for c in ("_pid", "_id")}}
+    )
+    both = windows.unionByName(by_parent.withColumn("_wanted", F.lit(False)), allowMissingColumns=True)
+    key = ["host_id", "pid", "_bucket"]
+    # of one time, the row of the least pid and id comes last before the windows
+    order = [*key, F.desc("_at"), "_wanted", F.desc("_pid"), F.desc("_id")]
+    out = StructType([*wanted.schema.fields, *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in kinds.items())).fields])
+    out = StructType([StructField(f.name, f.dataType) for f in out.fields])
+    dealt = both.repartition(*key).sortWithinPartitions(*order)
+    return dealt.mapInArrow(_first_of_each(width, cap, wanted.columns), out)
 
 
 def children_at(procs: DataFrame, probes: DataFrame, lookback_s: int = 86_400, cap: int = 64) -> DataFrame:
@@ -136,7 +186,7 @@ def children_at(procs: DataFrame, probes: DataFrame, lookback_s: int = 86_400, c
     """
     width = lookback_s * 1_000_000
     wanted = probes.select("probe", "host_id", "pid", micros(F.col("observed_at")).alias("_before"))
-    found = _children(wanted, _by_parent(procs, width), width, ["probe"], cap)
+    found = _children(wanted, _by_parent(procs, width), width, cap)
     return found.select("probe", "host_id", F.col("pid").alias("parent_pid"), F.col("_pid").alias("pid"), F.col("_id").alias("event_id"), F.col("_rank").alias("rank"))
 
 
@@ -158,8 +208,8 @@ def process_tree_at(procs: DataFrame, probes: DataFrame, lookback_s: int = 86_40
     level = kept(level, "roots")
     out, more = level, None
     for k in range(1, min(depth, 8) + 1):
-        found = _children(level.select("probe", "_key", "host_id", "pid", "_before"), by_parent, width, ["probe", "_key", "_before"], fanout + 1)
-        below = kept(found.join(level.select("probe", "_key", "_path", F.col("event_id").alias("_above")), ["probe", "_key"]), "below")
+        wanted = level.select("probe", "host_id", F.col("event_id").alias("_above"), "pid", "_key", "_path", "_before")
+        below = kept(_children(wanted, by_parent, width, fanout + 1), "below")
         over = below.where(F.col("_rank") > fanout).select("probe", "_key", F.lit(True).alias("_more"))
         more = over if more is None else more.unionByName(over)
         level = below.where((F.col("_rank") <= fanout) & ~F.array_contains("_path", F.col("_pid"))).select(
