@@ -1,7 +1,9 @@
 """Streaming correlation that equals the batch result in any order of arrival within the watermark.
 
-A hit goes to the state of its key and time bucket and of the next bucket, buckets being as wide as the frame: whatever a
-frame [t - w, t] can hold is then in one state, and neither a hot key nor a missing one gathers more than two frames. A
+A hit goes to the state of its key's slot and time bucket and of the next bucket, buckets being as wide as the frame: whatever a
+frame [t - w, t] can hold is then in one state, and no state gathers more than two frames. Keys share `SLOTS` states a bucket, as
+a state of its own for every key would be called, and timed out, once a key and bucket for a hit or two; a batch reads the held
+hits of the slots that it has hits of. A
 hit that comes late also changes the counts of events after it that were already seen; these are sent again. A bucket's
 state goes when the watermark has passed its end, as nothing for it can come any more.
 """
@@ -25,18 +27,22 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 COLUMNS = ["key", "event_id", "n_left", "n_right", "window_us", "event_ids", "fires", "revised"]
 
 
+#: Fixed value: states of a bucket over which keys are dealt by hash.
+SLOTS = 64
+
+
 class FrameHits(StatefulProcessor):
-    """The hits of one key and bucket. `test` takes the counts of both sides; with `ids`, rows list their frame's events."""
+    """The hits of one slot of keys and bucket. `test` takes the counts of both sides; with `ids`, rows list their frame's events."""
 
     def __init__(self, width: int, test, ids: bool, id_type: str):
         self.width, self.test, self.ids, self.id_type = width, test, ids, id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.hits = handle.getListState("hits", f"us long, event_id {self.id_type}, own boolean, l boolean, r boolean")
+        self.hits = handle.getListState("hits", f"key string, us long, event_id {self.id_type}, own boolean, l boolean, r boolean")
 
     def _take(self, key: tuple, frames: Iterator[pd.DataFrame]) -> list[tuple]:
-        new = [tuple(row) for frame in frames for row in frame[["us", "event_id", "own", "l", "r"]].values.tolist()]
+        new = [row for frame in frames for row in frame[["key", "us", "event_id", "own", "l", "r"]].itertuples(index=False, name=None)]
         self.hits.appendList(new)
         self.handle.registerTimer((key[1] + 1) * self.width // 1000)
         return new
@@ -47,7 +53,14 @@ class FrameHits(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [tuple(x) for x in self.hits.get()] if self.hits.exists() else []
-        yield pd.DataFrame(list(self._found(key[0], held, self._take(key, rows))), columns=COLUMNS)
+        new: dict[str, list[tuple]] = {}
+        for own, *hit in self._take(key, rows):
+            new.setdefault(own, []).append(tuple(hit))
+        old: dict[str, list[tuple]] = {k: [] for k in new}
+        for own, *hit in held:
+            if own in old:
+                old[own].append(tuple(hit))
+        yield pd.DataFrame([row for k in new for row in self._found(k, old[k], new[k])], columns=COLUMNS)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.hits.clear()
@@ -79,7 +92,8 @@ def _spread(df: DataFrame, left: Column, right: Column, by: list[str], width: in
     us = F.unix_micros("at")
     own = F.floor(us / width)
     buckets = F.when(F.col("l") | F.col("r"), F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.struct((own + 1).alias("b"), F.lit(False).alias("own")))).otherwise(F.array())
-    return flagged.withColumn("us", us).withColumn("_x", F.explode(buckets)).select("key", F.col("_x.b").alias("bucket"), "event_id", "at", "us", F.col("_x.own").alias("own"), "l", "r")
+    slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS))
+    return flagged.withColumn("us", us).withColumn("_x", F.explode(buckets)).select(slot.alias("slot"), "key", F.col("_x.b").alias("bucket"), "event_id", "at", "us", F.col("_x.own").alias("own"), "l", "r")
 
 
 def _frames(stream: DataFrame, history: DataFrame | None, left: Column, right: Column, by: list[str], seconds: int, test, ids: bool, delay: str, ts: str, id_column: str) -> DataFrame:
@@ -88,9 +102,9 @@ def _frames(stream: DataFrame, history: DataFrame | None, left: Column, right: C
     id_type = stream.schema[id_column].dataType.simpleString()
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     hits = _spread(timed, left, right, by, width, ts, id_column)
-    initial = None if history is None else _spread(history, left, right, by, width, ts, id_column).groupBy("key", "bucket")
+    initial = None if history is None else _spread(history, left, right, by, width, ts, id_column).groupBy("slot", "bucket")
     out = f"key string, event_id {id_type}, n_left long, n_right long, window_us long, event_ids array<{id_type}>, fires boolean, revised boolean"
-    return hits.groupBy("key", "bucket").transformWithStateInPandas(FrameHits(width, test, ids, id_type), out, "Append", "EventTime", initialState=initial)
+    return hits.groupBy("slot", "bucket").transformWithStateInPandas(FrameHits(width, test, ids, id_type), out, "Append", "EventTime", initialState=initial)
 
 
 class AtLeast:

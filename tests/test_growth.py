@@ -67,3 +67,37 @@ def test_children_are_not_joined_row_by_row(spark):
             assert {tuple(r) for r in df.collect()} == want and len(want) > 40
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_keys_share_states(spark, tmp_path):
+    """D10, D11: the states of a bucket do not grow in number with the keys; each key counts for itself."""
+    import datetime as dt
+
+    from sentrylake.streaming import frames
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k, f"u{k % 400}", t0 + dt.timedelta(seconds=k)) for k in range(1000)]
+    schema = "event_id long, user_name string, observed_at timestamp"
+    for k in range(2):
+        spark.createDataFrame(rows[k::2], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    out = frames.stream_count_hits(stream, F.lit(True), ["user_name"], 86_400, ">", 2, "1 day", detail=False)
+    q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = frames.settled(spark.read.parquet(f"{tmp_path}/out"), F.col("n_hits"))
+    assert {(r.key, r.event_id, r.n_hits) for r in got.collect()} == {(f"u{k % 400}", k, 3) for k in range(800, 1000)}
+    states = max(s.numRowsTotal for p in q.recentProgress for s in p.stateOperators)
+    assert states < 400
+
+
+def test_large_parts_are_dealt_to_files(spark, tmp_path, monkeypatch):
+    """D11, A10, B11: no part of a stream is one task's, nor one file; small ones stay one."""
+    import os
+
+    from sentrylake.plans import streams
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 100)
+    assert streams.in_parts(spark.range(900), F.col("id") % 3, 3, 900, f"{tmp_path}/a") == 3
+    assert [sum(f.endswith(".parquet") for f in os.listdir(f"{tmp_path}/a/part={k}")) for k in range(3)] == [3, 3, 3]
+    assert spark.read.parquet(f"{tmp_path}/a").count() == 900
+    assert streams.in_parts(spark.range(90), F.col("id") % 3, 3, 90, f"{tmp_path}/b") == 1
