@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrylake.plans.catalog import DAY, ORACLE, QUERIES
@@ -17,23 +18,33 @@ from sentrylake.streaming import frames, sinks
 PARTS = 5
 LAG = 2 * DAY  # seconds that an event comes late at most
 DELAY = "3 days"
+FILE_ROWS = 250_000  # fixed value: about so many rows of a part go to a file
+
+
+def in_parts(rows: DataFrame, part: Column, parts: int, n: int, at: str) -> int:
+    """Write `rows`, about `n`, to the folders part=0, part=1 ... below `at`, one after the other; gives the files of each, which its
+    rows are dealt to: one while parts are small, so that a large part is no single task's."""
+    files = math.ceil(max(n, 1) / parts / FILE_ROWS)
+    held = kept(rows.withColumn("part", part), "numbered")
+    for k in range(parts):
+        own = held.where(F.col("part") == k).drop("part")
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.parquet(f"{at}/part={k}")
+    return files
 
 
 def arriving(spark: SparkSession, sf_dir: str, where: str = "true", parts: int = PARTS, closing: bool = False) -> DataFrame:
-    """The telemetry view over a stream of `parts` files or more in order of arrival, an event arriving up to `LAG` after it happened.
+    """The telemetry view over a stream of `parts` batches or more in order of arrival, an event arriving up to `LAG` after it happened.
     With `closing` a last file event of id -1, 60 days on, lets watermarks pass all others."""
     table = spark.read.parquet(f"{sf_dir}/events.parquet").where(where)
     late = F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(LAG))
-    bounds = table.agg(F.min(late), F.max(late)).first()
+    bounds = table.agg(F.min(late), F.max(late), F.count(F.lit(1))).first()
     at = shared_path(spark, "arrivals")
-    numbered = table.withColumn("part", F.least(F.lit(parts - 1), F.floor((late - bounds[0]) * parts / (bounds[1] - bounds[0] + 1))))
-    held = kept(numbered, "numbered")
-    for k in range(parts):
-        held.where(F.col("part") == k).drop("part").coalesce(1).write.parquet(f"{at}/part={k}")
+    part = F.least(F.lit(parts - 1), F.floor((late - bounds[0]) * parts / (bounds[1] - bounds[0] + 1)))
+    files = in_parts(table, part, parts, bounds[2], at)
     if closing:
         last = table.orderBy(F.desc("ts"), F.desc("event_id")).limit(1)
         last.withColumns({"event_id": F.lit(-1).cast("bigint"), "ts": F.col("ts") + F.expr("INTERVAL 60 DAYS"), "event_type": F.lit("view")}).select(*table.columns).write.parquet(f"{at}/part=closing")
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(at)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(at)
     return stream_view(spark, stream)
 
 
@@ -111,13 +122,11 @@ def _followups(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = table.where("class_uid = 1001 AND event_id % 3 > 0")
     pause = F.make_dt_interval(secs=(F.col("event_id") % 700).cast("double"))
     made = late.select(F.col("event_id").alias("correlation_uid"), F.sha2("raw", 256).alias("sha256"), (F.col("observed_at") + pause).alias("observed_at"))
-    made = kept(made, "made")
-    for k in range(3):
-        made.where(F.pmod(F.xxhash64("correlation_uid"), F.lit(3)) == k).coalesce(1).write.parquet(f"{at}/part={k}")
+    files = in_parts(made, F.pmod(F.xxhash64("correlation_uid"), F.lit(3)), 3, late.count(), at)
     ahead.select(F.lit(None).cast("bigint").alias("correlation_uid"), F.lit("").alias("sha256"), "observed_at").coalesce(1).write.parquet(f"{at}/part=9")
-    followups = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(at)
-    files = stream.where("class_uid = 1001").select("event_id", "file_path", "observed_at")
-    return written(sinks.stream_followups(files, followups, delay="31 days")).select("event_id", "file_path", "sha256")
+    followups = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(at)
+    changed = stream.where("class_uid = 1001").select("event_id", "file_path", "observed_at")
+    return written(sinks.stream_followups(changed, followups, delay="31 days")).select("event_id", "file_path", "sha256")
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
