@@ -60,6 +60,10 @@ def word_pattern() -> str:
     return rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{spans}]]+|[\p{{N}}--[{spans}]]|(?:[^\s\p{{L}}\p{{N}}]|[{spans}])+"
 
 
+#: Rows and bytes of text encoded or decoded at a time: what is made of them, some fifty times the text, stays in the worker's heap.
+PART_ROWS, PART_SIZE = 100, 1 << 19
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -240,11 +244,52 @@ class TokenAutomaton:
                 length = self.inside[token] if token != -1 else 0
 
 
+class Pieces:
+    """Ids of pieces by 64-bit hash, in sorted arrays with a small dict of the newest in front.
+
+    A piece takes about 30 bytes, a fifth of an entry of a dict of byte strings; an executor has a table in each Python worker.
+    """
+
+    KEPT = 400_000  # pieces in the arrays; when full, those not asked for since it was last full go
+    FRESH = 25_000  # pieces in the dict before they are sorted in
+
+    def __init__(self):
+        self.keys, self.used = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+        self.heads, self.sizes, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<i4")
+        self.fresh: dict[int, bytes] = {}
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Each hash's place in the arrays, -1 where it isn't there."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        at = np.where(self.keys[at] == hashes, at, -1)
+        self.used[at[at >= 0]] = True
+        return at
+
+    def settle(self) -> None:
+        """Sort the newest pieces in."""
+        keep = np.arange(len(self.keys))
+        if len(self.keys) + len(self.fresh) > self.KEPT:
+            keep = np.flatnonzero(self.used)
+            keep = keep[:: 1 + (2 * len(keep) > self.KEPT)]
+            self.used[:] = False
+        keys = np.concatenate((self.keys[keep], np.fromiter(self.fresh, dtype=np.uint64, count=len(self.fresh))))
+        newest = np.array([len(ids) // 4 for ids in self.fresh.values()], dtype=np.int64)
+        flat = np.concatenate((self.flat, np.frombuffer(b"".join(self.fresh.values()), dtype="<i4")))
+        heads = np.concatenate((self.heads[keep], len(self.flat) + np.cumsum(newest) - newest))
+        sizes, used = np.concatenate((self.sizes[keep], newest)), np.concatenate((self.used[keep], np.zeros(len(newest), dtype=bool)))
+        order = np.argsort(keys)
+        self.keys, self.used, self.sizes = keys[order], used[order], sizes[order]
+        ends = np.cumsum(self.sizes)
+        self.flat = flat[np.repeat(heads[order] - ends + self.sizes, self.sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        self.heads = ends - self.sizes
+        self.fresh = {}
+
+
 class Encoder:
     """Maps texts to ids. Pieces between blanks are encoded alone, each kind once a batch, and kept in a bounded table."""
 
-    KEPT = 600_000  # pieces in each of two tables; the older one goes when the newer is full
-
     def __init__(self, model: str):
         spec = json.loads(model)
         bpe = spec["model"]
@@ -257,8 +302,7 @@ class Encoder:
         self.leads = {t[0] for t in self.special}
         self.words = regex.compile(word_pattern())
         self.alphabet = {b: c for b, c in enumerate(byte_alphabet())}
-        self.pieces: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
+        self.pieces = Pieces()
         marks = "" if any(t[-1] in ".,;:!?" for t in self.special) else ".,;:!?"
         #: ids of one mark, and of no mark first
         self.marks = [b"", *(array("i", self.automaton.walk(c)).tobytes() for c in marks)]
@@ -305,24 +349,28 @@ class Encoder:
         codes, kinds = pd.factorize(hashes)
         seen = np.maximum.accumulate(codes) if len(codes) else codes
         at = np.flatnonzero(np.diff(seen, prepend=-1) > 0)  # where each kind stands first
-        known, older, made = self.pieces, self.older, []
-        for h, a, b in zip(kinds.tolist(), starts[at].tolist(), ends[at].tolist()):
-            ids = known.get(h)
+        pieces, n = self.pieces, len(kinds)
+        place = pieces.find(kinds)
+        rest = np.flatnonzero(place < 0)
+        fresh, made = pieces.fresh, []
+        for h, a, b in zip(kinds[rest].tolist(), starts[at[rest]].tolist(), ends[at[rest]].tolist()):
+            ids = fresh.get(h)
             if ids is None:
-                ids = older.get(h)
-                if ids is None:
-                    ids = self.piece(data[a:b].tobytes().decode("utf-8", "replace"))
-                if len(known) >= self.KEPT:
-                    older = self.older = known
-                    known = self.pieces = {}
+                ids = self.piece(data[a:b].tobytes().decode("utf-8", "replace"))
                 if b - a <= 100:
-                    known[h] = ids
+                    fresh[h] = ids
             made.append(ids)
-        n = len(made)
         made += self.marks
-        sizes = np.array([len(m) // 4 for m in made], dtype=np.int64)
-        flat = np.frombuffer(b"".join(made), dtype="<i4")
-        heads = np.cumsum(sizes) - sizes
+        made_sizes = np.array([len(m) // 4 for m in made], dtype=np.int64)
+        made_heads = len(pieces.flat) + np.cumsum(made_sizes) - made_sizes
+        flat = np.concatenate((pieces.flat, np.frombuffer(b"".join(made), dtype="<i4")))
+        sizes, heads = np.zeros(n + len(self.marks), dtype=np.int64), np.zeros(n + len(self.marks), dtype=np.int64)
+        held = np.flatnonzero(place >= 0)
+        sizes[held], heads[held] = pieces.sizes[place[held]], pieces.heads[place[held]]
+        rest = np.concatenate((rest, np.arange(n, n + len(self.marks))))
+        sizes[rest], heads[rest] = made_sizes, made_heads
+        if len(fresh) >= pieces.FRESH:
+            pieces.settle()
         # each piece, then its mark or nothing
         both = np.stack((codes, n + marks), axis=1).ravel()
         counts = sizes[both]
@@ -363,7 +411,7 @@ def encode(df: DataFrame, column: str = "text", out: str = "ids", vocabulary: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shipped)
         for batch in batches:
-            for part in small_parts(batch, column):
+            for part in small_parts(batch, column, PART_ROWS, PART_SIZE):
                 flat, ends = encoder.encode_batch(part.column(column))
                 yield add_columns(part, **{out: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, type=pa.int32()))})
 
@@ -381,8 +429,8 @@ def decode(df: DataFrame, column: str = "ids", out: str = "decoded", vocabulary:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = arc_labels(shipped.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(at, PART_ROWS)
                 lists = part.column(column).fill_null([])
                 ends = lists.offsets.to_numpy()
                 flat = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].tolist()
