@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sentrylake.llm.common import add_columns, small_parts, with_fields
+from sentrylake.llm.common import add_columns, small_parts, tidy, with_fields
 from sentrylake.llm.words import batch_words, span_hashes
 
 #: Fixed value: how the vocabulary's own pre-tokenizer splits lower-cased text.
@@ -415,7 +415,7 @@ def encode(df: DataFrame, column: str = "text", out: str = "ids", vocabulary: st
                 flat, ends = encoder.encode_batch(part.column(column))
                 yield add_columns(part, **{out: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, type=pa.int32()))})
 
-    return df.mapInArrow(run, with_fields(df, **{out: "array<int>"}))
+    return df.mapInArrow(tidy(run), with_fields(df, **{out: "array<int>"}))
 
 
 def decode(df: DataFrame, column: str = "ids", out: str = "decoded", vocabulary: str | None = None) -> DataFrame:
@@ -439,4 +439,4 @@ def decode(df: DataFrame, column: str = "ids", out: str = "decoded", vocabulary:
                 made = [" ".join(map(labels.__getitem__, flat[a:b])) for a, b in zip(ends, ends[1:])]
                 yield add_columns(part, **{out: pa.array(made, type=pa.string())})
 
-    return df.mapInArrow(run, with_fields(df, **{out: "string"}))
+    return df.mapInArrow(tidy(run), with_fields(df, **{out: "string"}))

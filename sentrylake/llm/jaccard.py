@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import discard, small_parts, stored
+from sentrylake.llm.common import discard, small_parts, stored, tidy
 from sentrylake.llm.words import batch_words, gram_hashes, mixed
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -99,7 +99,7 @@ def signatures(df: DataFrame, id_column: str, column: str, runs: int, more: int,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(set_keys(sets), type=pa.string()), *lists], names=["id", "set_key", "paths", "more_paths"])
 
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(id_column, column).mapInArrow(run, f"id {kind}, set_key string, paths array<long>, more_paths array<long>")
+    return df.select(id_column, column).mapInArrow(tidy(run), f"id {kind}, set_key string, paths array<long>, more_paths array<long>")
 
 
 def cheap_to_split(large: DataFrame) -> DataFrame:
@@ -318,7 +318,7 @@ def near_classes(
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), whole], names=[*names, "shingles"]).filter(same)
 
     kinds = {f.name: f.dataType.simpleString() for f in wanted.schema.fields}
-    with_sets = texts.mapInArrow(sets, f"rep {kinds['rep']}, members long, `in` {kinds['in']}, shingles binary")
+    with_sets = texts.mapInArrow(tidy(sets), f"rep {kinds['rep']}, members long, `in` {kinds['in']}, shingles binary")
     # rows of one id, set and all repeat: one of them
     with_sets = stored(with_sets.dropDuplicates(["rep"]), "sets")
     blocks = F.ceil(F.col("b.n") / BLOCK).cast("int")

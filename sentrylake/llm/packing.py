@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.bpe import load_model, worker_encoder
-from sentrylake.llm.common import discard, small_parts, stored
+from sentrylake.llm.bpe import PART_ROWS, PART_SIZE, load_model, worker_encoder
+from sentrylake.llm.common import discard, small_parts, stored, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -41,7 +41,7 @@ def pieces(df: DataFrame, id_column: str = "doc_id", column: str = "text", capac
         encoder = worker_encoder(shipped)
         tail = END_ID.to_bytes(4, "little")
         for batch in batches:
-            for part in small_parts(batch, column):
+            for part in small_parts(batch, column, PART_ROWS, PART_SIZE):
                 flat, ends = encoder.encode_batch(part.column(1))
                 flat = memoryview(flat.astype("<i4").tobytes())
                 row, piece, start, length, sums = [], [], [], [], []
@@ -60,7 +60,7 @@ def pieces(df: DataFrame, id_column: str = "doc_id", column: str = "text", capac
                 yield pa.RecordBatch.from_arrays([ids, *rest], names=names)
 
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(id_column, column).mapInArrow(run, f"`{id_column}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return df.select(id_column, column).mapInArrow(tidy(run), f"`{id_column}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class Bins:

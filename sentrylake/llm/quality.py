@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import add_columns, small_parts, with_fields
+from sentrylake.llm.common import add_columns, small_parts, tidy, with_fields
 from sentrylake.llm.words import batch_words
 
 SAMPLE = 20_000
@@ -203,7 +203,7 @@ def input_table(df: DataFrame, column: str, out: str) -> DataFrame:
             made = [x.tobytes() for x in inputs(part.column(column)).astype("<f4")]
             yield add_columns(part, **{out: pa.array(made, type=pa.binary())})
 
-    return df.mapInArrow(run, with_fields(df, **{out: "binary"}))
+    return df.mapInArrow(tidy(run), with_fields(df, **{out: "binary"}))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", column: str = "text", label: str = "quality", sample: int = SAMPLE) -> dict:
@@ -233,4 +233,4 @@ def score(docs: DataFrame, model: dict, id_column: str = "doc_id", column: str =
             x = inputs(part.column(column)).astype("<f4").astype(float)
             yield add_columns(part, **{out: pa.array(predict(model, x), type=pa.float64())})
 
-    return docs.mapInArrow(run, with_fields(docs, **{out: "double"}))
+    return docs.mapInArrow(tidy(run), with_fields(docs, **{out: "double"}))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import discard, small_parts, stored
+from sentrylake.llm.common import discard, small_parts, stored, tidy
 from sentrylake.llm.words import Words, batch_words, gram_hashes, slices
 
 WIDTH, GRAM = 13, 6
@@ -165,7 +165,7 @@ def shared_anchors(keyed: DataFrame, width: int, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists or [np.zeros(0, dtype=np.int64)])))], names=["id", "anchors"])
 
     # written once, as each text's anchors are read twice
-    kept = stored(keyed.select("id", "text").mapInArrow(anchors, "id long, anchors array<long>").where("size(anchors) > 0"), "all-anchors")
+    kept = stored(keyed.select("id", "text").mapInArrow(tidy(anchors), "id long, anchors array<long>").where("size(anchors) > 0"), "all-anchors")
     anchored = kept.select("id", F.explode("anchors").alias("anchor"))
     shared = anchored.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
     by_doc = stored(anchored.join(shared.hint("merge"), "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors")), "anchors")
@@ -196,7 +196,7 @@ def passages(keyed: DataFrame, by_doc: DataFrame, width: int, gram: int) -> Data
             yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "start", "anchor", "words"])
 
     joined = keyed.join(by_doc.hint("merge"), "id")
-    cut_up = joined.mapInArrow(cut, "id long, th long, start long, anchor long, words string")
+    cut_up = joined.mapInArrow(tidy(cut), "id long, th long, start long, anchor long, words string")
     # blanks that are doubled in a text aren't in a passage
     one = F.when(F.col("words").contains("  "), F.regexp_replace("words", " +", " ")).otherwise(F.col("words"))
     return stored(cut_up.withColumn("words", one).withColumn("key", F.xxhash64("words")), "passages")
@@ -309,7 +309,7 @@ def dedup_substrings(df: DataFrame, id_column: str = "doc_id", column: str = "te
                             starts.update(range(low + a, low + b - width + 1))
                 yield output(batch, words, np.fromiter(starts, dtype=np.int64, count=len(starts)))
 
-        return rows.mapInArrow(stream, schema)
+        return rows.mapInArrow(tidy(stream), schema)
 
     gone = stored(repeated_windows(found, reference, n, width), "gone").select(F.col("id").alias("g_id"), F.col("th").alias("g_th"), "gone")
     joined = rows.join(gone.hint("merge"), (F.col("id") == F.col("g_id")) & (F.col("th") == F.col("g_th")), "left").drop("g_id", "g_th")
@@ -322,7 +322,7 @@ def dedup_substrings(df: DataFrame, id_column: str = "doc_id", column: str = "te
             starts = np.unique(at + np.repeat(words.first[:-1], lists.value_lengths().to_numpy(zero_copy_only=False))) if len(at) else at
             yield output(batch, words, starts)
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidy(cut), schema)
 
 
 #: The same digests in DuckDB; windows are compared as text.

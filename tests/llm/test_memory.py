@@ -36,3 +36,16 @@ def test_full_tables_change_no_ids():
         got, want = encoder.encode_batch(column), plain.encode_batch(column)
         assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
     assert len(encoder.pieces.keys) <= 100 + 40
+
+
+def test_packing_encodes_few_rows_at_a_time(spark, monkeypatch):
+    """500 rows were encoded at once, and workers kept what that took."""
+    from sentrylake.llm import packing
+
+    runs = []
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: runs.append(run))
+    packing.pieces(df)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(450)), "text": ["a b c"] * 450})
+    made = list(runs[0](iter([batch])))
+    assert sum(b.num_rows for b in made) == 450 and max(b.num_rows for b in made) <= 100
